@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plantflow.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
+from plantflow.llm import audio, bpe, context_mixing, exact_dedup, jaccard_join, langid, mixing, passages, token_counts, toxicity
 
 _MODULES = {
+    "op1_language_id": langid,
+    "op2_suffix_array_dedup": passages,
     "op3_poisson_mix": mixing,
+    "op4_audio_features": audio,
     "op5_toxicity": toxicity,
+    "op6_context_mixing": context_mixing,
     "op7_ngram_jaccard": jaccard_join,
     "op8_byte_bpe": bpe,
+    "op9_token_counts": token_counts,
     "op10_exact_dedup": exact_dedup,
 }
 
