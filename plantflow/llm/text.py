@@ -90,6 +90,23 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix64(np.add.reduceat(letters, first) + lens.astype(np.uint64)), ptr, starts, ends
 
 
+def stem_hashes(data: np.ndarray, offs: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size, the hash of the first letters (bytes) of every word, whole where it is shorter."""
+    starts, ends, _, inside = word_bounds(data, offs)
+    if not len(starts):
+        return [np.zeros(0, np.uint64) for _ in sizes]
+    lens = ends - starts
+    first = np.cumsum(lens) - lens
+    place = np.minimum(np.arange(int(lens.sum())) - np.repeat(first, lens), 63)
+    sums = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(_TABLE[_LOWER[data[inside]]] * _powers[place], out=sums[1:])
+    out = []
+    for size in sizes:
+        kept = np.minimum(lens, size)
+        out.append(mix64(sums[first + kept] - sums[first] + kept.astype(np.uint64) + np.uint64(size << 20)))
+    return out
+
+
 def ngram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of `k` consecutive entries of `words` (row borders are the caller's)."""
     n = len(words) - k + 1

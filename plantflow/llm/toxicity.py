@@ -1,15 +1,15 @@
 """Toxicity scores from FTRL-proximal logistic regression on hashed word features.
 
-Features are the distinct hashed word unigrams, bigrams and skip-grams (word, next
-but one) of a text. Learning keeps per-coordinate rates and an L1 term, so that only
-features seen often enough in one class get a weight; the trained model is a sparse
-table of at most `2**BITS` weights, whatever the corpus, and that bound is what makes
-it safe to broadcast.
+Features are the distinct hashed word unigrams, word stems (first letters), bigrams and
+skip-grams (word, next but one) of a text. Learning keeps per-coordinate rates and an L1
+term, so that only features seen often enough in one class get a weight; the trained model
+is a sparse table of at most `2**BITS` weights, whatever the corpus, and that bound is what
+makes it safe to broadcast.
 
 The classifier is fitted on a bounded sample of labelled rows: at most about
-`max_positive` and `max_negative` rows, taken in order of a hash of the id. The sample
-is dealt to `SHARDS` tasks, which learn independently; their weights are averaged.
-Scoring reads every whole text once, with no shuffle.
+`max_positive` and `max_negative` rows, taken in order of a hash of the id. Features are
+made where the rows are read; FTRL itself is sequential, so one task learns from that
+bounded sample. Scoring reads every whole text once, with no shuffle.
 
 Null or empty text has no features and gets the intercept's score. Rows without a
 label, or with a null one, teach nothing; of repeated labels for an id the largest
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantflow.llm.text import ngram_hashes, slices, word_hashes
+from plantflow.llm.text import ngram_hashes, slices, stem_hashes, word_hashes
 
 BITS = 20
-SHARDS = 4
+STEMS = (4, 5, 6)
 THRESHOLD = 0.7
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.1, 1.0, 1.5, 1.0
+EPOCHS, ALPHA, BETA, L1, L2, POSITIVE = 6, 1.0, 1.0, 16.0, 0.0, 4.0
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
@@ -42,22 +42,23 @@ def features(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
     two = (ngram_hashes(words, 2) >> shift).astype(np.int32)
     skip = words[:-2] * np.uint64(0xD6E8FEB86659FD93) + words[2:] if len(words) > 2 else words[:0]
     skip = (ngram_hashes(skip, 1) >> shift).astype(np.int32)
+    stems = [(x >> shift).astype(np.int32) for x in stem_hashes(data, offs, STEMS)]
     for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist()):
-        yield np.unique(np.concatenate([one[a:b], two[a : max(a, b - 1)], skip[a : max(a, b - 2)]]))
+        yield np.unique(np.concatenate([one[a:b], two[a : max(a, b - 1)], skip[a : max(a, b - 2)], *(x[a:b] for x in stems)]))
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shard, label = batch.column("shard"), batch.column("label")
+        label = batch.column("label")
         for lo, hi, data, offs in slices(batch.column("text")):
             rows = [x.tobytes() for x in features(data, offs)]
             yield pa.RecordBatch.from_arrays(
-                [shard.slice(lo, hi - lo), label.slice(lo, hi - lo), pa.array(rows, pa.binary())], ["shard", "label", "feats"]
+                [label.slice(lo, hi - lo), pa.array(rows, pa.binary())], ["label", "feats"]
             )
 
 
 def _learn(table: pa.Table) -> pa.Table:
-    """FTRL-proximal over one shard of the sample, in a fixed order."""
+    """FTRL-proximal over the sample, in an order fixed by its content."""
     rows = sorted(zip(table["feats"].to_pylist(), table["label"].to_pylist()))
     order = np.random.Generator(np.random.PCG64(7)).permutation(len(rows))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
@@ -73,16 +74,17 @@ def _learn(table: pa.Table) -> pa.Table:
             i = np.append(np.frombuffer(rows[r][0], np.int32), 1 << BITS)
             w = weight(i)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - rows[r][1]
+            g *= POSITIVE if rows[r][1] else 1.0
             ni = n[i]
             z[i] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[i] = ni + g * g
     w = weight(np.arange(len(z)))
     at = np.flatnonzero(w)
-    return pa.table({"feature": pa.array(at, pa.int32()), "weight": pa.array(w[at] / SHARDS, pa.float64())})
+    return pa.table({"feature": pa.array(at, pa.int32()), "weight": pa.array(w[at], pa.float64())})
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive: int = 6_000, max_negative: int = 12_000
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive: int = 4_000, max_negative: int = 8_000
 ) -> np.ndarray:
     """Weights by feature number, the intercept last, from rows outside the held-out third."""
     ident = F.col("doc_id").cast("string")
@@ -93,14 +95,11 @@ def fit(
         min(1.0, max_negative / max(1, sizes.get(0, 0)))
     )
     dealt = F.pmod(F.xxhash64(F.lit("sample"), ident), F.lit(1_000_000))
-    sample = known.where(dealt < share * 1_000_000).select(
-        F.col("doc_id").alias("__id"), "label", F.pmod(F.xxhash64(ident), F.lit(SHARDS)).cast("int").alias("shard")
-    )
+    sample = known.where(dealt < share * 1_000_000).select(F.col("doc_id").alias("__id"), "label")
     # At most about max_positive + max_negative rows, so this side may be broadcast.
     rows = documents.select(F.col(id_col).alias("__doc"), F.col("text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
-    feats = rows.select("shard", "label", "text").mapInArrow(_featurize, "shard int, label int, feats binary")
-    learned = feats.groupBy("shard").applyInArrow(_learn, "feature int, weight double")
-    table = learned.groupBy("feature").agg(F.sum("weight").alias("weight")).toArrow()
+    feats = rows.select("label", "text").mapInArrow(_featurize, "label int, feats binary")
+    table = feats.groupBy(F.lit(0).alias("one")).applyInArrow(_learn, "feature int, weight double").toArrow()
     weights = np.zeros((1 << BITS) + 1, np.float32)
     weights[table["feature"].to_numpy()] = table["weight"].to_numpy()
     return weights
