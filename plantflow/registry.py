@@ -28,16 +28,27 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the query modules, which register themselves."""
+    from plantflow.plans import history_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     _load()
-    return _QUERIES["rollup_fixed"](spark, sf_dir)
+    return queries()["rollup_fixed"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
     _load()
-    return dict(_QUERIES)
+    return {name: _in_utc(fn) for name, fn in _QUERIES.items()}
+
+
+def _in_utc(fn: Query) -> Query:
+    """Timestamps without a zone are read as UTC, whatever the session's zone was."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+
+    return run
 
 
 def oracles() -> dict[str, str]:
