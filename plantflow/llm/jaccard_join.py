@@ -9,9 +9,12 @@ List lengths are exact document frequencies. A shingle of one document has a
 list without partners, so most documents merge no list at all.
 
 Inside a merged list, all sets are probed against one pivot first. Sets that link to the
-pivot are connected through it. For the rest every pair is probed unless distances to the
-pivot rule it out: 1 - Jaccard is a metric, so sets whose distances differ by more
-than 0.2 can't link. No link between different texts is lost.
+pivot are connected through it. The others are probed against up to `AIDES` sets that did
+link to it, those nearest to it by residue of a hash, so that the scattered copies of one
+text join through its centre. What is left is searched block against block, by merging the
+short lists of a block and probing its long ones; sets that can't link drop out before:
+1 - Jaccard is a metric, so sets whose distances to the pivot differ by more than 0.2 can't
+link. No link between different texts is lost.
 
 Equal sets are one class with the smallest id as representative. Null, empty or
 blank text has no shingles and links with nothing; fewer than 5 words are one shingle.
@@ -20,7 +23,7 @@ one document. Empty tables give empty results; other columns are ignored.
 
 At scale: see `corpus_counts` for how frequencies are found without moving a hot shingle
 more than once per part. Candidates and probes are joins on ids that adaptive skew
-handling may split; links and components stay in tables.
+handling may split; blocks have bounded rows; links and components stay in tables.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ from plantflow.llm.text import shingle_sets, slices
 
 WORDS = 5
 PERCENT = 80
+AIDES = 8
+INDEX_ROWS, QUERY_ROWS = 512, 2048
 
 
 def _row_sets(table: pa.Table) -> Iterator[np.ndarray]:
@@ -162,6 +167,18 @@ def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select("a", "b", (100 * F.col("common") >= PERCENT * union).alias("linked"), (1 - F.col("common") / union).alias("distance"))
 
 
+def _by_aides(probed: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b, aide): sets a that don't link to pivot b but to an aide, a set linked to b."""
+    near = F.struct("distance", "a")
+    nearest = [F.min(F.when(F.pmod(F.xxhash64("a"), F.lit(AIDES)) == k, near)).alias(f"n{k}") for k in range(AIDES)]
+    aides = probed.where("linked").groupBy("b").agg(*nearest).select("b", F.explode(F.array(*(f"n{k}" for k in range(AIDES)))).alias("n"))
+    aides = aides.where("n is not null").select("b", F.col("n.a").alias("aide"), F.col("n.distance").alias("aide_distance"))
+    tried = probed.where(~F.col("linked")).join(aides, "b").where(F.abs(F.col("distance") - F.col("aide_distance")) <= 0.2000001)
+    tried = materialize(tried.select("a", "b", "aide").distinct(), "tried")
+    found = probe(tried.select("a", F.col("aide").alias("b")).distinct(), reps).where("linked").select("a", F.col("b").alias("aide"))
+    return tried.join(found, ["a", "aide"]).select("a", "b", "aide")
+
+
 def _links(reps: DataFrame) -> DataFrame:
     """Links (a, b) between class representatives that keep every component whole."""
     lists = reps.select(F.explode("tokens").alias("token"), "rep", F.col("n_shingles").alias("n"))
@@ -172,28 +189,91 @@ def _links(reps: DataFrame) -> DataFrame:
     near = merged.where(F.least("n", "pn") >= 0.6 * F.greatest("n", "pn"))
     pairs = near.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     probed = materialize(probe(pairs, reps), "probed")
-    links = probed.where("linked").select("a", "b")
+    aided = materialize(_by_aides(probed, reps), "aided")
+    links = probed.where("linked").select("a", "b").unionByName(aided.select("a", F.col("aide").alias("b")))
+    joined = aided.select("a", "b").distinct().withColumn("joined", F.lit(True))
+    probed = probed.join(joined, ["a", "b"], "left").withColumn("linked", F.col("linked") | F.coalesce("joined", F.lit(False)))
     placed = merged.join(probed.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "linked", "distance"), ["rep", "pivot"], "left")
-    placed = placed.select("token", "rep", "n", F.coalesce("linked", F.lit(False)).alias("linked"), "distance")
+    placed = placed.select("token", "rep", "pivot", F.coalesce("linked", F.lit(False)).alias("linked"), "distance")
     open_lists = placed.groupBy("token").agg(
         F.count_if(~F.col("linked")).alias("free"), F.count("*").alias("all"), F.min(F.when(~F.col("linked"), F.col("distance"))).alias("nearest")
     )
     open_lists = open_lists.where("free > 0 and `all` > 1").select("token", "nearest")
-    rest = placed.join(open_lists, "token").where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - 0.2))
-    rest = materialize(rest.select("token", "rep", "n", "linked", "distance"), "rest")
+    rest = placed.join(open_lists, "token").where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - 0.2000001))
+    rest = materialize(rest.select("pivot", "rep", "linked").distinct(), "rest")
     if rest.isEmpty():
         return links
-    free = rest.where(~F.col("linked")).select("token", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("distance").alias("ad"))
-    other = rest.select("token", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("linked").alias("bl"), F.col("distance").alias("bd"))
-    more = free.join(other, "token").where(
-        (F.col("bl") | (F.col("a") < F.col("b")))
-        & (F.col("a") != F.col("b"))
-        & (100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn"))
-        & (F.abs(F.coalesce("ad", "bd") - F.coalesce("bd", "ad")) <= 0.2000001)
-        | (F.col("ad").isNull() & F.col("bd").isNull() & (F.col("a") < F.col("b")) & (100 * F.least("an", "bn") >= PERCENT * F.greatest("an", "bn")))
+    return links.unionByName(_search_blocks(rest, reps))
+
+
+def _search_blocks(rest: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the free sets of a pivot and all its remaining sets, block against block."""
+    sizes = rest.groupBy("pivot").agg(
+        F.ceil(F.count_if(~F.col("linked")) / INDEX_ROWS).cast("int").alias("ni"), F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("nq")
     )
-    again = probe(more.select("a", "b").distinct(), reps).where("linked").select("a", "b")
-    return links.unionByName(again)
+    sized = rest.join(sizes.where("ni > 0"), "pivot")
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = sized.where(~F.col("linked")).select("pivot", "rep", F.lit(False).alias("query"), dealt("ni").alias("i"), every("nq").alias("q"))
+    queries = sized.select("pivot", "rep", F.lit(True).alias("query"), every("ni").alias("i"), dealt("nq").alias("q"))
+    filled = index.unionByName(queries).join(reps.select("rep", "shingles"), "rep")
+    return filled.groupBy("pivot", "i", "q").applyInArrow(_divide_skip, "a long, b long")
+
+
+def _divide_skip(table: pa.Table) -> pa.Table:
+    """T-occurrence search of each query in the inverted lists of the index block.
+
+    Short lists are merged by counting; sets that reached T less the number of long lists are
+    probed in the long ones. Links that join nothing new within the block are left out.
+    """
+    by_rep = dict(zip(table["rep"].to_pylist(), table["shingles"].to_pylist()))
+    reps, is_query = np.array(table["rep"].to_pylist(), np.int64), np.array(table["query"].to_pylist(), bool)
+    sets = {r: np.frombuffer(x, np.uint64) for r, x in by_rep.items()}
+    index, queries = np.unique(reps[~is_query]), np.unique(reps[is_query])
+    if not len(index) or not len(queries):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    n = len(index)
+    sizes = np.array([len(sets[r]) for r in index.tolist()])
+    keys, owner = np.concatenate([sets[r] for r in index.tolist()]), np.repeat(np.arange(n), sizes)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    lists, lengths = keys[head], np.diff(np.r_[head, len(keys)])
+    long = np.flatnonzero(lengths > max(1, n // 4))
+    place = np.full(len(lists), -1)
+    place[long] = np.arange(len(long))
+    member = np.zeros((len(long), n), bool)
+    for k, at in enumerate(long.tolist()):
+        member[k, owner[head[at] : head[at] + lengths[at]]] = True
+    parent = {r: r for r in {*index.tolist(), *queries.tolist()}}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for query in queries.tolist():
+        mine = sets[query]
+        at = np.minimum(np.searchsorted(lists, mine), len(lists) - 1)
+        at = at[lists[at] == mine]
+        probed = place[at][place[at] >= 0]
+        merged = at[place[at] < 0]
+        count = np.zeros(n, np.int64)
+        if len(merged):
+            run = lengths[merged]
+            count += np.bincount(owner[np.repeat(head[merged] - (np.cumsum(run) - run), run) + np.arange(int(run.sum()))], minlength=n)
+        # Overlap needed: PERCENT / (100 + PERCENT) of both sizes together.
+        need = -(-PERCENT * (len(mine) + sizes) // (100 + PERCENT))
+        near = np.flatnonzero((count >= need - len(probed)) & (need <= np.minimum(sizes, len(mine))))
+        count[near] += member[np.ix_(probed, near)].sum(axis=0)
+        for i in near[count[near] >= need[near]].tolist():
+            other = int(index[i])
+            if other != query and root(other) != root(query):
+                parent[root(other)] = root(query)
+                found.append((query, other))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
