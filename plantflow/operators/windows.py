@@ -41,7 +41,7 @@ def spikes(samples: DataFrame, key: str, half: int = 5, k: float = 6.0) -> DataF
     """Samples far from the median of their `half` neighbours on each side, in units of their MAD; full windows only."""
     w = Window.partitionBy(key).orderBy("ts")
     around = F.concat(F.collect_list("value").over(w.rowsBetween(-half, -1)), F.collect_list("value").over(w.rowsBetween(1, half)))
-    median = lambda xs: (F.array_sort(xs)[half - 1] + F.array_sort(xs)[half]) / 2
+    median = lambda xs: (F.get(F.array_sort(xs), F.lit(half - 1)) + F.get(F.array_sort(xs), F.lit(half))) / 2
     rows = samples.withColumn("near", around).where(F.size("near") == 2 * half).withColumn("m", median(F.col("near")))
     rows = rows.withColumn("mad", median(F.transform("near", lambda x: F.abs(x - F.col("m")))))
     floor = F.greatest(F.abs("m") * 0.001, F.lit(1e-6))
