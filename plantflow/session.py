@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -26,3 +28,14 @@ def build_session(app: str = "plantflow", master: str | None = None, **conf: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, read through Spark so that any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` in the shared folder that the cluster names, so that loops don't replay their past."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-plantflow-"))
+    return df.checkpoint()
