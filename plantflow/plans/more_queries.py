@@ -28,11 +28,11 @@ def unit_conversion(spark, sf_dir):
     return h.select("point_uri", "ts", F.round(scalars.celsius(F.col("value"), F.coalesce("unit", F.lit(""))), 6).alias("celsius"))
 
 
-@register("load_tons", "SELECT l_orderkey, l_linenumber, round(l_quantity * (l_extendedprice / 1000 - l_tax) / 24, 3) AS tons FROM lineitem")
+@register("load_tons", "SELECT l_orderkey, l_linenumber, l_quantity * (l_extendedprice / 1000 - l_tax) / 24 AS tons FROM lineitem")
 def load_tons(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     tons = scalars.load_tons(F.col("l_quantity"), F.col("l_tax"), F.col("l_extendedprice") / 1000)
-    return li.select("l_orderkey", "l_linenumber", F.round(tons, 3).alias("tons"))
+    return li.select("l_orderkey", "l_linenumber", tons.alias("tons"))
 
 
 @register(
@@ -211,7 +211,7 @@ def missed_batches(spark, sf_dir):
     if len(consumers) > 1000:
         raise ValueError("more than 1,000 consumers of a feed")
     b = table(spark, sf_dir, "orders").where("o_orderkey <= 4000")
-    counts = b.agg(F.array(*(F.struct(F.lit(r.consumer).alias("consumer"), F.count_if(F.col("o_orderkey") > r.offset).alias("missed")) for r in consumers)).alias("m"))
+    counts = b.agg(F.array(*(F.struct(F.lit(r.consumer).cast("long").alias("consumer"), F.count_if(F.col("o_orderkey") > r.offset).alias("missed")) for r in consumers)).alias("m"))
     return counts.select(F.inline("m")).where("missed > 0")
 
 
