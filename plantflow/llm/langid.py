@@ -142,7 +142,9 @@ def fit(
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, fit_rows / n) * (1 << 20))).otherwise(share)
     seedling = F.pmod(F.xxhash64(F.lit("start"), "ident"), F.lit(CENTROIDS)).cast("int")
-    sample = rows.where(dealt < share).select("text", "lang", seedling.alias("start")).coalesce(max(1, spark.sparkContext.defaultParallelism)).persist()
+    sample = rows.where(dealt < share).select("text", "lang", seedling.alias("start"))
+    # A shuffle of the bounded sample; merging scan tasks instead would hold all their file readers open at once.
+    sample = sample.repartition(max(1, spark.sparkContext.defaultParallelism)).persist()
     owner = np.array([lang for lang in sorted(sizes) for _ in range(CENTROIDS)])
     centroids, radius = None, np.zeros(len(owner))
     for round_ in range(ROUNDS + 1):
@@ -175,7 +177,7 @@ def fit(
                 ["centroid", "total", "far"],
             )
 
-        # One row per task and centroid; tasks are bounded by the coalesce above.
+        # One row per task and centroid; tasks are bounded by the deal above.
         found = sample.mapInArrow(run, "centroid int, total binary, far array<double>").toArrow().to_pydict()
         if last:
             for c in range(len(owner)):
