@@ -97,3 +97,23 @@ def equipment_scores(found: DataFrame, signatures: DataFrame) -> DataFrame:
     ranked = met.join(total, "type").join(points, "equip").withColumn("score", score)
     w = Window.partitionBy("equip").orderBy(F.desc(F.round("score", 9)), "type")
     return ranked.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("equip", "type", "score", "rank")
+
+
+def class_candidates(evidence: DataFrame, vocabulary: DataFrame, n: int = 3) -> DataFrame:
+    """(id, class, score): weights of the class's words found, less 0.75 for each of its words missing.
+
+    Evidence is (id, word), vocabulary (class, word, weight).
+    """
+    size = vocabulary.groupBy("class").agg(F.count("*").alias("size"))
+    met = evidence.select("id", "word").distinct().join(vocabulary, "word").groupBy("id", "class").agg(F.sum("weight").alias("found"), F.count("*").alias("hits"))
+    scored = met.join(size, "class").withColumn("score", F.col("found") - 0.75 * (F.col("size") - F.col("hits")))
+    w = Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "class")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("id", "class", "score", "rank")
+
+
+def veto(candidates: DataFrame, units: DataFrame) -> DataFrame:
+    """Candidates (id, class, unit, is_bool) without those whose class (class, allowed, is_state) rules them out."""
+    known = candidates.join(units, "class", "left")
+    wrong_unit = F.col("unit").isNotNull() & F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("unit"))
+    wrong_kind = F.col("is_bool") != F.coalesce("is_state", F.col("is_bool"))
+    return known.where(~F.coalesce(wrong_unit | wrong_kind, F.lit(False))).select("id", "class")

@@ -90,6 +90,29 @@ def point_groups(points: DataFrame, min_points: int = 2) -> DataFrame:
     return points.groupBy(parent.alias("parent")).agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
 
 
+def lacking_path(subjects: DataFrame, refs: DataFrame, ends: DataFrame) -> DataFrame:
+    """Subjects (s) whose reference (s, o) leads nowhere or to a node that isn't among `ends` (s)."""
+    good = refs.join(ends.select(F.col("s").alias("o")), "o", "left_semi").select("s")
+    bad = refs.join(ends.select(F.col("s").alias("o")), "o", "left_anti").select("s")
+    return subjects.join(good, "s", "left_anti").unionByName(bad.join(subjects, "s", "left_semi")).distinct()
+
+
+def expand_points(matched: DataFrame, same: DataFrame, has_point: DataFrame) -> DataFrame:
+    """Points of matched equipment (s), through everything that is the same (a, b), and points matched themselves."""
+    both = neighbours(same).select(F.col("a").alias("child"), F.col("b").alias("parent"))
+    group = closure(both).select(F.col("node").alias("s"), F.col("ancestor").alias("equip"))
+    equips = matched.join(group, "s", "left").select(F.coalesce("equip", "s").alias("equip")).distinct()
+    points = has_point.join(equips, "equip", "left_semi").select(F.col("point").alias("s"))
+    return points.unionByName(matched.where(F.col("s").startswith("urn:point:"))).distinct()
+
+
+def apply_messages(triples: DataFrame, messages: DataFrame) -> DataFrame:
+    """Triples (s, p, o) after tag messages (seq, s, p, o): the last message of a tag wins, null removes it."""
+    last = messages.groupBy("s", "p").agg(F.max_by(F.struct("o"), "seq").alias("m")).select("s", "p", "m.o")
+    kept = triples.join(last.select("s", "p"), ["s", "p"], "left_anti")
+    return kept.unionByName(last.where("o is not null"))
+
+
 class Tag:
     """Filters over tag triples. A missing tag makes every comparison false, and `~` is the complement over all subjects.
 
@@ -116,6 +139,17 @@ class Tag:
     def text(tag: str, value: str) -> Tag:
         return Tag(lambda t: (F.col("p") == tag) & (F.col("o_kind") == "str") & (F.col("o") == value))
 
+    @staticmethod
+    def date(tag: str, op: str, value: str) -> Tag:
+        """Comparison of dates or times written as ISO text, in their own order; other text never matches."""
+        compare = {"==": "__eq__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}[op]
+        iso = F.col("o").rlike(r"^\d{4}-\d{2}-\d{2}")
+        return Tag(lambda t: (F.col("p") == tag) & iso & getattr(F.col("o"), compare)(value))
+
+    @staticmethod
+    def ref(tag: str, value: str) -> Tag:
+        return Tag(lambda t: (F.col("p") == tag) & (F.col("o_kind") == "ref") & (F.col("o") == value))
+
     def __and__(self, other: Tag) -> Tag:
         return Tag("and", (self, other))
 

@@ -129,3 +129,56 @@ def mirror_plan(failing: DataFrame, open_faults: DataFrame) -> DataFrame:
     to_open = failing.select("key").join(open_faults.select("key"), "key", "left_anti").withColumn("action", F.lit("open"))
     to_close = open_faults.select("key").join(failing.select("key"), "key", "left_anti").withColumn("action", F.lit("close"))
     return to_open.unionByName(to_close)
+
+
+def deadband(rows: DataFrame, key: str, least: float = 2.77, slack: float = 0.5) -> DataFrame:
+    """Cooling and heating setpoints (key, cool, heat) must stay apart."""
+    return sequence(rows, key, F.when(F.col("cool").isNotNull() & F.col("heat").isNotNull(), F.col("cool") - F.col("heat") > least - slack))
+
+
+def reset_range(samples: DataFrame, key: str, design: float, share: float = 0.25) -> DataFrame:
+    """A reset setpoint must use at least a share of the range up to its design value."""
+    ends = samples.groupBy(key).agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
+    return ends.select(key, (F.col("hi") - F.col("lo") >= (design - F.col("lo")) * share * 0.99).alias("ok"))
+
+
+def loop_report(now: DataFrame, base: DataFrame, key: str, factor: float = 3.0, default: float = 12.0) -> DataFrame:
+    """Loops (key, rate) worse than `factor` times their baseline; without a baseline `default` is the limit."""
+    both = now.join(base.select(key, F.col("rate").alias("base")), key, "left")
+    limit = F.greatest(F.coalesce(F.col("base") * factor, F.lit(default)), F.lit(1.0))
+    return both.select(key, "rate", "base", (F.col("rate") / F.greatest("base", F.lit(1.0))).alias("ratio"), (F.col("rate") > limit).alias("hunting"))
+
+
+def bench_tests(steps: DataFrame, measured: DataFrame) -> DataFrame:
+    """Each step's measurements against its tolerance, and the first passing one as baseline.
+
+    Steps are (step, target, tolerance), measurements (step, at, value).
+    """
+    ok = F.abs(F.col("value") - F.col("target")) <= F.col("tolerance")
+    judged = steps.join(measured, "step", "left").groupBy("step").agg(
+        F.count("value").alias("n"), F.count_if(ok).alias("passed"), F.min_by(F.when(ok, F.col("value")), F.when(ok, F.col("at"))).alias("baseline")
+    )
+    status = F.when(F.col("n") == 0, "untested").when(F.col("passed") > 0, "pass").otherwise("fail")
+    return judged.select("step", "n", "baseline", status.alias("status"))
+
+
+def spec_match(spec: DataFrame, field: DataFrame) -> DataFrame:
+    """Best field tag for each spec tag by names: same 1.0, contained 0.9, same number 0.4, same letters 0.2.
+
+    Candidates meet on their number or their letters, never all against all. Rows are (tag).
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    parts = lambda df, name: df.select(
+        F.col("tag").alias(name), plain(F.col("tag")).alias(f"{name}_p"), F.regexp_replace(plain(F.col("tag")), "[^0-9]", "").alias(f"{name}_n"), F.regexp_replace(plain(F.col("tag")), "[0-9]", "").alias(f"{name}_l")
+    )
+    a, b = parts(spec, "spec").distinct(), parts(field, "field").distinct()
+    by_number = a.join(b, (F.col("spec_n") == F.col("field_n")) & (F.col("spec_n") != ""))
+    by_letters = a.join(b, (F.col("spec_l") == F.col("field_l")) & (F.col("spec_l") != ""))
+    score = (
+        F.when(F.col("spec_p") == F.col("field_p"), 1.0)
+        .when(F.col("field_p").contains(F.col("spec_p")) | F.col("spec_p").contains(F.col("field_p")), 0.9)
+        .when(F.col("spec_n") == F.col("field_n"), 0.4)
+        .otherwise(0.2)
+    )
+    pairs = by_number.unionByName(by_letters).distinct().withColumn("score", score)
+    return pairs.groupBy("spec").agg(F.max("score").alias("score"), F.min_by("field", F.struct(-F.col("score"), "field")).alias("field"))

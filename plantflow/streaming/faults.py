@@ -80,3 +80,31 @@ def alert_states(observed: DataFrame, for_s: float = 120, clear_s: float = 120)
         return pd.DataFrame(out, columns=["key", "event", "at"])
 
     return observed.groupBy("key").applyInPandas(run, "key string, event string, at timestamp_ntz")
+
+
+def alarm_events(states: DataFrame) -> DataFrame:
+    """Open, update and resolve events of device alarms (key, ts, active, severity): only changes speak."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("key").orderBy("ts")
+    rows = states.withColumn("was", F.coalesce(F.lag("active").over(w), F.lit(False))).withColumn("before", F.lag("severity").over(w))
+    event = (
+        F.when(F.col("active") & ~F.col("was"), "open")
+        .when(F.col("active") & F.col("was") & (F.col("severity") != F.col("before")), "update")
+        .when(~F.col("active") & F.col("was"), "resolve")
+    )
+    return rows.withColumn("event", event).where("event is not null").select("key", "ts", "event", "severity")
+
+
+def to_judge(history: DataFrame, judged: DataFrame, overlap_s: float, now) -> DataFrame:
+    """Samples in (judged_to - overlap, now] of each point; a point never judged is judged whole."""
+    from plantflow.operators.timejoin import micros
+
+    rows = history.join(judged, "point_uri", "left")
+    after = F.col("judged_to").isNull() | (micros(F.col("ts")) > micros(F.col("judged_to")) - int(overlap_s * 1e6))
+    return rows.where(after & (F.col("ts") <= now)).drop("judged_to")
+
+
+def overlap_for(delay_s: float, interval_s: float, least_s: float = 30.0) -> float:
+    """Overlap widened to a quarter more than the usual delay, an interval at most."""
+    return max(least_s, min(1.25 * delay_s, interval_s))
