@@ -78,17 +78,18 @@ def earned_evidence(activities: DataFrame, links: DataFrame, judged: DataFrame,
     return activities.join(proof, "activity", "left").select("activity", state.alias("state"))
 
 
-def xer_tables(lines: DataFrame) -> DataFrame:
+def xer_tables(lines: DataFrame, file_col: str | None = None) -> DataFrame:
     """Rows of a schedule export in tab-separated table form: (table, row, map of fields).
 
-    Lines are (n, line): `%T` names a table, `%F` its fields, `%R` is a row.
+    Lines are (n, line), with a column that names the file where there are several: `%T` names a
+    table, `%F` its fields, `%R` is a row. A row needs the lines above it, so a file is one task's work.
     """
     from pyspark.sql.window import Window
 
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    w = (Window.partitionBy(file_col) if file_col else Window.partitionBy()).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     parts = lines.withColumn("f", F.split("line", "\t"))
     table = F.when(F.col("f")[0] == "%T", F.get("f", F.lit(1)))
     fields = F.when(F.col("f")[0] == "%F", F.slice("f", 2, F.size("f") - 1))
     rows = parts.withColumn("table", F.last(table, ignorenulls=True).over(w)).withColumn("fields", F.last(fields, ignorenulls=True).over(w))
     rows = rows.where(F.col("f")[0] == "%R").withColumn("v", F.slice("f", 2, F.size("f") - 1))
-    return rows.select("table", "n", F.map_from_entries(F.arrays_zip("fields", F.slice("v", 1, F.size("fields")))).alias("row"))
+    return rows.select(*([file_col] if file_col else []), "table", "n", F.map_from_entries(F.arrays_zip("fields", F.slice("v", 1, F.size("fields")))).alias("row"))

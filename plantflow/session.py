@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +42,20 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-plantflow-"))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this library importable in the executors' Python, once per context.
+
+    Nothing is sent where the workers find it anyway: on the PYTHONPATH that they inherit.
+    """
+    root, context = Path(__file__).resolve().parent.parent, spark.sparkContext
+    paths = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in paths or getattr(context, "_plantflow_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="plantflow-code-")) / "plantflow_code.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted((root / "plantflow").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(target))
+    context._plantflow_shipped = True
