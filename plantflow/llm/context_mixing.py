@@ -2,7 +2,7 @@
 
 A text is coded byte by byte, each byte as a path of binary decisions through a Huffman tree
 (so common bytes take few), closed by an end symbol. For every decision, predictors of order
-0 to 4 look up how often either branch was taken after the same last bytes, in hashed
+0 to 5 look up how often either branch was taken after the same last bytes, in hashed
 count tables. Their log-odds are mixed by weights that a gate chooses from the confidence of
 the longer contexts; the weights are learned online by gradient steps. An adaptive map,
 indexed by the mixed probability and the last byte, refines the result. The score is the
@@ -10,7 +10,7 @@ sum of log10 over all decisions, a proper probability of the whole text.
 
 Counts, mixing weights and the adaptive map are gathered from every learning text; a
 learning occurrence is taken out of its own counts before it trains weights or map. All
-of it derives from the table of distinct 5-byte windows, counted by map-combined sums, so
+of it derives from the table of distinct 6-byte windows, counted by map-combined sums, so
 online learning runs over distinct windows with their frequencies, in parallel by
 bucket, with weights averaged by frequency. `fit_*` functions return sizes bounded by the
 slots of the tables, not by the corpus, which is why the model may be broadcast.
@@ -27,6 +27,7 @@ ignored.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,30 +40,32 @@ from plantflow.llm.storage import materialize
 from plantflow.llm.text import mix64, slices, word_hashes
 
 END = 0xFF  # never a byte of UTF-8
-SPAN = 1 << 20  # windows sorted at once
-SLOT_BITS = {1: 16, 2: 20, 3: 22, 4: 22}
+ORDER = 5
+SPAN_BITS = 21  # windows sorted at once
+SPAN = 1 << SPAN_BITS
+SLOT_BITS = {1: 16, 2: 20, 3: 21, 4: 22, 5: 23}
 BLOCK_BITS = 18
-INPUTS = 6
+INPUTS = 2 + ORDER
 LEVELS = np.array([0, 2, 8, 64])  # confidence steps of a count
 GATES = 125
 BINS = 33
-STEP, BATCH, PASSES = 0.3, 512, 2
+STEP, BATCH, PASSES = 0.3, 1024, 2
 END_WORD = np.uint64(0xE5D0E5D0E5D0E5D1)
 
 
 def windows(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(5-byte windows, row of each), one for each byte and end, at most `SPAN` at a time."""
+    """(windows of a byte after `ORDER` others, row of each), one for each byte and end, at most `SPAN` at a time."""
     rows = len(offs) - 1
     sizes = np.diff(offs)
-    padded = np.full(int(sizes.sum()) + 5 * rows, END, np.uint8)
-    shift = np.repeat(np.arange(rows) * 5 + 4, sizes)
+    padded = np.full(int(sizes.sum()) + (ORDER + 1) * rows, END, np.uint8)
+    shift = np.repeat(np.arange(rows) * (ORDER + 1) + ORDER, sizes)
     padded[np.arange(len(data)) + shift] = data
     owner = np.repeat(np.arange(rows), sizes + 1)
-    at = np.arange(len(owner)) + 4 * (owner + 1)
+    at = np.arange(len(owner)) + ORDER * (owner + 1)
     for lo in range(0, len(owner), SPAN):
         end = at[lo : lo + SPAN]
         code = np.zeros(len(end), np.uint64)
-        for back in (4, 3, 2, 1, 0):
+        for back in range(ORDER, -1, -1):
             code = code << np.uint64(8) | padded[end - back]
         yield code, owner[lo : lo + SPAN]
 
@@ -100,11 +103,11 @@ def count_windows(docs: DataFrame, buckets: int) -> DataFrame:
             distinct, n = tally(np.concatenate(codes), np.concatenate(counts))
             bucket = bucket_of(mix64(distinct), buckets)
             order = np.argsort(bucket, kind="stable")
-            yield pa.RecordBatch.from_pydict(_pack(distinct[order], n[order], bucket[order]))
+            yield pa.RecordBatch.from_pydict(_pack(distinct[order], n[order].astype(np.uint32), bucket[order]))
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         codes = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in table["values"].to_pylist()])
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table["values"].to_pylist()]).astype(np.int64)
         codes, n = tally(codes, n)
         hist = np.bincount((codes & np.uint64(255)).astype(np.int64), n, 256).astype(np.int64)
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "codes": [codes.tobytes()], "counts": [n.tobytes()], "bytes": [hist.tobytes()]})
@@ -170,13 +173,13 @@ def fit_tables(grams: DataFrame, tree: tuple) -> tuple[np.ndarray, np.ndarray]:
                         keys.append(key)
                         values.append(total)
                 key, total = tally(np.concatenate(keys), np.concatenate(values))
-                yield pa.RecordBatch.from_pydict(_pack(key, total, key >> np.uint64(BLOCK_BITS + 1)))
+                yield pa.RecordBatch.from_pydict(_pack(key.astype(np.uint32), np.minimum(total, 2**32 - 1).astype(np.uint32), key >> np.uint64(BLOCK_BITS + 1)))
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         base = key[0].as_py() << (BLOCK_BITS + 1)
         total = np.zeros(2 << BLOCK_BITS, np.int64)
         for raw, many in zip(table["keys"].to_pylist(), table["values"].to_pylist()):
-            total[np.frombuffer(raw, np.uint64).astype(np.int64) - base] += np.frombuffer(many, np.int64)
+            total[np.frombuffer(raw, np.uint32).astype(np.int64) - base] += np.frombuffer(many, np.uint32)
         pair = total.reshape(-1, 2).astype(np.float64)
         pair *= np.minimum(1.0, 65535 / np.maximum(pair.max(axis=1, keepdims=True), 1))
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "pairs": [np.ceil(pair).astype(np.uint16).tobytes()]})
@@ -199,7 +202,7 @@ class Mixer:
     def __init__(self, model: dict):
         self.node, self.bit, self.depth = model["tree"]
         self.weights, self.refine = model.get("weights"), model.get("refine")
-        self.zero, self.one = model["tables"]
+        self.zero, self.one = model["tables"].value
         self.order0 = model["order0"]
         self.odds = self.level = None
 
@@ -237,7 +240,7 @@ class Mixer:
                     if leave_out:
                         a, b = np.maximum(a - (bit == 0), 0), np.maximum(b - (bit == 1), 0)
                     x[order + 1], level = _odds(a, b), np.searchsorted(LEVELS, a + b)
-                if order > 1:
+                if order > 2:
                     gate = gate * 5 + level
             yield on, bit, x, gate, last[on]
 
@@ -262,6 +265,9 @@ class Mixer:
         return total
 
 
+_frozen: dict[str, Mixer] = {}  # the model that this worker process scores with
+
+
 def _start_weights() -> np.ndarray:
     weights = np.full((INPUTS, GATES), 0.3, np.float32)
     weights[0] = weights[1] = 0.0
@@ -270,10 +276,9 @@ def _start_weights() -> np.ndarray:
 
 def fit_weights(grams: DataFrame, model: dict) -> np.ndarray:
     """Gated mixing weights by online gradient steps over all windows, averaged over buckets."""
-    shared = grams.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(shared.value)
+        mixer = Mixer(model)
         for batch in batches:
             for raw, many in zip(batch.column("codes").to_pylist(), batch.column("counts").to_pylist()):
                 codes, n = np.frombuffer(raw, np.uint64), np.frombuffer(many, np.int64)
@@ -311,10 +316,9 @@ def fit_weights(grams: DataFrame, model: dict) -> np.ndarray:
 
 def fit_refinement(grams: DataFrame, model: dict) -> np.ndarray:
     """The adaptive map: share of branch 1 by last byte and mixed log-odds, over all windows."""
-    shared = grams.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, hits = Mixer(shared.value), np.zeros((2, 256 * BINS))
+        mixer, hits = Mixer(model), np.zeros((2, 256 * BINS))
         for batch in batches:
             for raw, many in zip(batch.column("codes").to_pylist(), batch.column("counts").to_pylist()):
                 codes, n = np.frombuffer(raw, np.uint64), np.frombuffer(many, np.int64)
@@ -346,7 +350,9 @@ def fit(docs: DataFrame, buckets: int) -> dict:
     for byte in range(256):
         for d in range(tree[2][byte]):
             flow[tree[0][byte, d], tree[1][byte, d]] += hist[byte]
-    model = {"tree": tree, "order0": _odds(flow[:, 0], flow[:, 1]), "tables": fit_tables(grams, tree)}
+    # The tables are most of the model and are broadcast once; the rest is small.
+    tables = docs.sparkSession.sparkContext.broadcast(fit_tables(grams, tree))
+    model = {"key": uuid.uuid4().hex, "tree": tree, "order0": _odds(flow[:, 0], flow[:, 1]), "tables": tables}
     model["weights"] = fit_weights(grams, model)
     model["refine"] = fit_refinement(grams, model)
     return model
@@ -404,13 +410,13 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     answers = sent.groupBy("bucket").applyInArrow(_answer_words, "part int, bucket int, totals binary, n_all long, n_distinct long")
     answers = materialize(answers, "answers")
     n_all, n_distinct = (x or 0 for x in answers.agg(F.sum("n_all"), F.sum("n_distinct")).first())
-    model = spark.sparkContext.broadcast(fit(docs.select("doc_id", "text"), parts))
-    loaded: dict[str, Mixer] = {}
+    model = fit(docs.select("doc_id", "text"), parts)
 
     def run(table: pa.Table, totals: pa.Table) -> pa.Table:
-        if "mixer" not in loaded:
-            loaded["mixer"] = Mixer(dict(model.value)).freeze()
-        mixer = loaded["mixer"]
+        if model["key"] not in _frozen:
+            _frozen.clear()
+            _frozen[model["key"]] = Mixer(model).freeze()
+        mixer = _frozen[model["key"]]
         order = np.argsort(totals["bucket"].to_numpy(), kind="stable").tolist()
         raw = totals["totals"].to_pylist()
         count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(raw[i], np.int64) for i in order)])
@@ -427,11 +433,14 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             base.append(run_gain[ptr[1:]] - run_gain[ptr[:-1]] + gain[end])
         n = np.concatenate(tokens)
         score, size = [], []
-        for _, _, data, offs in slices(table.column("text")):
+        for _, _, data, offs in slices(table.column("text"), SPAN):
             total = np.zeros(len(offs) - 1)
             for code, owner in windows(data, offs):
-                joint = np.sort(code << np.uint64(20) | np.arange(len(code), dtype=np.uint64))
-                ordered, place = joint >> np.uint64(20), (joint & np.uint64(SPAN - 1)).astype(np.int64)
+                # Equal windows meet by hash; a collision only splits a run, since windows themselves are compared.
+                head = mix64(code) >> np.uint64(SPAN_BITS) << np.uint64(SPAN_BITS)
+                joint = np.sort(head | np.arange(len(code), dtype=np.uint64))
+                place = (joint & np.uint64(SPAN - 1)).astype(np.int64)
+                ordered = code[place]
                 first = np.r_[True, ordered[1:] != ordered[:-1]]
                 value = mixer.log10(ordered[first])[np.cumsum(first) - 1]
                 back = np.empty(len(code))
