@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,8 +86,8 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((0, -1, ()),)
-        self.numbers, self.states = {start: 0}, [start]
+        start = array("i", [0, -1, 0]).tobytes()
+        self.numbers, self.states, self.tails = {start: 0}, [start], [()]
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def stable(self, a: int, b: int) -> bool:
@@ -99,7 +100,7 @@ class Transducer:
         key = a << 32 | b
         if (known := self.pairs.get(key)) is not None:
             return known
-        if len(self.pairs) > 400_000:
+        if len(self.pairs) > 250_000:
             self.pairs.clear()
         tokens, ranks, limit = self.tokens, self.ranks, 1 << 60
         x, y, result = a, b, True
@@ -119,8 +120,12 @@ class Transducer:
         return result
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        alive, settled = [], None
-        for node, last, pending in self.states[state]:
+        alive, settled, at = [], None, 0
+        packed = array("i", self.states[state])
+        while at < len(packed):
+            node, last, size = packed[at : at + 3]
+            pending = tuple(packed[at + 3 : at + 3 + size])
+            at += 3 + size
             step = self.trie.get(node << 8 | byte)
             if step is None:
                 continue
@@ -136,11 +141,16 @@ class Transducer:
         k = 0
         while k < shared and all(p[k] == first[k] for _, _, p in alive):
             k += 1
-        key = tuple((n, t, p[k:]) for n, t, p in alive)
+        flat: list[int] = []
+        for node, last, pending in alive:
+            flat += (node, last, len(pending) - k)
+            flat += pending[k:]
+        key = array("i", flat).tobytes()
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
+            self.tails.append(alive[-1][2][k:])
         return number, first[:k]
 
     def encode(self, word: bytes) -> list[int]:
@@ -154,7 +164,7 @@ class Transducer:
             state, emitted = arc
             if emitted:
                 out += emitted
-        return out + list(self.states[state][-1][2])
+        return out + list(self.tails[state])
 
     def ids(self, words: list[str]) -> bytes:
         """Little-endian 32-bit ids of a run of words."""

@@ -19,6 +19,7 @@ row. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,8 +60,12 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _learn(table: pa.Table) -> pa.Table:
     """FTRL-proximal over the sample, in an order fixed by its content."""
-    rows = sorted(zip(table["feats"].to_pylist(), table["label"].to_pylist()))
-    order = np.random.Generator(np.random.PCG64(7)).permutation(len(rows))
+    column = table["feats"].combine_chunks()
+    _, offs, data = column.buffers()
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    offs = np.frombuffer(offs, np.int32)[column.offset : column.offset + len(column) + 1]
+    rows = [(data[a:b].view(np.int32), y) for a, b, y in zip(offs[:-1].tolist(), offs[1:].tolist(), table["label"].to_pylist())]
+    order = sorted(range(len(rows)), key=lambda r: (zlib.crc32(rows[r][0]), len(rows[r][0]), rows[r][1]))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weight(i: np.ndarray) -> np.ndarray:
@@ -70,8 +75,8 @@ def _learn(table: pa.Table) -> pa.Table:
         return w
 
     for _ in range(EPOCHS):
-        for r in order.tolist():
-            i = np.append(np.frombuffer(rows[r][0], np.int32), 1 << BITS)
+        for r in order:
+            i = np.append(rows[r][0], 1 << BITS)
             w = weight(i)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - rows[r][1]
             g *= POSITIVE if rows[r][1] else 1.0
@@ -84,7 +89,7 @@ def _learn(table: pa.Table) -> pa.Table:
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive: int = 4_000, max_negative: int = 8_000
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive: int = 3_000, max_negative: int = 6_000
 ) -> np.ndarray:
     """Weights by feature number, the intercept last, from rows outside the held-out third."""
     ident = F.col("doc_id").cast("string")
