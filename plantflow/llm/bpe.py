@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantflow.llm.worker import hold
+
 MAX_STATES = 250_000
 MAX_WORDS = 300_000
 BLOCK_CHARS = 1 << 20
@@ -242,17 +244,16 @@ def decode_stream(ids: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes:
     machine.close()
 
 
-_loaded: dict[int, tuple] = {}
-
-
 def _tools(model) -> tuple:
     """One transducer and decode table for each vocabulary and worker process."""
-    if model.id not in _loaded:
+
+    def build() -> tuple:
         compiled, pattern = model.value
         sizes = np.array([len(t) for t in compiled["tokens"]], np.int64)
         flat = np.frombuffer(b"".join(compiled["tokens"]), np.uint8)
-        _loaded[model.id] = (Transducer(compiled), regex.compile(pattern), flat, np.cumsum(sizes) - sizes, sizes)
-    return _loaded[model.id]
+        return Transducer(compiled), regex.compile(pattern), flat, np.cumsum(sizes) - sizes, sizes
+
+    return hold(model.id, build)
 
 
 class _Shared:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantflow.llm.text import ngram_hashes, slices, stem_hashes, word_hashes
+from plantflow.llm.worker import release
 
 BITS = 20
 STEMS = (4, 5, 6)
@@ -49,6 +50,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         label = batch.column("label")
         for lo, hi, data, offs in slices(batch.column("text")):
@@ -60,6 +62,7 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _learn(table: pa.Table) -> pa.Table:
     """FTRL-proximal over the sample, in an order fixed by its content."""
+    release()
     column = table["feats"].combine_chunks()
     _, offs, data = column.buffers()
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -115,6 +118,7 @@ def score(documents: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
     model = documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         w = model.value
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column("text")):
@@ -137,6 +141,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     weights = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         w = weights.value
         for batch in batches:
             at = batch.schema.names.index("text")
