@@ -194,7 +194,9 @@ def _links(reps: DataFrame) -> DataFrame:
     joined = aided.select("a", "b").distinct().withColumn("joined", F.lit(True))
     probed = probed.join(joined, ["a", "b"], "left").withColumn("linked", F.col("linked") | F.coalesce("joined", F.lit(False)))
     placed = merged.join(probed.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "linked", "distance"), ["rep", "pivot"], "left")
-    placed = placed.select("token", "rep", "pivot", F.coalesce("linked", F.lit(False)).alias("linked"), "distance")
+    # A set that was not probed is at least as far from the pivot as the sizes say.
+    bound = F.coalesce("distance", 1 - F.least("n", "pn") / F.greatest("n", "pn"))
+    placed = placed.select("token", "rep", "pivot", F.coalesce("linked", F.lit(False)).alias("linked"), bound.alias("distance"))
     open_lists = placed.groupBy("token").agg(
         F.count_if(~F.col("linked")).alias("free"), F.count("*").alias("all"), F.min(F.when(~F.col("linked"), F.col("distance"))).alias("nearest")
     )

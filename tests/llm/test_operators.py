@@ -117,6 +117,17 @@ def test_jaccard_scattered_copies(spark, seed, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_growing_copies(spark):
+    """The last copy is too long to be probed against the first, and links only to one that joined through an aide."""
+    base, tail = [f"b{i}" for i in range(64)], [f"w{i}" for i in range(29)]
+    grown = [base, base + tail[:15], base + tail, base + tail + [f"y{i}" for i in range(13)]]
+    wide = [[f"o{k}x{i}" for i in range(60)] + base[-4:] + tail for k in range(30)]
+    rows = [(i, " ".join(words)) for i, words in enumerate(grown + wide)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, n, 0) for i, n in enumerate((60, 75, 89, 102))} <= got
+    assert got == brute_components(rows)
+
+
 def test_jaccard_empty(spark, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
     assert jaccard_join.drop_near_copies(empty).columns == empty.columns
