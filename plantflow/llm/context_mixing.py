@@ -2,8 +2,8 @@
 
 A text is coded byte by byte, each byte as a path of binary decisions through a Huffman tree
 (so common bytes take few), closed by an end symbol. For every decision, predictors of order
-0 to 5 look up how often either branch was taken after the same last bytes, in hashed
-count tables. Their log-odds are mixed by weights that a gate chooses from the confidence of
+0 to 5 look up how often either branch was taken after the same last bytes, in exact
+counts. Their log-odds are mixed by weights that a gate chooses from the confidence of
 the longer contexts; the weights are learned online by gradient steps. An adaptive map,
 indexed by the mixed probability and the last byte, refines the result. The score is the
 sum of log10 over all decisions, a proper probability of the whole text.
@@ -12,8 +12,11 @@ Counts, mixing weights and the adaptive map are gathered from every learning tex
 learning occurrence is taken out of its own counts before it trains weights or map. All
 of it derives from the table of distinct 6-byte windows, counted by map-combined sums, so
 online learning runs over distinct windows with their frequencies, in parallel by
-bucket, with weights averaged by frequency. `fit_*` functions return sizes bounded by the
-slots of the tables, not by the corpus, which is why the model may be broadcast.
+bucket, with weights averaged by frequency. Windows are dealt to buckets by the last `NEAR` + 1
+bytes of their context, so a bucket holds all counts of its longer contexts, and these
+grow with the corpus and never leave the buckets. What is broadcast is bounded by the alphabet:
+counts after `NEAR` bytes at most, weights and map. A window's score depends on the window
+alone: each part sends its distinct windows to the buckets and gets one number back for each.
 
 The base score is an add-one unigram model over words, with the end as a word. Word counts
 come back to the documents through `corpus_counts`, so a word held by a third of all
@@ -27,7 +30,6 @@ ignored.
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,8 @@ END = 0xFF  # never a byte of UTF-8
 ORDER = 5
 SPAN_BITS = 21  # windows sorted at once
 SPAN = 1 << SPAN_BITS
-SLOT_BITS = {1: 16, 2: 20, 3: 21, 4: 22, 5: 23}
-BLOCK_BITS = 18
+PIECE = 1 << 17  # windows mixed at once
+NEAR = 2  # contexts up to so many bytes are counted over all buckets
 INPUTS = 2 + ORDER
 LEVELS = np.array([0, 2, 8, 64])  # confidence steps of a count
 GATES = 125
@@ -84,6 +86,11 @@ def _pack(keys: np.ndarray, values: np.ndarray, bucket: np.ndarray, part: int |
     }
 
 
+def _home(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each window: equal where the last `NEAR` + 1 bytes of the context are equal."""
+    return bucket_of(mix64(codes >> np.uint64(8) & np.uint64((1 << 8 * (NEAR + 1)) - 1)), buckets)
+
+
 def count_windows(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, codes, counts, bytes): distinct windows of the learning texts, by bucket."""
 
@@ -101,7 +108,7 @@ def count_windows(docs: DataFrame, buckets: int) -> DataFrame:
                         codes, counts, held = [distinct], [n], len(distinct) // 2
         if codes:
             distinct, n = tally(np.concatenate(codes), np.concatenate(counts))
-            bucket = bucket_of(mix64(distinct), buckets)
+            bucket = _home(distinct, buckets)
             order = np.argsort(bucket, kind="stable")
             yield pa.RecordBatch.from_pydict(_pack(distinct[order], n[order].astype(np.uint32), bucket[order]))
 
@@ -143,53 +150,35 @@ def huffman(hist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return node, bit, np.array([len(p) for p in paths])
 
 
-def slot(context: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
-    """Table slot of an order's context at a tree node."""
-    key = (context & np.uint64((1 << 8 * order) - 1)) << np.uint64(8) | node.astype(np.uint64)
-    if order > 1:
-        key = mix64(key + np.uint64(order << 48)) >> np.uint64(64 - SLOT_BITS[order])
-    return key.astype(np.int64)
-
-
-_START = {order: sum(1 << SLOT_BITS[o] for o in SLOT_BITS if o < order) for order in SLOT_BITS}
-SLOTS = sum(1 << bits for bits in SLOT_BITS.values())
-
-
-def fit_tables(grams: DataFrame, tree: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """How often either branch was taken, by slot; large pairs are scaled to 16 bits."""
+def fit_near(grams: DataFrame, tree: tuple) -> dict:
+    """For each order up to `NEAR` the sorted (context, node) keys and how often either branch was taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, bit, depth = tree
         for batch in batches:
             for raw, many in zip(batch.column("codes").to_pylist(), batch.column("counts").to_pylist()):
-                codes, n = np.frombuffer(raw, np.uint64), np.frombuffer(many, np.int64)
-                byte, context = (codes & np.uint64(255)).astype(np.int64), codes >> np.uint64(8)
-                keys, values = [], []
-                for d in range(node.shape[1]):
-                    on = np.flatnonzero(depth[byte] > d)
-                    for order in SLOT_BITS:
-                        at = _START[order] + slot(context[on], node[byte[on], d], order)
-                        key, total = tally((at * 2 + bit[byte[on], d]).astype(np.uint64), n[on])
-                        keys.append(key)
-                        values.append(total)
-                key, total = tally(np.concatenate(keys), np.concatenate(values))
-                yield pa.RecordBatch.from_pydict(_pack(key.astype(np.uint32), np.minimum(total, 2**32 - 1).astype(np.uint32), key >> np.uint64(BLOCK_BITS + 1)))
-
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        base = key[0].as_py() << (BLOCK_BITS + 1)
-        total = np.zeros(2 << BLOCK_BITS, np.int64)
-        for raw, many in zip(table["keys"].to_pylist(), table["values"].to_pylist()):
-            total[np.frombuffer(raw, np.uint32).astype(np.int64) - base] += np.frombuffer(many, np.uint32)
-        pair = total.reshape(-1, 2).astype(np.float64)
-        pair *= np.minimum(1.0, 65535 / np.maximum(pair.max(axis=1, keepdims=True), 1))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "pairs": [np.ceil(pair).astype(np.uint16).tobytes()]})
-
-    sent = grams.select("codes", "counts").mapInArrow(run, "bucket int, keys binary, values binary")
-    found = sent.groupBy("bucket").applyInArrow(merge, "block int, pairs binary").toArrow()  # SLOTS * 4 bytes at most
-    pairs = np.zeros((((SLOTS - 1) >> BLOCK_BITS) + 1 << BLOCK_BITS, 2), np.uint16)
-    for block, raw in zip(found["block"].to_pylist(), found["pairs"].to_pylist()):
-        pairs[block << BLOCK_BITS : block + 1 << BLOCK_BITS] = np.frombuffer(raw, np.uint16).reshape(-1, 2)
-    return np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+                gram, n = tally(np.frombuffer(raw, np.uint64) & np.uint64((1 << 8 * (NEAR + 1)) - 1), np.frombuffer(many, np.int64))
+                yield pa.RecordBatch.from_pydict({"gram": gram.astype(np.int32), "n": n})
+
+    sent = grams.select("codes", "counts").mapInArrow(run, "gram int, n long")
+    found = sent.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # windows of NEAR + 1 bytes: bounded by the alphabet
+    gram, n = found["gram"].to_numpy().astype(np.uint64), found["n"].to_numpy()
+    byte, context = (gram & np.uint64(255)).astype(np.int64), gram >> np.uint64(8)
+    node, bit, depth = tree
+    near = {}
+    for order in range(1, NEAR + 1):
+        keys, sums = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for d in range(node.shape[1]):
+            on = np.flatnonzero(depth[byte] > d)
+            name = (context[on] & np.uint64((1 << 8 * order) - 1)) << np.uint64(8) | node[byte[on], d].astype(np.uint64)
+            key, total = tally(name << np.uint64(1) | bit[byte[on], d].astype(np.uint64), n[on])
+            keys.append(key)
+            sums.append(total)
+        key, total = tally(np.concatenate(keys), np.concatenate(sums))
+        name = np.unique(key >> np.uint64(1))
+        pairs = np.zeros((2, len(name)), np.float32)
+        pairs[(key & np.uint64(1)).astype(np.int64), np.searchsorted(name, key >> np.uint64(1))] = total
+        near[order] = (name, pairs)
+    return near
 
 
 def _odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -197,32 +186,60 @@ def _odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Predictors, gate and mixing weights over a set of windows, decision by decision."""
+    """Predictors, gate and mixing weights over the windows of a bucket, decision by decision."""
 
     def __init__(self, model: dict):
         self.node, self.bit, self.depth = model["tree"]
         self.weights, self.refine = model.get("weights"), model.get("refine")
-        self.zero, self.one = model["tables"].value
-        self.order0 = model["order0"]
-        self.odds = self.level = None
+        self.near, self.order0 = model["near"].value, model["order0"]
+        # Bytes in the order of the tree's leaves: those below a node are neighbours.
+        path = (self.bit.astype(np.int64) << np.arange(self.bit.shape[1])[::-1]).sum(axis=1)
+        self.rank = np.empty(256, np.uint64)
+        self.rank[np.argsort(path, kind="stable")] = np.arange(256)
 
     def freeze(self) -> Mixer:
-        """Log-odds and confidence of all slots, computed once for scoring."""
-        self.odds = np.empty(len(self.zero), np.float32)
-        self.level = np.empty(len(self.zero), np.uint8)
-        for lo in range(0, len(self.zero), SPAN):
-            a, b = self.zero[lo : lo + SPAN].astype(np.float32), self.one[lo : lo + SPAN].astype(np.float32)
-            self.odds[lo : lo + SPAN] = _odds(a, b)
-            self.level[lo : lo + SPAN] = np.searchsorted(LEVELS, a + b)
-        self.zero = self.one = None
+        """Weights and map are final and only read from here on."""
+        self.weights, self.refine = self.weights.copy(), self.refine.copy()
+        self.weights.flags.writeable = self.refine.flags.writeable = False
+        return self
+
+    def load(self, codes: np.ndarray, n: np.ndarray) -> Mixer:
+        """Take distinct windows and how often each was learned, with all windows that share a context of over `NEAR` bytes."""
+        self.byte, context = (codes & np.uint64(255)).astype(np.int64), codes >> np.uint64(8)
+        self.last = (context & np.uint64(255)).astype(np.int64)
+        self.at = np.r_[0, np.cumsum(self.depth[self.byte])]
+        self.taken = np.zeros((2, ORDER, self.at[-1]), np.float32)
+        for order in range(1, ORDER + 1):
+            context_of = (context & np.uint64((1 << 8 * order) - 1)) << np.uint64(8)
+            on = np.argsort(context_of | self.rank[self.byte])
+            for d in range(self.node.shape[1]):
+                on = on[self.depth[self.byte[on]] > d]
+                if not len(on):
+                    break
+                name = context_of[on] | self.node[self.byte[on], d].astype(np.uint64)
+                head = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+                if order <= NEAR:
+                    pair = self._near(order, name[head])
+                else:
+                    bit, many = self.bit[self.byte[on], d], n[on]
+                    pair = [np.add.reduceat(many * (bit == branch), head) for branch in (0, 1)]
+                run, at = np.diff(np.r_[head, len(on)]), self.at[on] + d
+                for branch in (0, 1):
+                    self.taken[branch, order - 1, at] = np.repeat(pair[branch], run)
         return self
 
-    def steps(self, codes: np.ndarray, leave_out: bool = False) -> Iterator[tuple]:
-        """(positions, branch, inputs, gate, last byte) of each depth of the tree."""
-        byte, context = (codes & np.uint64(255)).astype(np.int64), codes >> np.uint64(8)
-        last = (context & np.uint64(255)).astype(np.int64)
+    def _near(self, order: int, names: np.ndarray) -> np.ndarray:
+        known, pairs = self.near[order]
+        if not len(known):
+            return np.zeros((2, len(names)), np.float32)
+        at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+        return pairs[:, at] * (known[at] == names)
+
+    def steps(self, pick: np.ndarray, leave_out: bool = False) -> Iterator[tuple]:
+        """(positions in `pick`, branch, inputs, gate, last byte) of each depth of the tree, for the loaded windows `pick`."""
+        byte, last, start = self.byte[pick], self.last[pick], self.at[pick]
         length = self.depth[byte]
-        on = np.arange(len(codes))
+        on = np.arange(len(pick))
         for d in range(self.node.shape[1]):
             on = on[length[on] > d]
             if not len(on):
@@ -231,17 +248,13 @@ class Mixer:
             x = np.empty((INPUTS, len(on)), np.float32)
             x[0], x[1] = 0.3, self.order0[node]
             gate = np.zeros(len(on), np.int64)
-            for order in SLOT_BITS:
-                at = _START[order] + slot(context[on], node, order)
-                if self.odds is not None:
-                    x[order + 1], level = self.odds[at], self.level[at]
-                else:
-                    a, b = self.zero[at].astype(np.float32), self.one[at].astype(np.float32)
-                    if leave_out:
-                        a, b = np.maximum(a - (bit == 0), 0), np.maximum(b - (bit == 1), 0)
-                    x[order + 1], level = _odds(a, b), np.searchsorted(LEVELS, a + b)
+            for order in range(1, ORDER + 1):
+                a, b = self.taken[:, order - 1, start[on] + d]
+                if leave_out:
+                    a, b = np.maximum(a - (bit == 0), 0), np.maximum(b - (bit == 1), 0)
+                x[order + 1] = _odds(a, b)
                 if order > 2:
-                    gate = gate * 5 + level
+                    gate = gate * 5 + np.searchsorted(LEVELS, a + b)
             yield on, bit, x, gate, last[on]
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -256,18 +269,18 @@ class Mixer:
         refined = self.refine[at + lower] * (1 - share) + self.refine[at + lower + 1] * share
         return np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
 
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each window after the others."""
+    def log10(self, codes: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of the last byte of each window after the others; `n` as in `load`, none learned by default."""
+        self.load(codes, np.zeros(len(codes), np.int64) if n is None else n)
         total = np.zeros(len(codes))
-        for on, bit, x, gate, last in self.steps(codes):
-            p = self.probability(self.mixed(x, gate), last)
-            total[on] += np.log10(np.where(bit == 1, p, 1 - p))
+        for lo in range(0, len(codes), PIECE):
+            pick = np.arange(lo, min(lo + PIECE, len(codes)))
+            for on, bit, x, gate, last in self.steps(pick):
+                p = self.probability(self.mixed(x, gate), last)
+                total[pick[on]] += np.log10(np.where(bit == 1, p, 1 - p))
         return total
 
 
-_frozen: dict[str, Mixer] = {}  # the model that this worker process scores with
-
-
 def _start_weights() -> np.ndarray:
     weights = np.full((INPUTS, GATES), 0.3, np.float32)
     weights[0] = weights[1] = 0.0
@@ -282,12 +295,13 @@ def fit_weights(grams: DataFrame, model: dict) -> np.ndarray:
         for batch in batches:
             for raw, many in zip(batch.column("codes").to_pylist(), batch.column("counts").to_pylist()):
                 codes, n = np.frombuffer(raw, np.uint64), np.frombuffer(many, np.int64)
+                mixer.load(codes, n)
                 mixer.weights, seen = _start_weights(), np.zeros(GATES)
                 order = np.random.Generator(np.random.PCG64(3)).permutation(len(codes))
                 for again in range(PASSES):
                     for lo in range(0, len(codes), BATCH):
                         pick = order[lo : lo + BATCH]
-                        for on, bit, x, gate, _ in mixer.steps(codes[pick], True):
+                        for on, bit, x, gate, _ in mixer.steps(pick, True):
                             weight = n[pick][on].astype(np.float64)
                             miss = (bit - 1 / (1 + np.exp(-mixer.mixed(x, gate)))) * weight
                             mass = np.bincount(gate, weight, GATES)
@@ -322,10 +336,11 @@ def fit_refinement(grams: DataFrame, model: dict) -> np.ndarray:
         for batch in batches:
             for raw, many in zip(batch.column("codes").to_pylist(), batch.column("counts").to_pylist()):
                 codes, n = np.frombuffer(raw, np.uint64), np.frombuffer(many, np.int64)
-                for lo in range(0, len(codes), SPAN):
-                    for on, bit, x, gate, last in mixer.steps(codes[lo : lo + SPAN], True):
+                mixer.load(codes, n)
+                for lo in range(0, len(codes), PIECE):
+                    for on, bit, x, gate, last in mixer.steps(np.arange(lo, min(lo + PIECE, len(codes))), True):
                         at = last * BINS + np.rint((mixer.mixed(x, gate) + 12) * ((BINS - 1) / 24)).astype(np.int64)
-                        weight = n[lo : lo + SPAN][on]
+                        weight = n[lo : lo + PIECE][on]
                         hits[0] += np.bincount(at, weight, 256 * BINS)
                         hits[1] += np.bincount(at, weight * bit, 256 * BINS)
         used = np.flatnonzero(hits[0])
@@ -340,7 +355,7 @@ def fit_refinement(grams: DataFrame, model: dict) -> np.ndarray:
 
 
 def fit(docs: DataFrame, buckets: int) -> dict:
-    """The whole model from the learning rows of (doc_id, text)."""
+    """The whole model from the learning rows of (doc_id, text); counts of longer contexts stay in its table `grams`."""
     grams = materialize(count_windows(docs, buckets), "grams")
     hist = np.zeros(256, np.int64)
     for raw in grams.select("bytes").toArrow()["bytes"].to_pylist():  # 2 KB a bucket
@@ -350,12 +365,72 @@ def fit(docs: DataFrame, buckets: int) -> dict:
     for byte in range(256):
         for d in range(tree[2][byte]):
             flow[tree[0][byte, d], tree[1][byte, d]] += hist[byte]
-    # The tables are most of the model and are broadcast once; the rest is small.
-    tables = docs.sparkSession.sparkContext.broadcast(fit_tables(grams, tree))
-    model = {"key": uuid.uuid4().hex, "tree": tree, "order0": _odds(flow[:, 0], flow[:, 1]), "tables": tables}
+    near = docs.sparkSession.sparkContext.broadcast(fit_near(grams, tree))
+    model = {"tree": tree, "order0": _odds(flow[:, 0], flow[:, 1]), "near": near}
     model["weights"] = fit_weights(grams, model)
     model["refine"] = fit_refinement(grams, model)
-    return model
+    return model | {"grams": grams}
+
+
+def _part_windows(table: pa.Table) -> np.ndarray:
+    """The distinct windows of a part, sorted."""
+    found = [np.zeros(0, np.uint64)]
+    for _, _, data, offs in slices(table.column("text"), SPAN):
+        found.extend(tally(code)[0] for code, _ in windows(data, offs))
+    return tally(np.concatenate(found))[0]
+
+
+def _thin(codes: np.ndarray) -> bytes:
+    """Windows byte plane by byte plane, without the upper two bytes that are zero."""
+    return codes.view(np.uint8).reshape(-1, 8)[:, : ORDER + 1].T.tobytes()
+
+
+def _wide(planes: bytes) -> np.ndarray:
+    codes = np.zeros((len(planes) // (ORDER + 1), 8), np.uint8)
+    codes[:, : ORDER + 1] = np.frombuffer(planes, np.uint8).reshape(ORDER + 1, -1).T
+    return codes.view(np.uint64).ravel()
+
+
+def _send_windows(buckets: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        codes = _part_windows(table)
+        bucket = _home(codes, buckets).astype(np.int64)
+        codes = codes[np.argsort(bucket, kind="stable")]
+        cut = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
+        used = np.flatnonzero(np.diff(cut))
+        return pa.table(
+            {
+                "bucket": pa.array(used, pa.int32()),
+                "part": pa.array(np.full(len(used), key[0].as_py()), pa.int32()),
+                "windows": pa.array([_thin(codes[cut[b] : cut[b + 1]]) for b in used], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _answer_scores(small: dict):
+    """Scores of the windows in the order in which each part sent them, by the counts of the bucket."""
+
+    def run(sent: pa.Table, grams: pa.Table) -> pa.Table:
+        mine = [_wide(x) for x in sent["windows"].to_pylist()]
+        learned = [np.frombuffer(x, np.uint64) for x in grams["codes"].to_pylist()]
+        distinct, _ = tally(np.concatenate([np.zeros(0, np.uint64), *mine, *learned]))
+        n = np.zeros(len(distinct), np.int64)
+        for codes, many in zip(learned, grams["counts"].to_pylist()):
+            n[np.searchsorted(distinct, codes)] = np.frombuffer(many, np.int64)
+        score = Mixer(small).freeze().log10(distinct, n).astype(np.float32)
+        return pa.table({"part": sent["part"], "bucket": sent["bucket"], "scores": pa.array([score[np.searchsorted(distinct, m)].tobytes() for m in mine], pa.binary())})
+
+    return run
+
+
+def window_scores(docs: DataFrame, model: dict, buckets: int) -> DataFrame:
+    """(part, bucket, scores) for the distinct windows of each part of (part, text)."""
+    sent = docs.groupBy("part").applyInArrow(_send_windows(buckets), "bucket int, part int, windows binary")
+    small = {k: v for k, v in model.items() if k != "grams"}
+    grams = model["grams"].select("bucket", "codes", "counts")
+    return sent.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(_answer_scores(small), "part int, bucket int, scores binary")
 
 
 def _part_words(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -412,11 +487,11 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_all, n_distinct = (x or 0 for x in answers.agg(F.sum("n_all"), F.sum("n_distinct")).first())
     model = fit(docs.select("doc_id", "text"), parts)
 
-    def run(table: pa.Table, totals: pa.Table) -> pa.Table:
-        if model["key"] not in _frozen:
-            _frozen.clear()
-            _frozen[model["key"]] = Mixer(model).freeze()
-        mixer = _frozen[model["key"]]
+    scored = window_scores(docs, model, parts).select("part", "bucket", F.lit(None).cast("binary").alias("totals"), "scores")
+    answers = answers.select("part", "bucket", "totals", F.lit(None).cast("binary").alias("scores")).unionByName(scored)
+
+    def run(table: pa.Table, both: pa.Table) -> pa.Table:
+        totals, scores = both.filter(both["totals"].is_valid()), both.filter(both["scores"].is_valid())
         order = np.argsort(totals["bucket"].to_numpy(), kind="stable").tolist()
         raw = totals["totals"].to_pylist()
         count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(raw[i], np.int64) for i in order)])
@@ -432,6 +507,10 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             seen.append(run_known[ptr[1:]] - run_known[ptr[:-1]] + known[end])
             base.append(run_gain[ptr[1:]] - run_gain[ptr[:-1]] + gain[end])
         n = np.concatenate(tokens)
+        codes = _part_windows(table)
+        value_of = np.empty(len(codes), np.float32)
+        raw, order = scores["scores"].to_pylist(), np.argsort(scores["bucket"].to_numpy(), kind="stable").tolist()
+        value_of[np.argsort(_home(codes, parts), kind="stable")] = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(raw[i], np.float32) for i in order)])
         score, size = [], []
         for _, _, data, offs in slices(table.column("text"), SPAN):
             total = np.zeros(len(offs) - 1)
@@ -442,7 +521,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 place = (joint & np.uint64(SPAN - 1)).astype(np.int64)
                 ordered = code[place]
                 first = np.r_[True, ordered[1:] != ordered[:-1]]
-                value = mixer.log10(ordered[first])[np.cumsum(first) - 1]
+                value = value_of[np.searchsorted(codes, ordered[first])][np.cumsum(first) - 1]
                 back = np.empty(len(code))
                 back[place] = value
                 total += np.bincount(owner, back, len(total))
@@ -463,7 +542,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return docs.groupBy("part").cogroup(answers.select("part", "bucket", "totals").groupBy("part")).applyInArrow(run, schema)
+    return docs.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

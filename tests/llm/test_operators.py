@@ -361,6 +361,37 @@ def test_lm_is_a_distribution(spark):
         assert (10 ** mixer.log10(codes)).sum() == pytest.approx(1.0, abs=1e-6)
 
 
+def test_lm_counts_are_exact(spark):
+    """Counts after every context equal a count over all windows, however many contexts there are, and sum to 1."""
+    docs = table(spark).select("doc_id", "text")
+    model = context_mixing.fit(docs, 4)
+    grams = model["grams"].collect()
+    whole = Counter()
+    for row in grams:
+        whole.update(dict(zip(np.frombuffer(row.codes, np.uint64).tolist(), np.frombuffer(row.counts, np.int64).tolist())))
+    node, bit, depth = model["tree"]
+    want = Counter()
+    for code, n in whole.items():
+        for order in range(1, context_mixing.ORDER + 1):
+            for d in range(depth[code & 255]):
+                want[order, code >> 8 & (1 << 8 * order) - 1, node[code & 255, d], bit[code & 255, d]] += n
+    for row in grams:
+        codes, n = np.frombuffer(row.codes, np.uint64), np.frombuffer(row.counts, np.int64)
+        mixer = context_mixing.Mixer(model).load(codes, n)
+        for i in range(0, len(codes), 97):
+            code = int(codes[i])
+            for order in range(1, context_mixing.ORDER + 1):
+                for d in range(depth[code & 255]):
+                    key = (order, code >> 8 & (1 << 8 * order) - 1, node[code & 255, d])
+                    assert mixer.taken[:, order - 1, mixer.at[i] + d].tolist() == [want[*key, 0], want[*key, 1]]
+        head = int(codes[0]) >> 8 << 8
+        every = np.unique(np.r_[codes, np.arange(head, head + 256, dtype=np.uint64)])
+        many = np.zeros(len(every), np.int64)
+        many[np.searchsorted(every, codes)] = n
+        found = mixer.log10(every, many)[np.searchsorted(every, np.arange(head, head + 256, dtype=np.uint64))]
+        assert (10**found).sum() == pytest.approx(1.0, abs=1e-6)
+
+
 def test_lm_empty(spark, empty, docs):
     assert context_mixing.lm_scores(empty).count() == 0
 
