@@ -2,7 +2,8 @@
 
 A payload becomes unsigned 8-bit mono samples in a WAV container. Features come from the
 samples of that container: polyphase resampling by 1/2, log-mel filterbanks over half
-overlapped frames, and segments of activity by energy with hysteresis. Log-mel frames are
+overlapped frames (the signal padded with silence to whole hops, so that each sample lies in a
+frame), and segments of activity by energy with hysteresis. Log-mel frames are
 cut into fixed-shape tensors of `FRAMES` x `MELS` (the last one padded with the floor
 value), stored as an Arrow tensor column with the time span of each tensor.
 
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantflow.llm.text import runs
+
 RATE = 8000
 UNIT = 64
 TAPS, DOWN = 16, 2
@@ -87,8 +90,8 @@ def resample(samples: np.ndarray) -> np.ndarray:
 
 def log_mel(signal: np.ndarray) -> np.ndarray:
     """(frames, MELS) in dB, block by block."""
-    if len(signal) < FRAME:
-        signal = np.concatenate([signal, np.zeros(FRAME - len(signal), np.float32)])
+    short = FRAME - len(signal) if len(signal) < FRAME else -(len(signal) - FRAME) % HOP
+    signal = np.concatenate([signal, np.zeros(short, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
     out = []
     for lo in range(0, len(frames), BLOCK_FRAMES):
@@ -147,10 +150,10 @@ def audio_features(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
         step = HOP * DOWN / RATE
         for batch in batches:
-            idents, texts = batch.column("doc_id"), batch.column("text").cast(pa.binary())
-            for lo in range(0, batch.num_rows, 64):
+            idents, texts = batch.column("doc_id"), batch.column("text").cast(pa.large_binary())
+            for lo, hi in runs(batch.column("text"), limit=4 << 20):
                 sizes, medias, payloads, tensors, spans = [], [], [], [], []
-                for raw in texts.slice(lo, 64).to_pylist():
+                for raw in texts.slice(lo, hi - lo).to_pylist():
                     raw = raw or b""
                     media = store(raw + bytes(-len(raw) % UNIT if raw else UNIT))
                     payload = load(media)
@@ -162,7 +165,7 @@ def audio_features(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                     spans.append([{"start_s": a * step, "end_s": b * step} for a, b in segments(mel)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        idents.slice(lo, 64),
+                        idents.slice(lo, hi - lo),
                         pa.array(sizes, pa.int64()),
                         pa.array(medias, pa.binary()),
                         pa.array(payloads, pa.binary()),

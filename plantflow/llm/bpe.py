@@ -6,7 +6,7 @@ one encoding, settled by its last token. The transducer follows all tokens that
 still be under way: a state holds, for each of them, its place in the vocabulary trie,
 the token before it and the tokens not yet emitted. A token is emitted as soon as all
 of them agree on it, so the lookahead is bounded by the longest token. States and arcs
-are built when first needed and kept; a full table is dropped and grows again.
+are built when first needed and kept; a full table is dropped, also inside a word, and grows again.
 
 Decoding is a stream: an incremental UTF-8 state machine turns token bytes into text
 as they come and keeps back at most the three bytes of an unfinished character.
@@ -32,10 +32,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantflow.llm.text import runs
 from plantflow.llm.worker import hold
 
 MAX_STATES = 250_000
-MAX_WORDS = 300_000
+MAX_WORDS, WORD_BYTES = 300_000, 256
 BLOCK_CHARS = 1 << 20
 
 
@@ -162,6 +163,13 @@ class Transducer:
         for byte in word:
             arc = arcs.get(state << 8 | byte)
             if arc is None:
+                if len(self.states) > MAX_STATES:  # inside a very long word: go on from the same state in an empty table
+                    here, tail = self.states[state], self.tails[state]
+                    self._reset()
+                    state, arcs = self.numbers.setdefault(here, len(self.states)), self.arcs
+                    if state == len(self.states):
+                        self.states.append(here)
+                        self.tails.append(tail)
                 arc = arcs[state << 8 | byte] = self._arc(state, byte)
             state, emitted = arc
             if emitted:
@@ -177,10 +185,15 @@ class Transducer:
             pass
         if len(cache) > MAX_WORDS:
             cache.clear()
+        out = []
         for word in words:
-            if word not in cache:
-                cache[word] = np.array(self.encode(word.encode()), "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+            coded = cache.get(word)
+            if coded is None:
+                coded = np.array(self.encode(word.encode()), "<u4").tobytes()
+                if len(word) <= WORD_BYTES:  # longer words are not kept, so the cache is bounded in bytes
+                    cache[word] = coded
+            out.append(coded)
+        return b"".join(out)
 
 
 def compile_merges(tokens: list[bytes]) -> dict:
@@ -278,16 +291,16 @@ def transcode(
         fst, split, flat, starts, sizes = _tools(model)
         for batch in batches:
             texts, idents = batch.column("text"), batch.column("doc_id")
-            for lo in range(0, batch.num_rows, 64):
+            for lo, hi in runs(texts, limit=4 << 20):
                 ids, counts, back = [], [], []
-                for text in texts.slice(lo, 64).to_pylist():
+                for text in texts.slice(lo, hi - lo).to_pylist():
                     packed = b"".join([fst.ids(split.findall(b)) for b in blocks(text)]) if text else b""
                     numbers = np.frombuffer(packed, "<u4").astype(np.int64)
                     ids.append(packed)
                     counts.append(len(numbers))
                     back.append("".join(decode_stream(numbers, flat, starts, sizes)))
                 yield pa.RecordBatch.from_arrays(
-                    [idents.slice(lo, 64), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(back, pa.string())],
+                    [idents.slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(back, pa.string())],
                     ["doc_id", "ids", "n_tokens", "decoded"],
                 )
 

@@ -51,6 +51,7 @@ INPUTS = 2 + ORDER
 LEVELS = np.array([0, 2, 8, 64])  # confidence steps of a count
 GATES = 125
 BINS = 33
+PRIOR = np.float32(__import__('os').environ.get('PRIOR','1'))
 STEP, BATCH, PASSES = 0.3, 1024, 2
 END_WORD = np.uint64(0xE5D0E5D0E5D0E5D1)
 
@@ -248,11 +249,15 @@ class Mixer:
             x = np.empty((INPUTS, len(on)), np.float32)
             x[0], x[1] = 0.3, self.order0[node]
             gate = np.zeros(len(on), np.int64)
+            p = 1 / (1 + np.exp(-x[1]))
             for order in range(1, ORDER + 1):
                 a, b = self.taken[:, order - 1, start[on] + d]
                 if leave_out:
                     a, b = np.maximum(a - (bit == 0), 0), np.maximum(b - (bit == 1), 0)
-                x[order + 1] = _odds(a, b)
+                # A context's counts over those of the shorter context, which stands for `PRIOR` observations.
+                p = (b + PRIOR * p) / (a + b + PRIOR)
+                p = np.clip(p, np.float32(1e-5), np.float32(1 - 1e-5))
+                x[order + 1] = np.log(p / (1 - p))
                 if order > 2:
                     gate = gate * 5 + np.searchsorted(LEVELS, a + b)
             yield on, bit, x, gate, last[on]

@@ -10,14 +10,16 @@ texts is marked as rejected.
 Document frequencies are counted over all learning rows. Centroids are fitted on a
 bounded sample: about `fit_rows` learning rows of each language, in order of a hash of
 the id. The model has languages x centroids x 2**BITS numbers, however large the
-corpus, and is broadcast.
+corpus, and is broadcast; a column with more than `MAX_LANGUAGES` values is no language
+column and is refused.
 
 `und` with score 0 goes to null text and text without a letter. Rows with a null language
 teach nothing; without any learning row all are `und`. Repeated and null ids are handled
 row by row; other columns are ignored.
 
-At scale: counting sends one row per used feature and task, k-means one sum per centroid
-and task; scoring is a single pass without a shuffle.
+At scale: counting sends one row per used feature and task, combined by a sum. k-means sums
+meet by centroid, so the driver gets one row per centroid, however many tasks there are;
+scoring is a single pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ DIM = 1 << BITS
 CENTROIDS = 3
 ROUNDS = 4
 QUANTILE = 0.995
-SLICE_ROWS = 64
+MAX_LANGUAGES = 1_000
+SLICE_ROWS, TASK_ROWS = 64, 512
 PIECE_CHARS = 1 << 18
 
 _LETTER = np.zeros(0x110000, bool)
@@ -127,24 +130,36 @@ def _assign(x: np.ndarray, langs: list[str], owner: np.ndarray, centroids: np.nd
     return at, cosine[np.arange(len(x)), at]
 
 
+def _gather(key: tuple, table: pa.Table) -> pa.Table:
+    """Sum of a centroid's texts and the distance that holds `QUANTILE` of them, from the parts of all tasks."""
+    parts = [np.frombuffer(x, np.float32) for x in table["total"].to_pylist()]
+    total = np.sum(sorted(parts, key=bytes), axis=0, dtype=np.float64) if len(parts[0]) else np.zeros(0)
+    far = [d for ds in table["far"].to_pylist() for d in ds]
+    return pa.table({"centroid": table["centroid"].slice(0, 1), "total": [total.tobytes()], "far": [float(np.quantile(far, QUANTILE)) if far else 0.0]})
+
+
 def fit(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 3_000, slack: float = 1.1
 ) -> dict:
     """IDF, centroids with their languages, and the rejection distance of each centroid."""
     spark = documents.sparkSession
     rows = _learning(documents, id_col, text_col, lang_col)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in counted.limit(MAX_LANGUAGES + 1).collect()}  # one row a language
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     empty = {"idf": np.ones(DIM, np.float32), "owner": np.zeros(0, str), "centroids": np.zeros((0, DIM), np.float32), "radius": np.zeros(0)}
     if not sizes:
         return empty
     idf = _frequencies(rows)
-    dealt, share = F.pmod(F.xxhash64(F.lit("fit"), "ident"), F.lit(1 << 20)), F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, fit_rows / n) * (1 << 20))).otherwise(share)
+    dealt = F.pmod(F.xxhash64(F.lit("fit"), "ident"), F.lit(1 << 20))
+    known = [(lang, int(min(1.0, fit_rows / n) * (1 << 20))) for lang, n in sizes.items()]
+    shares = F.broadcast(spark.createDataFrame(known, "lang string, share int"))  # MAX_LANGUAGES rows at most
     seedling = F.pmod(F.xxhash64(F.lit("start"), "ident"), F.lit(CENTROIDS)).cast("int")
-    sample = rows.where(dealt < share).select("text", "lang", seedling.alias("start"))
+    sample = rows.join(shares, "lang").where(dealt < F.col("share")).select("text", "lang", seedling.alias("start"))
     # A shuffle of the bounded sample; merging scan tasks instead would hold all their file readers open at once.
-    sample = sample.repartition(max(1, spark.sparkContext.defaultParallelism)).persist()
+    expected = sum(min(n, fit_rows) for n in sizes.values())
+    sample = sample.repartition(max(1, min(spark.sparkContext.defaultParallelism, -(-expected // TASK_ROWS)))).persist()
     owner = np.array([lang for lang in sorted(sizes) for _ in range(CENTROIDS)])
     centroids, radius = None, np.zeros(len(owner))
     for round_ in range(ROUNDS + 1):
@@ -177,16 +192,15 @@ def fit(
                 ["centroid", "total", "far"],
             )
 
-        # One row per task and centroid; tasks are bounded by the deal above.
-        found = sample.mapInArrow(run, "centroid int, total binary, far array<double>").toArrow().to_pydict()
+        # Sums of the tasks meet by centroid: one row each for the driver.
+        sums = sample.mapInArrow(run, "centroid int, total binary, far array<double>")
+        found = sums.groupBy("centroid").applyInArrow(_gather, "centroid int, total binary, far double").toArrow().to_pydict()
         if last:
-            for c in range(len(owner)):
-                own = [d for k, ds in zip(found["centroid"], found["far"]) if k == c for d in ds]
-                radius[c] = np.quantile(own, QUANTILE) * slack if own else 0.0
+            radius[found["centroid"]] = np.array(found["far"]) * slack
             break
         fresh = np.zeros((len(owner), DIM))
         for c, total in zip(found["centroid"], found["total"]):
-            fresh[c] += np.frombuffer(total, np.float32)
+            fresh[c] = np.frombuffer(total)
         norm = np.sqrt((fresh * fresh).sum(axis=1, keepdims=True))
         kept = centroids if centroids is not None else np.zeros_like(fresh)
         centroids = np.where(norm > 0, fresh / np.maximum(norm, 1e-12), kept).astype(np.float32)

@@ -8,9 +8,10 @@ wherever it is processed. Rows are exploded by their count and shuffled globally
 hash of (seed, id, copy) deals them to partitions and orders them inside.
 
 Null sources form one group of their own. `weights` maps sources to relative weights,
-others are left out (weight 0); None gives all sources equal weight. A null id
-hashes as the empty string; repeated ids share their count. An empty table gives an
-empty mix. Input columns named like the two added columns are replaced.
+others are left out (weight 0); None gives all sources equal weight. A null id is
+stood for by the md5 of its text (null: empty), so rows without ids are drawn each by its
+text; repeated ids share their count. An empty table gives an empty mix. Input columns named
+like the two added columns are replaced; no other column name clashes.
 
 At scale: counting rows by source is a map-combined aggregate; the rate table has one
 row per source and is broadcast only below `BROADCAST_SOURCES` rows, else joined by
@@ -25,6 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plantflow.llm.storage import unused
+
 BROADCAST_SOURCES = 20_000
 CHUNK_RATE = 64.0
 
@@ -45,20 +48,20 @@ def rates(documents: DataFrame, weights: dict[str | None, float] | None = None,
     A sum of `chunks` independent Poisson values with mean rate / chunks is Poisson with
     mean rate, so each tabulated mean stays small enough for exp(-mean) to be exact.
     """
-    counts = documents.groupBy(F.col(source_col).alias("__source")).agg(F.count("*").alias("__n"))
+    counts = documents.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
-        weighted = counts.withColumn("__w", F.lit(1.0))
+        weighted = counts.withColumn("w", F.lit(1.0))
     else:
         chosen = F.lit(0.0)
         for name, weight in weights.items():
-            chosen = F.when(F.col("__source").eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(chosen)
-        weighted = counts.withColumn("__w", chosen)
-    total = weighted.agg(F.sum("__n").alias("__all"), F.sum("__w").alias("__ws"))
+            chosen = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(chosen)
+        weighted = counts.withColumn("w", chosen)
+    total = weighted.agg(F.sum("n").alias("all"), F.sum("w").alias("ws"))
     rated = weighted.crossJoin(F.broadcast(total)).withColumn(  # one row
-        "__rate", F.when(F.col("__ws") > 0, F.col("__w") / F.col("__ws") * F.col("__all") / F.col("__n")).otherwise(F.lit(0.0))
+        "rate", F.when(F.col("ws") > 0, F.col("w") / F.col("ws") * F.col("all") / F.col("n")).otherwise(F.lit(0.0))
     )
-    rated = rated.withColumn("__chunks", F.greatest(F.lit(1), F.ceil(F.col("__rate") / CHUNK_RATE)).cast("int"))
-    mean = F.col("__rate") / F.col("__chunks")
+    rated = rated.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("rate") / CHUNK_RATE)).cast("int"))
+    mean = F.col("rate") / F.col("chunks")
     terms = int(CHUNK_RATE + 12 * math.sqrt(CHUNK_RATE) + 24)
     step = F.aggregate(
         F.sequence(F.lit(1), F.lit(terms)),
@@ -70,7 +73,7 @@ def rates(documents: DataFrame, weights: dict[str | None, float] | None = None,
         ),
     )
     cdf = F.filter(step["c"], lambda c: c < F.lit(1.0))
-    return rated.select("__source", "__rate", "__chunks", cdf.alias("__cdf"))
+    return rated.select("source", "rate", "chunks", cdf.alias("cdf"))
 
 
 def mix(
@@ -79,21 +82,24 @@ def mix(
     seed: int = 17,
     id_col: str = "doc_id",
     source_col: str = "source",
+    text_col: str = "text",
 ) -> DataFrame:
     """Replicated, shuffled rows with all their columns plus copy_index and shuffle_key."""
+    docs = documents.drop("copy_index", "shuffle_key")
     table = rates(documents, weights, source_col)
+    source, chunks, cdf, n = (unused(docs, c) for c in ("mix_source", "mix_chunks", "mix_cdf", "mix_n"))
+    table = table.select(F.col("source").alias(source), F.col("chunks").alias(chunks), F.col("cdf").alias(cdf))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    docs = documents.drop("copy_index", "shuffle_key")
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    joined = docs.join(table, docs[source_col].eqNullSafe(F.col("__source")))
+    ident = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = docs.join(table, docs[source_col].eqNullSafe(F.col(source)))
     many = F.aggregate(
-        F.sequence(F.lit(1), F.col("__chunks")),
+        F.sequence(F.lit(1), F.col(chunks)),
         F.lit(0),
-        lambda n, chunk: n + _inverse(uniform(F.lit(str(seed)), ident, chunk.cast("string")), F.col("__cdf")),
+        lambda total, chunk: total + _inverse(uniform(F.lit(str(seed)), ident, chunk.cast("string")), F.col(cdf)),
     )
-    counted = joined.withColumn("__n", many).where("__n > 0")
-    copies = counted.withColumn("copy_index", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    counted = joined.withColumn(n, many).where(F.col(n) > 0)
+    copies = counted.withColumn("copy_index", F.explode(F.sequence(F.lit(1), F.col(n))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), ident, F.col("copy_index").cast("string"))))
     dealt = keyed.select(*docs.columns, "copy_index", "shuffle_key").repartition(F.col("shuffle_key"))
     return dealt.sortWithinPartitions("shuffle_key")
@@ -107,10 +113,10 @@ def mix_sql(docs: str = "documents", seed: int = 17, columns: str = "doc_id, tex
     """DuckDB text of `mix` with equal weights, over the relation `docs`."""
     return f"""
 SELECT {columns}, CAST(k AS INTEGER) AS copy_index,
-       md5('{seed}s:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || k) AS shuffle_key
+       md5('{seed}s:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':' || k) AS shuffle_key
 FROM (
   SELECT d.*, unnest(range(1, CAST(list_sum(list_transform(range(1, r.chunks + 1), lambda c: len(list_filter(r.cdf, lambda x: x <=
-         (CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || c), 1, 13) AS BIGINT) + 0.5)
+         (CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), md5(coalesce(d.text, ''))) || ':' || c), 1, 13) AS BIGINT) + 0.5)
          / 4503599627370496.0)))) + 1 AS BIGINT))) AS k
   FROM {docs} d JOIN (
     SELECT source, chunks, list_filter(list_transform(range(0, 185), lambda k: list_sum(list_transform(range(0, k + 1),

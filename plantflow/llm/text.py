@@ -60,6 +60,16 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         lo = hi
 
 
+def runs(column: pa.Array | pa.ChunkedArray, rows: int = 64, limit: int = 16 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, last row + 1) of runs of at most `rows` rows and about `limit` bytes; a longer row is a run of its own."""
+    offs = byte_view(column)[1]
+    n, lo = len(offs) - 1, 0
+    while lo < n:
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
 def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row pointer, in-word mask) of the words of a byte slice."""
     inside = ~_GAP[data]

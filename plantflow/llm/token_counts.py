@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantflow.llm.text import runs
+
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 9
 LIMIT = 2048
@@ -146,10 +148,10 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None, id_col: st
         counter = _loaded[key]
         for batch in batches:
             texts = batch.column("text")
-            for lo in range(0, batch.num_rows, 64):
-                n = [counter.count(t) if t else 0 for t in texts.slice(lo, 64).to_pylist()]
+            for lo, hi in runs(texts):
+                n = [counter.count(t) if t else 0 for t in texts.slice(lo, hi - lo).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, 64), batch.column("n_bytes").slice(lo, 64), pa.array(n, pa.int64())],
+                    [batch.column("doc_id").slice(lo, hi - lo), batch.column("n_bytes").slice(lo, hi - lo), pa.array(n, pa.int64())],
                     ["doc_id", "n_bytes", "n_tokens"],
                 )
 

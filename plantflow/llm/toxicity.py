@@ -4,12 +4,14 @@ Features are the distinct hashed word unigrams, word stems (first letters), bigr
 skip-grams (word, next but one) of a text. Learning keeps per-coordinate rates and an L1
 term, so that only features seen often enough in one class get a weight; the trained model
 is a sparse table of at most `2**BITS` weights, whatever the corpus, and that bound is what
-makes it safe to broadcast.
+makes it safe to broadcast; it travels as its nonzero entries.
 
 The classifier is fitted on a bounded sample of labelled rows: at most about
-`max_positive` and `max_negative` rows, taken in order of a hash of the id. Features are
-made where the rows are read; FTRL itself is sequential, so one task learns from that
-bounded sample. Scoring reads every whole text once, with no shuffle.
+`max_positive` and `max_negative` ids, taken in order of a hash of the id, one text of each
+(rows that repeat an id count once), and of each text the `max_features` features of smallest
+number, a sample that is the same for all texts. Features are made where the rows are
+read; FTRL itself is sequential, so one task learns from that sample, of a bounded
+number of bytes. Scoring reads every whole text once, with all its features and no shuffle.
 
 Null or empty text has no features and gets the intercept's score. Rows without a
 label, or with a null one, teach nothing; of repeated labels for an id the largest
@@ -49,25 +51,25 @@ def features(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
         yield np.unique(np.concatenate([one[a:b], two[a : max(a, b - 1)], skip[a : max(a, b - 2)], *(x[a:b] for x in stems)]))
 
 
-def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
-    for batch in batches:
-        label = batch.column("label")
-        for lo, hi, data, offs in slices(batch.column("text")):
-            rows = [x.tobytes() for x in features(data, offs)]
-            yield pa.RecordBatch.from_arrays(
-                [label.slice(lo, hi - lo), pa.array(rows, pa.binary())], ["label", "feats"]
-            )
+def _featurize(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for lo, hi, data, offs in slices(batch.column("text")):
+                rows = [x[:most].tobytes() for x in features(data, offs)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array(rows, pa.binary())],
+                    ["id", "label", "feats"],
+                )
+
+    return run
 
 
 def _learn(table: pa.Table) -> pa.Table:
     """FTRL-proximal over the sample, in an order fixed by its content."""
     release()
-    column = table["feats"].combine_chunks()
-    _, offs, data = column.buffers()
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    offs = np.frombuffer(offs, np.int32)[column.offset : column.offset + len(column) + 1]
-    rows = [(data[a:b].view(np.int32), y) for a, b, y in zip(offs[:-1].tolist(), offs[1:].tolist(), table["label"].to_pylist())]
+    feats = [np.frombuffer(x.as_buffer(), np.int32) for chunk in table["feats"].chunks for x in chunk]
+    rows = list(zip(feats, table["label"].to_pylist()))
     order = sorted(range(len(rows)), key=lambda r: (zlib.crc32(rows[r][0]), len(rows[r][0]), rows[r][1]))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -92,9 +94,9 @@ def _learn(table: pa.Table) -> pa.Table:
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive: int = 3_000, max_negative: int = 6_000
-) -> np.ndarray:
-    """Weights by feature number, the intercept last, from rows outside the held-out third."""
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive: int = 3_000, max_negative: int = 6_000, max_features: int = 16_384
+) -> tuple[np.ndarray, np.ndarray]:
+    """(feature numbers, weights) that aren't zero, the intercept's number last of all, from rows outside the held-out third."""
     ident = F.col("doc_id").cast("string")
     known = labels.select(F.col("doc_id"), F.col("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(F.crc32(ident) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -103,27 +105,37 @@ def fit(
         min(1.0, max_negative / max(1, sizes.get(0, 0)))
     )
     dealt = F.pmod(F.xxhash64(F.lit("sample"), ident), F.lit(1_000_000))
-    sample = known.where(dealt < share * 1_000_000).select(F.col("doc_id").alias("__id"), "label")
+    sample = known.where(dealt < share * 1_000_000).select(F.col("doc_id").alias("id"), "label")
     # At most about max_positive + max_negative rows, so this side may be broadcast.
-    rows = documents.select(F.col(id_col).alias("__doc"), F.col("text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
-    feats = rows.select("label", "text").mapInArrow(_featurize, "label int, feats binary")
+    rows = documents.select(F.col(id_col).alias("id"), F.col("text")).join(F.broadcast(sample), "id")
+    feats = rows.select(F.col("id").cast("long").alias("id"), "label", "text").mapInArrow(_featurize(max_features), "id long, label int, feats binary")
+    feats = feats.groupBy("id").agg(F.max("label").alias("label"), F.min("feats").alias("feats"))
     table = feats.groupBy(F.lit(0).alias("one")).applyInArrow(_learn, "feature int, weight double").toArrow()
-    weights = np.zeros((1 << BITS) + 1, np.float32)
-    weights[table["feature"].to_numpy()] = table["weight"].to_numpy()
-    return weights
+    return table["feature"].to_numpy(), table["weight"].to_numpy().astype(np.float32)
+
+
+def dense(weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weights by feature number, the intercept last."""
+    out = np.zeros((1 << BITS) + 1, np.float32)
+    out[weights[0]] = weights[1]
+    return out
+
+
+def _probability(data: np.ndarray, offs: np.ndarray, w: np.ndarray) -> np.ndarray:
+    total = np.array([w[f].sum(dtype=np.float64) for f in features(data, offs)]) + float(w[-1])
+    return 1.0 / (1.0 + np.exp(-np.clip(total, -60, 60)))
 
 
-def score(documents: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and predicted for every row."""
     model = documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        w = model.value
+        w = dense(model.value)
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column("text")):
-                total = np.array([w[f].sum(dtype=np.float64) for f in features(data, offs)]) + float(w[-1])
-                p = 1.0 / (1.0 + np.exp(-np.clip(total, -60, 60)))
+                p = _probability(data, offs, w)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
                     ["doc_id", "score", "predicted"],
@@ -142,12 +154,11 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        w = weights.value
+        w = dense(weights.value)
         for batch in batches:
             at = batch.schema.names.index("text")
             for lo, hi, data, offs in slices(batch.column(at)):
-                total = np.array([w[f].sum(dtype=np.float64) for f in features(data, offs)]) + float(w[-1])
-                p = 1.0 / (1.0 + np.exp(-np.clip(total, -60, 60)))
+                p = _probability(data, offs, w)
                 yield batch.slice(lo, hi - lo).filter(pa.array(p < THRESHOLD))
 
     return documents.mapInArrow(run, documents.schema)

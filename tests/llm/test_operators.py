@@ -157,7 +157,7 @@ def test_mix_edges(spark, docs, empty):
     out = mixing.mix(docs)
     assert set(out.columns) == set(docs.columns) | {"shuffle_key"}
     assert mixing.mix(empty).count() == 0
-    rate = {r["__source"]: r["__rate"] for r in mixing.rates(docs).collect()}
+    rate = {r["source"]: r["rate"] for r in mixing.rates(docs).collect()}
     n = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
     assert all(rate[s] * n[s] == pytest.approx(docs.count() / 3) for s in n)
 
@@ -417,8 +417,8 @@ def brute_spans(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_passages(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 4096), (2, 4096), (3, 0), (4, 6)])
+def test_passages(spark, seed, hot):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(60)}"
     shared = [[word() for _ in range(rng.randrange(45, 130))] for _ in range(4)]
@@ -431,7 +431,7 @@ def test_passages(spark, seed):
             k = rng.randrange(len(w) + 1)
             w[k:k] = p if rng.random() < 0.5 else p[a:b]
         rows.append((i, " ".join(w)))
-    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
     assert {(r.doc_id, r.start_word, r.end_word) for r in got} == brute_spans(rows)
     text = dict(rows)
     for r in got:
@@ -439,6 +439,20 @@ def test_passages(spark, seed):
         assert raw.split() == text[r.doc_id].split()[r.start_word : r.end_word]
 
 
+def test_passages_without_ids(spark):
+    """Rows without ids are documents of their own, in whatever part they are, and never show up as ids."""
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (None, text), (None, other), (None, other), (None, " ".join(f"u{i}" for i in range(60))), (7, other + " " + text)]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(5)):
+        got = {(r.doc_id, r.first_doc, r.end_word) for r in passages.repeated_passages(df).collect()}
+        alone = df.count() == len(rows)
+        want = {(1, 1, 60), (None, 1, 60), (None, 7, 60), (7, 1, 120)} | (set() if alone else {(None, None, 60)})
+        assert got == want
+    none = spark.createDataFrame([(None, text)] * 4, "doc_id long, text string")
+    assert [(r.doc_id, r.first_doc, r.start_word, r.end_word) for r in passages.repeated_passages(none).collect()] == [(None, None, 0, 60)] * 4
+
+
 def test_passages_edges(spark, docs, empty):
     got = {(r.doc_id, r.start_word) for r in passages.repeated_passages(docs).collect()}
     assert {d for d, _ in got} == {11, 12, 13}
