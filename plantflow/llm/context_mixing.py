@@ -3,8 +3,8 @@
 A text is coded byte by byte, each byte as a path of binary decisions through a Huffman tree
 (so common bytes take few), closed by an end symbol. For every decision, predictors of order
 0 to 5 look up how often either branch was taken after the same last bytes, in exact
-counts. Their log-odds are mixed by weights that a gate chooses from the confidence of
-the longer contexts; the weights are learned online by gradient steps. An adaptive map,
+counts, on top of what the next shorter context says. Their log-odds are mixed by weights
+that a gate chooses from the confidence of the longer contexts; the weights are learned online by gradient steps. An adaptive map,
 indexed by the mixed probability and the last byte, refines the result. The score is the
 sum of log10 over all decisions, a proper probability of the whole text.
 
@@ -51,7 +51,7 @@ INPUTS = 2 + ORDER
 LEVELS = np.array([0, 2, 8, 64])  # confidence steps of a count
 GATES = 125
 BINS = 33
-PRIOR = np.float32(__import__('os').environ.get('PRIOR','1'))
+PRIOR = np.float32(2)  # observations that the shorter context stands for
 STEP, BATCH, PASSES = 0.3, 1024, 2
 END_WORD = np.uint64(0xE5D0E5D0E5D0E5D1)
 
@@ -254,9 +254,7 @@ class Mixer:
                 a, b = self.taken[:, order - 1, start[on] + d]
                 if leave_out:
                     a, b = np.maximum(a - (bit == 0), 0), np.maximum(b - (bit == 1), 0)
-                # A context's counts over those of the shorter context, which stands for `PRIOR` observations.
-                p = (b + PRIOR * p) / (a + b + PRIOR)
-                p = np.clip(p, np.float32(1e-5), np.float32(1 - 1e-5))
+                p = np.clip((b + PRIOR * p) / (a + b + PRIOR), np.float32(1e-5), np.float32(1 - 1e-5))
                 x[order + 1] = np.log(p / (1 - p))
                 if order > 2:
                     gate = gate * 5 + np.searchsorted(LEVELS, a + b)

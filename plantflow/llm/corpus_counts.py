@@ -11,21 +11,38 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def deal(docs: DataFrame, text_col: str = "text", unit: int = 8 << 20) -> tuple[DataFrame, int]:
-    """(`docs` with an int column `part`, number of parts).
+UNIT, SMALLEST, LARGEST = 8 << 20, 128 << 20, 2 << 30
 
-    A part holds `unit` bytes of text at a GB, growing with the root of the input up to
-    16 units, so that parts times buckets, the packed rows, stay in proportion.
+
+def part_count(total: int, most: int = LARGEST) -> int:
+    """Parts for `total` bytes of text, none of over about `most` bytes.
+
+    A part holds `UNIT` bytes of text at a GB and grows with the root of the input. Every part
+    sends a row to every bucket, so the packed rows, parts times buckets, are in proportion to
+    the input: 16,384 a GB, up to 64 TB with parts of 2 GB.
     """
+    size = min(most, max(UNIT, int(UNIT * math.sqrt(total / (1 << 30)))))
+    return int(max(1, min(64, total // (256 << 10)), -(-total // size)))
+
+
+def part_limit(spark: SparkSession) -> int:
+    """Largest part for the cluster: a quarter of an executor's memory for a core, within `SMALLEST` and `LARGEST`."""
+    conf = spark.sparkContext.getConf()
+    memory = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.executor.memory", "1g"))
+    cores = int(conf.get("spark.executor.cores", "1"))
+    return max(SMALLEST, min(LARGEST, memory // (4 * cores)))
+
+
+def deal(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
+    """(`docs` with an int column `part`, number of parts); rows that repeat both id and text meet in one part."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    size = min(16 * unit, max(unit, int(unit * math.sqrt(total / (1 << 30)))))
-    parts = max(1, min(64, total // (256 << 10)), -(-total // size))
+    parts = part_count(total, part_limit(docs.sparkSession))
     ident = F.xxhash64("doc_id", text_col)
-    return docs.withColumn("part", F.pmod(ident, F.lit(parts)).cast("int")), int(parts)
+    return docs.withColumn("part", F.pmod(ident, F.lit(parts)).cast("int")), parts
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

@@ -11,10 +11,11 @@ list without partners, so most documents merge no list at all.
 Inside a merged list, all sets are probed against one pivot first. Sets that link to the
 pivot are connected through it. The others are probed against up to `AIDES` sets that did
 link to it, those nearest to it by residue of a hash, so that the scattered copies of one
-text join through its centre. What is left is searched block against block, by merging the
-short lists of a block and probing its long ones; sets that can't link drop out before:
-1 - Jaccard is a metric, so sets whose distances to the pivot differ by more than 0.2 can't
-link. No link between different texts is lost.
+text join through its centre. What is left is searched block against block by DivideSkip: a heap
+merges the short lists of a block, skipping what can't reach the overlap, and binary search
+probes its long ones. Sets that can't link drop out before: 1 - Jaccard is a metric, so
+sets whose distances to the pivot differ by more than 0.2 can't link. No link between
+different texts is lost.
 
 Equal sets are one class with the smallest id as representative. Null, empty or
 blank text has no shingles and links with nothing; fewer than 5 words are one shingle.
@@ -29,7 +30,9 @@ handling may split; blocks have bounded rows; links and components stay in table
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +41,14 @@ from pyspark.sql import functions as F
 
 from plantflow.llm.components import components
 from plantflow.llm.corpus_counts import bucket_of, deal, tally
-from plantflow.llm.storage import materialize, release
+from plantflow.llm.storage import materialize, release, unused
 from plantflow.llm.text import shingle_sets, slices
 
 WORDS = 5
 PERCENT = 80
 AIDES = 8
 INDEX_ROWS, QUERY_ROWS = 512, 2048
+LONG = 16  # lists of a block longer than this may be probed instead of merged
 
 
 def _row_sets(table: pa.Table) -> Iterator[np.ndarray]:
@@ -184,6 +188,7 @@ def _links(reps: DataFrame) -> DataFrame:
     lists = reps.select(F.explode("tokens").alias("token"), "rep", F.col("n_shingles").alias("n"))
     heads = lists.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("head"), F.max("rep").alias("last"))
     heads = heads.where("head.rep < last").select("token", F.col("head.rep").alias("pivot"), F.col("head.n").alias("pn"))
+    heads = materialize(heads, "heads")  # so that the join below is of two plain exchanges, whose hot tokens may be split
     merged = materialize(lists.join(heads, "token").where("rep <> pivot"), "merged")
     # Sizes alone put the distance above 0.4 where the smaller is under 0.6 of the larger.
     near = merged.where(F.least("n", "pn") >= 0.6 * F.greatest("n", "pn"))
@@ -219,62 +224,100 @@ def _search_blocks(rest: DataFrame, reps: DataFrame) -> DataFrame:
     index = sized.where(~F.col("linked")).select("pivot", "rep", F.lit(False).alias("query"), dealt("ni").alias("i"), every("nq").alias("q"))
     queries = sized.select("pivot", "rep", F.lit(True).alias("query"), every("ni").alias("i"), dealt("nq").alias("q"))
     filled = index.unionByName(queries).join(reps.select("rep", "shingles"), "rep")
-    return filled.groupBy("pivot", "i", "q").applyInArrow(_divide_skip, "a long, b long")
+    return filled.groupBy("pivot", "i", "q").applyInArrow(_search_block, "a long, b long")
 
 
-def _divide_skip(table: pa.Table) -> pa.Table:
-    """T-occurrence search of each query in the inverted lists of the index block.
+def merge_skip(postings: list[list[int]], need: int) -> list[tuple[int, int]]:
+    """(number, occurrences) of the numbers that stand in at least `need` of the sorted lists, by a heap of their heads.
 
-    Short lists are merged by counting; sets that reached T less the number of long lists are
-    probed in the long ones. Links that join nothing new within the block are left out.
+    A number that can't reach `need` is passed over, and the lists popped with it are moved by
+    binary search to the next number that may.
     """
-    by_rep = dict(zip(table["rep"].to_pylist(), table["shingles"].to_pylist()))
-    reps, is_query = np.array(table["rep"].to_pylist(), np.int64), np.array(table["query"].to_pylist(), bool)
-    sets = {r: np.frombuffer(x, np.uint64) for r, x in by_rep.items()}
-    index, queries = np.unique(reps[~is_query]), np.unique(reps[is_query])
-    if not len(index) or not len(queries):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    n = len(index)
-    sizes = np.array([len(sets[r]) for r in index.tolist()])
-    keys, owner = np.concatenate([sets[r] for r in index.tolist()]), np.repeat(np.arange(n), sizes)
+    heap = [(post[0], i) for i, post in enumerate(postings) if post]
+    heapify(heap)
+    at, found = [0] * len(postings), []
+    while len(heap) >= need:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heappop(heap)[1])
+        if len(popped) >= need:
+            found.append((top, len(popped)))
+            for i in popped:
+                at[i] += 1
+        else:
+            while heap and len(popped) < need - 1:
+                popped.append(heappop(heap)[1])
+            if not heap:
+                break
+            for i in popped:
+                at[i] = bisect_left(postings[i], heap[0][0], at[i])
+        for i in popped:
+            if at[i] < len(postings[i]):
+                heappush(heap, (postings[i][at[i]], i))
+    return found
+
+
+def divide_skip(query: np.ndarray, sizes: np.ndarray, index: dict[int, np.ndarray]) -> np.ndarray:
+    """Numbers of the sets of an inverted index that link to the query, by T-occurrence search.
+
+    Every partner shares T = `PERCENT` % of the query's shingles. The longest lists, T - 1 at
+    most, are divided off; the others are merged by a heap for numbers that occur often enough,
+    and only those are looked for in the long lists, by binary search, until too few are left.
+    """
+    lists = sorted((index[k] for k in query.tolist() if k in index), key=len)
+    least = -(-PERCENT * len(query) // 100)
+    long = min(least - 1, sum(len(x) > LONG for x in lists))
+    short, lists = lists[: len(lists) - long], lists[len(lists) - long :]
+    merged = merge_skip([x.tolist() for x in short], least - long)
+    if not merged:
+        return np.zeros(0, np.int64)
+    near, count = np.array(merged, np.int64).T
+    # Overlap needed: PERCENT / (100 + PERCENT) of both sizes together, and no more than the smaller size.
+    need = -(-PERCENT * (len(query) + sizes[near]) // (100 + PERCENT))
+    alive = need <= np.minimum(sizes[near], len(query))
+    for k, post in enumerate(lists):
+        alive &= count + (len(lists) - k) >= need
+        near, count, need = near[alive], count[alive], need[alive]
+        if not len(near):
+            return near
+        count += post[np.minimum(np.searchsorted(post, near), len(post) - 1)] == near
+        alive = np.ones(len(near), bool)
+    return near[count >= need]
+
+
+def _inverted(sets: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """For each shingle the sorted numbers of the sets that hold it."""
+    keys = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    lists, lengths = keys[head], np.diff(np.r_[head, len(keys)])
-    long = np.flatnonzero(lengths > max(1, n // 4))
-    place = np.full(len(lists), -1)
-    place[long] = np.arange(len(long))
-    member = np.zeros((len(long), n), bool)
-    for k, at in enumerate(long.tolist()):
-        member[k, owner[head[at] : head[at] + lengths[at]]] = True
-    parent = {r: r for r in {*index.tolist(), *queries.tolist()}}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    found = []
-    for query in queries.tolist():
-        mine = sets[query]
-        at = np.minimum(np.searchsorted(lists, mine), len(lists) - 1)
-        at = at[lists[at] == mine]
-        probed = place[at][place[at] >= 0]
-        merged = at[place[at] < 0]
-        count = np.zeros(n, np.int64)
-        if len(merged):
-            run = lengths[merged]
-            count += np.bincount(owner[np.repeat(head[merged] - (np.cumsum(run) - run), run) + np.arange(int(run.sum()))], minlength=n)
-        # Overlap needed: PERCENT / (100 + PERCENT) of both sizes together.
-        need = -(-PERCENT * (len(mine) + sizes) // (100 + PERCENT))
-        near = np.flatnonzero((count >= need - len(probed)) & (need <= np.minimum(sizes, len(mine))))
-        count[near] += member[np.ix_(probed, near)].sum(axis=0)
-        for i in near[count[near] >= need[near]].tolist():
-            other = int(index[i])
-            if other != query and root(other) != root(query):
-                parent[root(other)] = root(query)
-                found.append((query, other))
+    return dict(zip(keys[head].tolist(), np.split(owner, head[1:])))
+
+
+def _search_block(table: pa.Table) -> pa.Table:
+    """Links of the queries of a block with its indexed sets; those that join nothing new within the block are left out."""
+    by_rep = dict(zip(table["rep"].to_pylist(), table["shingles"].to_pylist()))
+    reps, is_query = np.array(table["rep"].to_pylist(), np.int64), np.array(table["query"].to_pylist(), bool)
+    sets = {r: np.frombuffer(x, np.uint64) for r, x in by_rep.items()}
+    indexed, queries = np.unique(reps[~is_query]).tolist(), np.unique(reps[is_query]).tolist()
+    found: list[tuple[int, int]] = []
+    if indexed and queries:
+        index, sizes = _inverted([sets[r] for r in indexed]), np.array([len(sets[r]) for r in indexed])
+        parent = {r: r for r in {*indexed, *queries}}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for query in queries:
+            for i in divide_skip(sets[query], sizes, index).tolist():
+                other = indexed[i]
+                if other != query and root(other) != root(query):
+                    parent[root(other)] = root(query)
+                    found.append((query, other))
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
@@ -306,8 +349,9 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 def drop_near_copies(documents: DataFrame) -> DataFrame:
     """`documents` with the row of the smallest id of each component; null ids stay."""
     found = materialize(jaccard_components(documents), "found")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    ident = unused(documents, "near_id")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(ident))
+    return documents.join(gone, F.col("doc_id").cast("long") == F.col(ident), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

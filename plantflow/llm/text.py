@@ -36,11 +36,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls become empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
     array = column.cast(pa.large_binary())
+    if isinstance(array, pa.ChunkedArray):
+        array = pa.concat_arrays(array.chunks) if array.num_chunks else pa.array([], pa.large_binary())
     if array.null_count:
         array = array.fill_null(b"")
     if not len(array):
