@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,14 +18,13 @@ def tokens(text: Column) -> Column:
 def best_rule(entities: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, class, direct) of entities (id, tags): most specific rule (ord, class, tags) whose tags all occur, else the largest overlap.
 
-    The rule table is configuration and is broadcast below its checked size.
+    Entities meet rules by the tags they share, an equi-join whatever the number of rules.
     """
-    if rules.limit(10_001).count() <= 10_000:
-        rules = F.broadcast(rules)
-    pairs = entities.join(rules.withColumnRenamed("tags", "rule_tags"), F.arrays_overlap("tags", "rule_tags"))
-    overlap, size = F.size(F.array_intersect("tags", "rule_tags")), F.size("rule_tags")
-    direct = F.size(F.array_except("rule_tags", "tags")) == 0
-    rank = F.struct(direct.alias("direct"), F.when(direct, size).otherwise(overlap).alias("n"), (-F.col("ord")).alias("o"))
+    by_tag = rules.select("ord", "class", F.size(F.array_distinct("tags")).alias("size"), F.explode(F.array_distinct("tags")).alias("tag"))
+    pairs = entities.select("id", F.explode(F.array_distinct("tags")).alias("tag")).join(by_tag, "tag")
+    pairs = pairs.groupBy("id", "ord", "class", "size").agg(F.count("*").alias("overlap"))
+    direct = F.col("overlap") == F.col("size")
+    rank = F.struct(direct.alias("direct"), F.col("overlap").alias("n"), (-F.col("ord")).alias("o"))
     best = pairs.withColumn("rank", rank).groupBy("id").agg(F.max_by("class", "rank").alias("class"), F.max("rank.direct").alias("direct"))
     return entities.select("id").join(best, "id", "left")
 
@@ -69,6 +70,48 @@ def search(docs: DataFrame, text: str, terms: list[str], excluded: tuple[str, ..
     return docs.where(keep).withColumn("score", score).orderBy(F.desc("score"), docs.columns[0]).limit(limit)
 
 
+def parse_search(text: str) -> tuple[list[str], list[str]]:
+    """(wanted, excluded) words and quoted phrases of a search line; a leading minus excludes."""
+    found = re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text.lower())
+    terms = [(minus, " ".join((quoted or word).split())) for minus, quoted, word in found]
+    return [t for minus, t in terms if t and not minus], [t for minus, t in terms if t and minus]
+
+
+def word_search(pages: DataFrame, key: list[str], text: str, line: str, limit: int = 200) -> DataFrame:
+    """Pages that hold every wanted word or phrase as whole words and no excluded one, by how often the wanted occur."""
+    wanted, excluded = parse_search(line)
+    low = F.lower(text)
+    whole = lambda t: F.lit(r"\b" + r"\s+".join(map(re.escape, t.split())) + r"\b")
+    hits = {t: F.regexp_count(low, whole(t)) for t in wanted}
+    keep = F.lit(bool(wanted))
+    for n in hits.values():
+        keep = keep & (n > 0)
+    for t in excluded:
+        keep = keep & (F.regexp_count(low, whole(t)) == 0)
+    score = sum(hits.values(), F.lit(0)).cast("long")
+    return pages.where(keep).select(*key, score.alias("score")).orderBy(F.desc("score"), *key).limit(min(limit, 200))
+
+
+def template_groups(template: str) -> tuple[str, list[str]]:
+    """(pattern, group names) of a naming template such as `{site}-{kind}{number:d}`; blanks, case and marks don't count."""
+    names, parts = [], []
+    for literal, name, kind in re.findall(r"([^{]*)(?:\{(\w+)(?::(\w))?\})?", template):
+        parts.append(re.sub("[^a-z0-9]", "", literal.lower()))
+        if name:
+            names.append(name)
+            parts.append("([0-9]+)" if kind == "d" else "([a-z]+)")
+    return "^" + "".join(parts) + "$", names
+
+
+def by_template(rows: DataFrame, name: str, template: str) -> DataFrame:
+    """`rows` with a column for each group of a naming template, null where the name doesn't follow it, and `follows`."""
+    pattern, names = template_groups(template)
+    code = F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+    follows = code.rlike(pattern)
+    groups = [F.when(follows, F.regexp_extract(code, pattern, i + 1)).alias(n) for i, n in enumerate(names)]
+    return rows.select("*", *groups, follows.alias("follows"))
+
+
 def scores(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     """Precision, recall and F1 per class from (predicted, actual) pairs."""
     hit = F.count_if(F.col(predicted) == F.col(actual))

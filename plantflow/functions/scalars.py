@@ -22,8 +22,33 @@ def numeric(value: Column, text: Column, boolean: Column) -> Column:
     return F.coalesce(boolean.cast("int").cast("double"), value, F.when(word.isin(*ON_WORDS), 1.0).when(word.isin(*OFF_WORDS), 0.0))
 
 
+# Spellings of degrees Fahrenheit, without their blanks and in lower case.
+FAHRENHEIT = ("°f", "degf", "f", "fahrenheit", "degreesfahrenheit", "℉")
+# Words that sequence checks read as 1 and 0.
+SEQUENCE_ON = ("true", "on", "active", "1", "yes", "run", "running")
+SEQUENCE_OFF = ("false", "off", "inactive", "0", "no", "stop", "stopped")
+
+
 def is_fahrenheit(unit: Column) -> Column:
-    return F.lower(unit).isin("°f", "degf", "f", "fahrenheit", "deg_f", "degrees-fahrenheit")
+    return F.replace(F.lower(F.trim(unit)), F.lit(" "), F.lit("")).isin(*FAHRENHEIT)
+
+
+def sequence_number(value: Column, text: Column, boolean: Column, unit: Column | None = None) -> Column:
+    """A number for sequence checks: states as 1 and 0, text that holds a number as that number, Celsius brought to Fahrenheit."""
+    word = F.lower(F.trim(text))
+    out = F.coalesce(
+        boolean.cast("int").cast("double"), value, F.when(word.isin(*SEQUENCE_ON), 1.0).when(word.isin(*SEQUENCE_OFF), 0.0), word.try_cast("double")
+    )
+    if unit is None:
+        return out
+    warm = F.replace(F.lower(F.trim(unit)), F.lit(" "), F.lit("")).isin("°c", "degc", "c", "celsius", "degreescelsius", "℃")
+    return F.when(F.coalesce(warm, F.lit(False)), out * 1.8 + 32).otherwise(out)
+
+
+def path_segment(text: Column) -> Column:
+    """Percent-encoded UTF-8 of everything but letters, digits and _ . - ~"""
+    coded = F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    return F.replace(coded, F.lit("%7E"), F.lit("~"))
 
 
 def celsius(value: Column, unit: Column) -> Column:

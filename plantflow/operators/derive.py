@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from graphlib import CycleError, TopologicalSorter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantflow.session import cut
+
 Formula = Callable[[dict[str, list[tuple]], str], float | None]
 
 
@@ -35,20 +37,53 @@ def evaluate(samples: DataFrame, targets: DataFrame, formula: Formula, now, wind
 
     inside = samples.where((F.col("ts") <= now) & (micros(F.col("ts")) >= micros(now) - int(window_s * 1e6)))
     rows = targets.join(inside.select("point_uri", "ts", "value"), "point_uri", "left")
+    series = F.array_sort(F.collect_list(F.when(F.col("ts").isNotNull(), F.struct("ts", "value"))))
+    inputs = rows.groupBy("target", "name").agg(series.alias("series"))
+    inputs = inputs.groupBy("target").agg(F.collect_list(F.struct("name", "series")).alias("inputs"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            values, errors = [], []
+            for target, given in zip(frame["target"], frame["inputs"]):
+                value, error = None, None
+                try:
+                    value = formula({x["name"]: [(s["ts"], s["value"]) for s in x["series"]] for x in given}, target)
+                except Exception as problem:  # a user's formula may raise anything
+                    error = f"{type(problem).__name__}: {problem}"
+                values.append(None if value is None else float(value))
+                errors.append(error)
+            yield pd.DataFrame({"target": frame["target"], "value": pd.array(values, "Float64"), "error": errors})
+
+    return inputs.mapInPandas(run, "target string, value double, error string")
+
+
+def evaluate_chain(samples: DataFrame, derivations: dict[str, tuple[DataFrame, Formula]], depends: dict[str, set[str]], now, window_s: float) -> DataFrame:
+    """(derivation, target, value, error) of all derivations, each after those that it reads from.
+
+    A derivation is (targets, formula). What an upstream one derives is a sample of the point
+    named like its target, at `now`, for the ones downstream in the same pass.
+    """
+    out, known = None, samples.select("point_uri", "ts", "value")
+    for name in order(depends):
+        targets, formula = derivations[name]
+        found = cut(evaluate(known, targets, formula, now, window_s).select(F.lit(name).alias("derivation"), "target", "value", "error"))
+        out = found if out is None else out.unionByName(found)
+        known = known.unionByName(found.where("value is not null").select(F.col("target").alias("point_uri"), now.alias("ts"), "value"))
+    return out
+
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        target, inputs = group["target"].iloc[0], {}
-        for name, part in group.groupby("name"):
-            part = part.dropna(subset=["ts"]).sort_values("ts")
-            inputs[name] = list(zip(part["ts"], part["value"]))
-        value, error = None, None
-        try:
-            value = formula(inputs, target)
-        except Exception as problem:  # a user's formula may raise anything
-            error = f"{type(problem).__name__}: {problem}"
-        return pd.DataFrame({"target": [target], "value": [None if value is None else float(value)], "error": [error]})
-
-    return rows.select("target", "name", "ts", "value").groupBy("target").applyInPandas(run, "target string, value double, error string")
+def trace(results: DataFrame, targets: DataFrame, masked: DataFrame) -> DataFrame:
+    """Dry run: per target the value, what it would be written from, its masked inputs and whether it would be written.
+
+    `targets` is (target, name, point_uri), `masked` (point_uri) the inputs under an open fault.
+    """
+    flagged = targets.join(masked.select("point_uri", F.lit(True).alias("bad")), "point_uri", "left")
+    inputs = flagged.groupBy("target").agg(
+        F.array_sort(F.collect_set(F.when(F.col("bad").isNull(), F.col("point_uri")))).alias("would_derive_from"),
+        F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("point_uri")))).alias("masked_inputs"),
+    )
+    written = F.col("value").isNotNull() & F.col("error").isNull() & (F.size("masked_inputs") == 0)
+    return results.join(inputs, "target", "left").withColumn("would_write", F.coalesce(written, F.lit(False)))
 
 
 def last_difference(inputs: dict[str, list[tuple]], target: str) -> float | None:

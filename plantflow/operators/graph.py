@@ -1,6 +1,6 @@
-"""Graph operators over edge tables: closures, containment, tag filters, tree rollups.
+"""Graph operators over edge tables: closures, containment, classes, tag filters, tree rollups.
 
-Walks are bounded by depth and carry a visited set as a table; nothing is collected.
+Walks run until nothing new is found; what was found is a table, and nothing is collected.
 """
 
 from __future__ import annotations
@@ -8,28 +8,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plantflow.operators.components import components
 from plantflow.session import cut
 
 
-def closure(edges: DataFrame, max_depth: int = 12, reflexive: bool = True) -> DataFrame:
+def closure(edges: DataFrame, max_depth: int | None = None, reflexive: bool = True) -> DataFrame:
     """(node, ancestor, depth): smallest number of steps from each node to each ancestor.
 
-    Works on cyclic graphs: pairs that were reached before drop out of the frontier.
+    Walks of up to twice the length come from joining the walks found so far with themselves, until
+    nothing is new or shorter, so the rounds grow with the logarithm of the longest way; there is
+    no cap unless `max_depth` names one. Works on cyclic graphs.
     """
-    step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-    reached = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    reached = frontier = cut(reached)
-    for depth in range(2, max_depth + 1):
-        fresh = frontier.join(step, "ancestor").select("node", F.col("next").alias("ancestor")).distinct()
-        fresh = fresh.join(reached, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
-        fresh = cut(fresh)
-        if fresh.isEmpty():
-            break
-        reached, frontier = reached.unionByName(fresh), fresh
+    walks = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    walks, before = cut(walks), None
+    while (now := walks.agg(F.count("*"), F.sum("depth")).first()) != before:
+        before = now
+        on = walks.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        longer = walks.join(on, "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        if max_depth is not None:
+            longer = longer.where(F.col("depth") <= max_depth)
+        walks = cut(walks.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
     if reflexive:
         nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
-        reached = reached.unionByName(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
-    return reached
+        walks = walks.unionByName(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+        walks = walks.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+    return walks
 
 
 def undirected(edges: DataFrame, kinds: tuple[str, ...] = ("equivalent", "alias", "replaced_by")) -> DataFrame:
@@ -49,23 +52,27 @@ def tree_rollup(up: DataFrame, leaves: DataFrame, fold: str = "sum") -> DataFram
     return up.join(leaves, "node").groupBy("ancestor").agg(agg("value").alias("value"))
 
 
-def tree_rollup_by_level(edges: DataFrame, leaves: DataFrame, fn, max_depth: int = 12) -> DataFrame:
-    """Children before parents: `fn` folds a node's own value and its children's computed values.
+def tree_rollup_by_level(edges: DataFrame, leaves: DataFrame, fold) -> DataFrame:
+    """Children before parents: `fold` makes a node's value from its own values and its children's computed ones.
 
-    `fn` takes a Column of array<double> in ascending order and returns a double Column.
+    `fold` takes a Column and returns an aggregate of it, so children are combined in the map
+    tasks and a node with very many of them is no problem. There is one round per level of the
+    tree, however deep; nodes on a cycle, and those above them, have no value.
     """
-    depth = closure(edges, max_depth).groupBy("node").agg(F.max("depth").alias("level"))
-    deepest = depth.agg(F.max("level")).first()[0] or 0
+    pending = cut(edges.select("child", "parent").distinct())
+    nodes = pending.select(F.col("child").alias("node")).unionByName(pending.select(F.col("parent").alias("node"))).unionByName(leaves.select("node")).distinct()
+    ready = cut(nodes.join(pending.select(F.col("parent").alias("node")), "node", "left_anti"))
     done = None
-    for level in range(deepest, -1, -1):
-        here = depth.where(F.col("level") == level).select("node")
-        own = here.join(leaves, "node", "left").select("node", "value")
+    while not ready.isEmpty():
+        own = leaves.join(ready, "node", "left_semi").select("node", "value")
         if done is not None:
-            below = edges.join(done, edges["child"] == done["node"]).select(F.col("parent").alias("node"), "value")
-            own = own.unionByName(below.join(here, "node", "left_semi"))
-        value = own.where("value is not null").groupBy("node").agg(F.array_sort(F.collect_list("value")).alias("values"))
-        value = cut(value.select("node", fn(F.col("values")).alias("value")))
+            below = edges.join(ready, edges["parent"] == ready["node"], "left_semi").join(done.withColumnRenamed("node", "child"), "child")
+            own = own.unionByName(below.select(F.col("parent").alias("node"), "value"))
+        value = cut(own.where("value is not null").groupBy("node").agg(fold(F.col("value")).alias("value")))
         done = value if done is None else done.unionByName(value)
+        reached = pending.join(ready.withColumnRenamed("node", "child"), "child", "left_semi").select(F.col("parent").alias("node")).distinct()
+        pending = cut(pending.join(ready.withColumnRenamed("node", "child"), "child", "left_anti"))
+        ready = cut(reached.join(pending.select(F.col("parent").alias("node")), "node", "left_anti"))
     return done if done is not None else leaves.limit(0)
 
 
@@ -75,6 +82,60 @@ def chain(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     return start.join(walks, start["node"] == walks["node"]).select(start["node"].alias("start"), F.col("ancestor").alias("node"), F.col("depth").alias("level"))
 
 
+def class_family(edges: DataFrame) -> DataFrame:
+    """(class, ancestor), both in lower case: every class with those it counts as, itself included.
+
+    `edges` are (child, parent, kind); equivalences, aliases and replacements hold both ways.
+    """
+    low = edges.select(F.lower("child").alias("child"), F.lower("parent").alias("parent"), "kind")
+    return closure(undirected(low)).select(F.col("node").alias("class"), "ancestor").distinct()
+
+
+def classified(triples: DataFrame, family: DataFrame) -> DataFrame:
+    """Triples with a row (s, 'is', class) for each class that the type of a subject counts as, in lower case."""
+    types = triples.where("p = 'a'").select("s", F.lower("o").alias("class"))
+    known = types.join(family, "class", "left").select("s", F.coalesce("ancestor", "class").alias("o")).distinct()
+    shaped = known.select("s", F.lit("is").alias("p"), F.lit("class").alias("o_kind"), "o", F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("unit"))
+    return triples.unionByName(shaped)
+
+
+def roster(triples: DataFrame, family: DataFrame, name: str) -> DataFrame:
+    """Subjects of a class or of one that counts as it."""
+    return Tag.of_class(name).match(classified(triples, family))
+
+
+def structural(links: DataFrame) -> DataFrame:
+    """Triples that edges (a, edge, b) imply: point, equip and site markers with equipRef and siteRef references."""
+    rows = F.explode(
+        F.when(F.col("edge") == "hasPoint", F.array(*(F.struct(*x) for x in _implied("equip", "point", "equipRef"))))
+        .when(F.col("edge") == "hasEquip", F.array(*(F.struct(*x) for x in _implied("site", "equip", "siteRef"))))
+    )
+    return links.select(rows.alias("t")).select("t.*").distinct()
+
+
+def _implied(upper: str, lower: str, ref: str) -> list[list[Column]]:
+    none, number = F.lit(None).cast("string"), F.lit(None).cast("double").alias("num")
+    row = lambda s, p, kind, o: [F.col(s).alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), o.alias("o"), number, none.alias("unit")]
+    return [row("a", upper, "marker", none), row("b", lower, "marker", none), row("b", ref, "ref", F.col("a"))]
+
+
+def preferred(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name, preferred): the preferred class of an alias (alias, class), others as they are."""
+    return names.join(aliases.select(F.col("alias").alias("name"), "class"), "name", "left").select("name", F.coalesce("class", "name").alias("preferred"))
+
+
+def records_only(subjects: DataFrame, vocabulary: DataFrame, nested: str = "urn:dict:") -> DataFrame:
+    """Subjects (s) that are records: neither nodes of the vocabulary (s) nor nested dictionaries."""
+    return subjects.where(~F.col("s").startswith(nested)).join(vocabulary.select("s"), "s", "left_anti")
+
+
+def near_misses(word: str, known: DataFrame, least: float = 0.75, n: int = 3) -> DataFrame:
+    """Known names (name) most like a word that matched nothing: one less the edit distance over the longer length."""
+    a, b = F.lit(word.lower()), F.lower("name")
+    alike = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    return known.select("name", alike.alias("alike")).where(F.col("alike") >= least).orderBy(F.desc("alike"), "name").limit(n)
+
+
 def neighbours(pairs: DataFrame) -> DataFrame:
     """Both directions of pairs that are stored once."""
     return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -99,9 +160,10 @@ def lacking_path(subjects: DataFrame, refs: DataFrame, ends: DataFrame) -> DataF
 
 def expand_points(matched: DataFrame, same: DataFrame, has_point: DataFrame) -> DataFrame:
     """Points of matched equipment (s), through everything that is the same (a, b), and points matched themselves."""
-    both = neighbours(same).select(F.col("a").alias("child"), F.col("b").alias("parent"))
-    group = closure(both).select(F.col("node").alias("s"), F.col("ancestor").alias("equip"))
-    equips = matched.join(group, "s", "left").select(F.coalesce("equip", "s").alias("equip")).distinct()
+    found = components(same)
+    mine = matched.join(found.select(F.col("node").alias("s"), "root"), "s").select("root").distinct()
+    group = found.join(mine, "root", "left_semi").select(F.col("node").alias("equip"))
+    equips = matched.select(F.col("s").alias("equip")).unionByName(group).distinct()
     points = has_point.join(equips, "equip", "left_semi").select(F.col("point").alias("s"))
     return points.unionByName(matched.where(F.col("s").startswith("urn:point:"))).distinct()
 
@@ -150,6 +212,32 @@ class Tag:
     def ref(tag: str, value: str) -> Tag:
         return Tag(lambda t: (F.col("p") == tag) & (F.col("o_kind") == "ref") & (F.col("o") == value))
 
+    @staticmethod
+    def of_class(name: str) -> Tag:
+        """Subjects of a class, whatever its case, over triples that went through `classified`."""
+        return Tag(lambda t: (F.col("p") == "is") & (F.col("o") == name.lower()))
+
+    @staticmethod
+    def every(markers: list[str]) -> Tag:
+        """All of the markers: a spec with its required ones, or a symbol such as ^hot-water as its parts."""
+        out = Tag.has(markers[0])
+        for marker in markers[1:]:
+            out = out & Tag.has(marker)
+        return out
+
+    @staticmethod
+    def symbol(name: str) -> Tag:
+        return Tag.every(name.lstrip("^").split("-"))
+
+    @staticmethod
+    def flag(tag: str, value: bool) -> Tag:
+        """A boolean tag; text that reads like one never matches."""
+        return Tag(lambda t: (F.col("p") == tag) & (F.col("o_kind") == "bool") & (F.col("o") == str(value).lower()))
+
+    @staticmethod
+    def uri(tag: str, value: str) -> Tag:
+        return Tag(lambda t: (F.col("p") == tag) & (F.col("o_kind") == "uri") & (F.col("o") == value))
+
     def __and__(self, other: Tag) -> Tag:
         return Tag("and", (self, other))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plantflow.sources.history import fold_value
 
 FOLDS = ("avg", "min", "max", "sum", "count")
-# Seconds of the downsampling ladder.
+# Seconds of the downsampling ladder.
 LADDER = (10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 21600, 43200, 86400)
 
 
@@ -83,6 +83,15 @@ def auto_interval(span_seconds: float, n_series: int, max_samples: int = 200_000
     return next((step for step in LADDER if step >= want), LADDER[-1])
 
 
+def raw_budget(rows: DataFrame, n_points: int, limit: int, max_samples: int, least: int = 100) -> DataFrame:
+    """The first samples of each point, as many as its share of the budget for the whole read allows."""
+    from pyspark.sql.window import Window
+
+    each = min(limit, max(least, max_samples // max(1, n_points)))
+    place = F.row_number().over(Window.partitionBy("point_uri").orderBy("ts"))
+    return rows.withColumn("place", place).where(F.col("place") <= each).drop("place")
+
+
 def interpolate(samples: DataFrame, times: DataFrame | None = None) -> DataFrame:
     """Each series at every time any series has, inside its own first and last sample.
 
@@ -90,7 +99,10 @@ def interpolate(samples: DataFrame, times: DataFrame | None = None) -> DataFrame
     """
     times = samples.select("ts").distinct() if times is None else times
     ends = samples.groupBy("series").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    grid = times.join(ends, F.col("ts").between(F.col("lo"), F.col("hi"))).select("series", "ts")
+    # Times meet series by the day, so that no task compares all times with all series.
+    day = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(86_400_000_000))
+    days = ends.select("series", "lo", "hi", F.explode(F.sequence(day(F.col("lo")), day(F.col("hi")))).alias("day"))
+    grid = times.withColumn("day", day(F.col("ts"))).join(days, "day").where(F.col("ts").between(F.col("lo"), F.col("hi"))).select("series", "ts")
     full = grid.join(samples, ["series", "ts"], "left")
     from pyspark.sql.window import Window
 

@@ -182,3 +182,109 @@ def spec_match(spec: DataFrame, field: DataFrame) -> DataFrame:
     )
     pairs = by_number.unionByName(by_letters).distinct().withColumn("score", score)
     return pairs.groupBy("spec").agg(F.max("score").alias("score"), F.min_by("field", F.struct(-F.col("score"), "field")).alias("field"))
+
+
+# Related pairs of points, how they are judged, and by what tolerance.
+PAIRS = (
+    ("fan_cmd_status", "cmd_status", ("Fan_Command",), ("Fan_Status",), 0.9),
+    ("pump_cmd_status", "cmd_status", ("Pump_Command",), ("Pump_Status",), 0.9),
+    ("run_cmd_status", "cmd_status", ("Start_Stop_Command", "On_Off_Command", "Enable_Command"), ("Run_Status",), 0.9),
+    ("zone_air_temperature", "track_abs", ("Zone_Air_Temperature_Sensor",), ("Zone_Air_Temperature_Setpoint",), 3.0),
+    ("supply_air_temperature", "track_abs", ("Supply_Air_Temperature_Sensor",), ("Supply_Air_Temperature_Setpoint",), 3.0),
+    ("supply_air_static_pressure", "track_abs", ("Supply_Air_Static_Pressure_Sensor",), ("Supply_Air_Static_Pressure_Setpoint",), 0.3),
+    ("air_flow", "track_rel", ("Air_Flow_Sensor",), ("Air_Flow_Setpoint",), 0.2),
+)
+
+
+def pair_definitions(spark, pairs=PAIRS) -> DataFrame:
+    """(pair, kind, tolerance, side, class) of the pairs: configuration of fixed size."""
+    rows = [(name, kind, float(tol), side, c.lower()) for name, kind, a, b, tol in pairs for side, classes in (("a", a), ("b", b)) for c in classes]
+    return spark.createDataFrame(rows, "pair string, kind string, tolerance double, side string, class string")
+
+
+def bind_pairs(points: DataFrame, family: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(equip, pair, kind, tolerance, a, b, ambiguous): the point of each side, where there is just one.
+
+    Points are (equip, point_uri, class), family (class, ancestor). Of several points of a
+    side's classes, a single one of exactly such a class is taken; otherwise the side is ambiguous.
+    """
+    low = points.select("equip", "point_uri", F.lower("class").alias("own"))
+    wanted = F.broadcast(definitions.withColumnRenamed("class", "want"))
+    known = low.join(family.select(F.col("class").alias("own"), F.col("ancestor").alias("want")), "own").unionByName(low.withColumn("want", F.col("own"))).distinct()
+    hits = known.join(wanted, "want").groupBy("equip", "pair", "kind", "tolerance", "side", "point_uri").agg(F.max((F.col("own") == F.col("want")).cast("int")).alias("exact"))
+    sides = hits.groupBy("equip", "pair", "kind", "tolerance", "side").agg(
+        F.count("*").alias("n"), F.sum("exact").alias("n_exact"), F.min("point_uri").alias("any"), F.min(F.when(F.col("exact") == 1, F.col("point_uri"))).alias("sure")
+    )
+    sides = sides.withColumn("pick", F.when(F.col("n") == 1, F.col("any")).when(F.col("n_exact") == 1, F.col("sure")))
+    pick = lambda s: F.max(F.when(F.col("side") == s, F.col("pick"))).alias(s)
+    return sides.groupBy("equip", "pair", "kind", "tolerance").agg(pick("a"), pick("b"), F.bool_or(F.col("pick").isNull()).alias("ambiguous"))
+
+
+def judge_pairs(bound: DataFrame, paired: DataFrame, least: int = 3) -> DataFrame:
+    """(equip, pair, n, status) of bound pairs by their paired samples (equip, pair, value, match).
+
+    A pair with an ambiguous side or too few paired samples is inconclusive; one without a
+    point on either side isn't there at all.
+    """
+    v, m = F.col("value"), F.col("match")
+    rows = bound.where("ambiguous or (a is not null and b is not null)").join(paired, ["equip", "pair"], "left")
+    counted = v.isNotNull() & m.isNotNull() & ((F.col("kind") != "track_rel") | (m > 0))
+    measure = F.when(F.col("kind") == "cmd_status", ((v > 0.5) == (m > 0.5)).cast("double")).when(F.col("kind") == "track_rel", F.abs(v - m) / m).otherwise(F.abs(v - m))
+    out = rows.groupBy("equip", "pair", "kind", "tolerance", "ambiguous").agg(F.count_if(counted).alias("n"), F.avg(F.when(counted, measure)).alias("score"))
+    good = F.when(F.col("kind") == "cmd_status", F.col("score") >= F.col("tolerance")).otherwise(F.col("score") <= F.col("tolerance"))
+    status = F.when(F.col("ambiguous") | (F.col("n") < least), "inconclusive").when(good, "pass").otherwise("fail")
+    return out.select("equip", "pair", "n", "score", status.alias("status"))
+
+
+def completeness_by_family(equips: DataFrame, points: DataFrame, templates: DataFrame, family: DataFrame) -> DataFrame:
+    """(equip, needed, met): a requirement is met by a point whose class counts as it, else by one with all its markers.
+
+    Equips are (equip, type), points (equip, class, markers), templates (type, class, markers).
+    """
+    wanted = equips.join(templates, "type").select("equip", F.lower("class").alias("want"), F.col("markers").alias("need"))
+    known = points.select("equip", F.lower("class").alias("class"), "markers").join(family, "class", "left")
+    by_class = known.select("equip", F.coalesce("ancestor", "class").alias("want")).distinct().withColumn("by_class", F.lit(True))
+    left = wanted.join(by_class, ["equip", "want"], "left")
+    open_ = left.where("by_class is null and size(need) > 0").select("equip", "want", "need")
+    tagged = points.select("equip", "markers").distinct()
+    by_tags = open_.join(tagged, "equip").where(F.size(F.array_except("need", "markers")) == 0).select("equip", "want").distinct().withColumn("by_tags", F.lit(True))
+    both = left.join(by_tags, ["equip", "want"], "left")
+    return both.groupBy("equip").agg(F.count("*").alias("needed"), F.count_if(F.coalesce("by_class", "by_tags", F.lit(False))).alias("met"))
+
+
+def readiness(rooms: DataFrame, findings: DataFrame, open_issues: DataFrame) -> DataFrame:
+    """(room, status, verdict, n_open) of rooms from findings (room, part, status) and open issues (room).
+
+    The parts are requirements, tests and balancing: any failure or open issue makes a room not
+    ready, a part without a verdict leaves it incomplete.
+    """
+    parts = ("requirements", "tests", "balancing")
+    folded = findings.groupBy("room", "part").agg(worst(F.col("status"), "inconclusive").alias("status"))
+    wide = rooms.join(folded, "room", "left").groupBy("room").agg(*(F.max(F.when(F.col("part") == p, F.col("status"))).alias(p) for p in parts))
+    issues = open_issues.groupBy("room").agg(F.count("*").alias("n_open"))
+    rows = wide.join(issues, "room", "left").withColumn("n_open", F.coalesce("n_open", F.lit(0)))
+    bad = (F.col("n_open") > 0) | F.coalesce(F.greatest(*((F.coalesce(p, F.lit("inconclusive")) == "fail").cast("int") for p in parts)) == 1, F.lit(False))
+    whole = F.least(*((F.coalesce(p, F.lit("inconclusive")) == "pass").cast("int") for p in parts)) == 1
+    status = F.when(bad, "fail").when(whole, "pass").otherwise("inconclusive")
+    verdict = F.when(bad, "not_ready").when(whole, "ready").otherwise("incomplete")
+    return rows.select("room", status.alias("status"), verdict.alias("verdict"), "n_open")
+
+
+def applicable(requirements: DataFrame, subjects: DataFrame, family: DataFrame, phase: str) -> DataFrame:
+    """(subject, row): confirmed requirement rows without blanks that apply to each space or piece of equipment in a phase.
+
+    Requirements are (row, verified_by, blanks, phases, space_types, classes), subjects
+    (subject, space_type, class). A row without phases holds in all of them; classes count with those under them.
+    """
+    active = requirements.where("verified_by is not null and blanks = 0 and (size(phases) = 0 or array_contains(phases, '" + phase + "'))")
+    spaces = active.select("row", F.explode("space_types").alias("space_type")).join(subjects, "space_type").select("subject", "row")
+    known = subjects.where("class is not null").select("subject", F.lower("class").alias("class")).join(family, "class", "left").select("subject", F.coalesce("ancestor", "class").alias("want"))
+    kinds = active.select("row", F.explode("classes").alias("want")).select("row", F.lower("want").alias("want")).join(known, "want").select("subject", "row")
+    return spaces.unionByName(kinds).distinct()
+
+
+def run_summary(results: DataFrame) -> DataFrame:
+    """(equip, checks, pass, fail, inconclusive, highest, status) of a run's results (equip, rung, status)."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    highest = F.max(F.when(F.col("status") == "pass", F.col("rung"))).alias("highest")
+    return results.groupBy("equip").agg(F.count("*").alias("checks"), n("pass"), n("fail"), n("inconclusive"), highest, worst(F.col("status")).alias("worst"))

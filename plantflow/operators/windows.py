@@ -7,10 +7,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plantflow.operators.timejoin import micros
+from plantflow.session import cut
+from plantflow.sources.history import good
 
+# Words that count as running.
 RUN_WORDS = ("on", "true", "run", "running", "active", "start")
 
 
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """`rows` with their place (from 1) in a total order, without one task that holds them all.
+
+    Rows are dealt by ranges of the order and numbered inside each; a range starts after the
+    rows of those before it, of which there are as many as partitions.
+    """
+    part = "range_part"
+    dealt = cut(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return dealt.withColumn(name, inside).join(F.broadcast(before), part).withColumn(name, F.col(name) + F.col("before")).drop(part, "before")
+
+
+def carry_in(history: DataFrame, starts: DataFrame, n: int = 10, within_s: float = 3600) -> DataFrame:
+    """Samples from each point's start (point_uri, start) on, with up to `n` good ones of the time before it."""
+    rows = history.join(starts, "point_uri")
+    t, start = micros(F.col("ts")), micros(F.col("start"))
+    older = rows.where((t < start) & (t >= start - int(within_s * 1e6)) & good())
+    place = F.row_number().over(Window.partitionBy("point_uri").orderBy(F.desc("ts")))
+    older = older.withColumn("place", place).where(F.col("place") <= n).drop("place")
+    return rows.where(t >= start).withColumn("carried", F.lit(False)).unionByName(older.withColumn("carried", F.lit(True))).drop("start")
+
+
 def availability(samples: DataFrame, key: str, start: str, end: str, gap_s: float) -> DataFrame:
     """Percent of [start, end) covered, a sample covering until the next one but `gap_s` at most."""
     lo, hi = micros(F.lit(start).cast("timestamp_ntz")), micros(F.lit(end).cast("timestamp_ntz"))
@@ -43,8 +70,10 @@ def spikes(samples: DataFrame, key: str, half: int = 5, k: float = 6.0) -> DataF
     around = F.concat(F.collect_list("value").over(w.rowsBetween(-half, -1)), F.collect_list("value").over(w.rowsBetween(1, half)))
     median = lambda xs: (F.get(F.array_sort(xs), F.lit(half - 1)) + F.get(F.array_sort(xs), F.lit(half))) / 2
     rows = samples.withColumn("near", around).where(F.size("near") == 2 * half).withColumn("m", median(F.col("near")))
-    rows = rows.withColumn("mad", median(F.transform("near", lambda x: F.abs(x - F.col("m")))))
     floor = F.greatest(F.abs("m") * 0.001, F.lit(1e-6))
+    # The MAD is at least the floor, so most samples drop out before it is worked out.
+    rows = rows.where(F.abs(F.col("value") - F.col("m")) > k * 1.4826 * floor)
+    rows = rows.withColumn("mad", median(F.transform("near", lambda x: F.abs(x - F.col("m")))))
     return rows.where(F.abs(F.col("value") - F.col("m")) > k * 1.4826 * F.greatest(F.col("mad"), floor)).drop("near", "m", "mad")
 
 

@@ -295,7 +295,11 @@ def _events_stream(spark, sf_dir):
 
 def _drain(stream, spark):
     """Run a stream over what is there and read what it wrote, both below the checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-plantflow-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-plantflow-")
     base = f"{base}/stream-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
     run.awaitTermination()

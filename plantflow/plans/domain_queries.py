@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantflow.functions import mapping
-from plantflow.operators import graph, performance
+from plantflow.operators import graph, performance, windows
+from plantflow.operators.components import components
 from plantflow.operators.graph import Tag
 from plantflow.plans.history_queries import H, r6
 from plantflow.registry import register
@@ -23,14 +24,13 @@ def graph_closure(spark, sf_dir):
 
 @register(
     "symmetric_components",
-    """WITH RECURSIVE e AS (SELECT l_suppkey AS a, l_suppkey + 1 AS b FROM lineitem WHERE l_suppkey % 7 <> 0 UNION SELECT l_suppkey + 1, l_suppkey FROM lineitem WHERE l_suppkey % 7 <> 0),
+    """WITH RECURSIVE e AS (SELECT l_suppkey AS a, l_suppkey + 1 AS b FROM lineitem UNION SELECT l_suppkey + 1, l_suppkey FROM lineitem),
     c AS (SELECT a AS n, a AS r FROM e UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.n) SELECT n AS node, min(r) AS root FROM c GROUP BY 1""",
 )
 def symmetric_components(spark, sf_dir):
-    """Equivalent equipment: closure of symmetric pairs, smallest member as name."""
-    pairs = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 <> 0").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 1).alias("b")).distinct()
-    both = graph.neighbours(pairs).select(F.col("a").alias("child"), F.col("b").alias("parent"))
-    return graph.closure(both, max_depth=16).groupBy("node").agg(F.min("ancestor").alias("root"))
+    """Equivalent equipment: groups of symmetric pairs, here one chain through all suppliers, smallest member as name."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 1).alias("b")).distinct()
+    return components(pairs)
 
 
 @register(
@@ -66,7 +66,7 @@ def tree_rollup(spark, sf_dir):
 def tree_rollup_by_level(spark, sf_dir):
     """A fold that isn't associative: half of the largest child, level by level."""
     edges = containment(spark, sf_dir).where(~F.col("child").startswith("urn:supplier"))
-    return graph.tree_rollup_by_level(edges, leaves(spark, sf_dir), lambda xs: F.array_max(xs) / 2).select("node", r6("value"))
+    return graph.tree_rollup_by_level(edges, leaves(spark, sf_dir), lambda v: F.max(v) / 2).select("node", r6("value"))
 
 
 @register("serving_chain", f"WITH RECURSIVE {UP_SQL} SELECT node AS start, ancestor AS node, CAST(min(depth) AS INTEGER) AS level FROM up WHERE node LIKE 'urn:supplier:%' GROUP BY 1, 2")
@@ -135,15 +135,12 @@ def records(spark, sf_dir):
 
 @register(
     "sort_missing_last",
-    "SELECT p_partkey, row_number() OVER (ORDER BY lower(CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_name END) DESC NULLS LAST, p_partkey) AS place FROM part QUALIFY place <= 300",
+    "SELECT p_partkey, row_number() OVER (ORDER BY lower(CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_name END) DESC NULLS LAST, p_partkey) AS place FROM part",
 )
 def sort_missing_last(spark, sf_dir):
-    """Reverse sort by a tag: missing last in both directions, then a first-N page numbered in order."""
-    p = table(spark, sf_dir, "part").withColumn("tag", F.when(F.col("p_size") % 4 != 0, F.col("p_name")))
-    page = p.orderBy(F.lower("tag").desc_nulls_last(), "p_partkey").limit(300).select("p_partkey", F.lower("tag").alias("tag"))
-    from pyspark.sql.window import Window
-
-    return page.select("p_partkey", F.row_number().over(Window.orderBy(F.col("tag").desc_nulls_last(), "p_partkey")).cast("long").alias("place"))
+    """Reverse sort by a tag: missing last in both directions, all rows numbered in order."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lower(F.when(F.col("p_size") % 4 != 0, F.col("p_name"))).alias("tag"))
+    return windows.numbered(p, "place", F.col("tag").desc_nulls_last(), F.col("p_partkey").asc()).select("p_partkey", F.col("place").cast("long").alias("place"))
 
 
 WORDS_SQL = "t AS (SELECT p_partkey AS id, list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+'), lambda w: len(w) > 0) AS tokens FROM part)"
@@ -232,24 +229,24 @@ def class_scores(spark, sf_dir):
 
 @register(
     "vector_cosine",
-    "SELECT a.vec_id AS q, b.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0",
+    "SELECT a.vec_id AS q, b.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0",
 )
 def vector_cosine(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", F.col("embedding").alias("x"))
     b = e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("y"))
-    return a.join(b, "label").where("q < id").select("q", "id", F.round(mapping.cosine(F.col("x"), F.col("y")), 5).alias("sim"))
+    return a.join(b, "label").where("q <> id").select("q", "id", F.round(mapping.cosine(F.col("x"), F.col("y")), 5).alias("sim"))
 
 
 @register(
     "equipment_scores",
-    """WITH h AS (SELECT DISTINCT user_id AS equip, event_type AS class FROM events WHERE event_id % 11 = 0), s(type, class, weight) AS (VALUES ('AHU', 'click', 2.0), ('AHU', 'view', 1.0), ('VAV', 'view', 1.0), ('VAV', 'error', 1.0), ('PUMP', 'purchase', 3.0), ('PUMP', 'signup', 1.0)),
+    """WITH h AS (SELECT DISTINCT user_id AS equip, event_type AS class FROM events), s(type, class, weight) AS (VALUES ('AHU', 'click', 2.0), ('AHU', 'view', 1.0), ('VAV', 'view', 1.0), ('VAV', 'error', 1.0), ('PUMP', 'purchase', 3.0), ('PUMP', 'signup', 1.0)),
     m AS (SELECT equip, type, sum(weight) AS met, count(*) AS ex FROM h JOIN s USING (class) GROUP BY ALL), t AS (SELECT type, sum(weight) AS a FROM s GROUP BY 1), p AS (SELECT equip, count(*) AS n FROM h GROUP BY 1),
     r AS (SELECT equip, type, CAST(0.6 AS DOUBLE) * CAST(met AS DOUBLE) / CAST(a AS DOUBLE) + CAST(0.4 AS DOUBLE) * ex / n AS score FROM m JOIN t USING (type) JOIN p USING (equip))
     SELECT equip, type, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY equip ORDER BY round(score, 9) DESC, type) AS rank FROM r) WHERE rank <= 3""",
 )
 def equipment_scores(spark, sf_dir):
-    found = table(spark, sf_dir, "events").where("event_id % 11 = 0").select(F.col("user_id").alias("equip"), F.col("event_type").alias("class"))
+    found = table(spark, sf_dir, "events").select(F.col("user_id").alias("equip"), F.col("event_type").alias("class"))
     listed = [("AHU", "click", 2.0), ("AHU", "view", 1.0), ("VAV", "view", 1.0), ("VAV", "error", 1.0), ("PUMP", "purchase", 3.0), ("PUMP", "signup", 1.0)]
     return mapping.equipment_scores(found, spark.createDataFrame(listed, "type string, class string, weight double")).select("equip", "type", r6("score"), "rank")
 

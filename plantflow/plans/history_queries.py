@@ -240,7 +240,7 @@ def kind_of_series(spark, sf_dir):
 
 @register(
     "interpolate",
-    f"""WITH {H}, s AS (SELECT point_uri AS series, ts, value FROM h WHERE value IS NOT NULL AND point_uri LIKE 'urn:point:u1_/view'),
+    f"""WITH {H}, s AS (SELECT point_uri AS series, ts, value FROM h WHERE value IS NOT NULL AND point_uri LIKE '%/view' AND ts < '2024-01-02'),
     g AS (SELECT t.ts, e.series FROM (SELECT DISTINCT ts FROM s) t JOIN (SELECT series, min(ts) lo, max(ts) hi FROM s GROUP BY 1) e ON t.ts BETWEEN lo AND hi),
     a AS (SELECT g.series, g.ts, s.ts AS ta, s.value AS av FROM g ASOF JOIN s ON g.series = s.series AND g.ts >= s.ts),
     b AS (SELECT g.series, g.ts, s.ts AS bt, s.value AS bv FROM g ASOF JOIN s ON g.series = s.series AND g.ts <= s.ts)
@@ -248,7 +248,7 @@ def kind_of_series(spark, sf_dir):
     FROM a JOIN b USING (series, ts)""",
 )
 def interpolate(spark, sf_dir):
-    h = history(spark, sf_dir).where("value is not null").where(F.col("point_uri").rlike("^urn:point:u1./view$"))
+    h = history(spark, sf_dir).where("value is not null").where(F.col("point_uri").endswith("/view") & (F.col("ts") < ntz("2024-01-02")))
     return rollup.interpolate(h.select(F.col("point_uri").alias("series"), "ts", "value")).select("series", "ts", r6("value"))
 
 
@@ -312,13 +312,17 @@ def point_stats(spark, sf_dir):
 
 @register(
     "batch_arrays",
-    "SELECT date_trunc('day', ts) AS day, count(*) AS n, md5(array_to_string(list(CAST(event_id AS VARCHAR) ORDER BY ts, event_id), ',')) AS ids_md5 FROM events GROUP BY 1",
+    """WITH n AS (SELECT event_id, date_trunc('day', ts) AS day, ts, (row_number() OVER (PARTITION BY date_trunc('day', ts), date_trunc('hour', ts) ORDER BY ts, event_id) - 1) // 5000 AS part FROM events)
+    SELECT day, date_trunc('hour', ts) AS hour, CAST(part AS BIGINT) AS part, count(*) AS n, md5(array_to_string(list(CAST(event_id AS VARCHAR) ORDER BY ts, event_id), ',')) AS ids_md5 FROM n GROUP BY 1, 2, 3""",
 )
 def batch_arrays(spark, sf_dir):
-    """Feed batches as arrays ordered by (time, key)."""
-    e = table(spark, sf_dir, "events")
-    rows = e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("s"))
-    return rows.select("day", F.size("s").cast("long").alias("n"), F.md5(F.array_join(F.transform("s", lambda x: x["event_id"].cast("string")), ",")).alias("ids_md5"))
+    """Feed batches of at most 5,000 readings as arrays ordered by (time, key)."""
+    trunc = lambda unit: F.date_trunc(unit, "ts").cast("timestamp_ntz").alias(unit)
+    e = table(spark, sf_dir, "events").select("ts", "event_id", trunc("day"), trunc("hour"))
+    place = F.row_number().over(Window.partitionBy("day", "hour").orderBy("ts", "event_id")) - 1
+    e = e.withColumn("part", F.floor(place / 5000))
+    rows = e.groupBy("day", "hour", "part").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("s"))
+    return rows.select("day", "hour", "part", F.size("s").cast("long").alias("n"), F.md5(F.array_join(F.transform("s", lambda x: x["event_id"].cast("string")), ",")).alias("ids_md5"))
 
 
 @register(

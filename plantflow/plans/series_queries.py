@@ -68,11 +68,11 @@ def aligned_roles(spark, sf_dir):
 @register(
     "pivot_batch",
     """SELECT date_trunc('hour', ts) AS ts, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view,
-    max(value) FILTER (event_type = 'purchase') AS purchase FROM events WHERE user_id < 20 AND event_type IN ('click', 'view', 'purchase') GROUP BY 1""",
+    max(value) FILTER (event_type = 'purchase') AS purchase FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1""",
 )
 def pivot_batch(spark, sf_dir):
     """One column per point, one row per time."""
-    e = table(spark, sf_dir, "events").where("user_id < 20")
+    e = table(spark, sf_dir, "events")
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")
     wanted = ["click", "view", "purchase"]
     return e.where(F.col("event_type").isin(wanted)).groupBy(hour).pivot("event_type", wanted).agg(F.max("value"))
@@ -147,14 +147,15 @@ def run_hours(spark, sf_dir):
 
 @register(
     "spikes",
-    """WITH w AS (SELECT event_type, event_id, value, list(value) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) || list(value) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS n FROM events),
+    """WITH w AS (SELECT event_type, event_id, value, user_id, list(value) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) || list(value) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS n FROM events),
     m AS (SELECT *, list_median(n) AS m FROM w WHERE len(n) = 10),
     d AS (SELECT *, list_median(list_transform(n, lambda x: abs(x - m))) AS mad FROM m)
     SELECT event_type, event_id, value FROM d WHERE abs(value - m) > 6.0 * 1.4826 * greatest(mad, greatest(abs(m) * 0.001, 1e-6))""",
 )
 def spikes(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
-    return windows.spikes(e, "event_type").select("event_type", "event_id", "value")
+    """Spikes of each point's own series."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value", F.struct("user_id", "event_type").alias("point"))
+    return windows.spikes(e, "point").select("event_type", "event_id", "value")
 
 
 @register(

@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the query modules, which register themselves."""
-    from plantflow.plans import asset_queries, domain_queries, extra_queries, history_queries, more_queries, series_queries  # noqa: F401
+    from plantflow.plans import asset_queries, class_queries, domain_queries, extra_queries, history_queries, more_queries, series_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

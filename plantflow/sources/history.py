@@ -143,3 +143,21 @@ def manifest(spark, path: str) -> DataFrame:
     """Relative file names with sizes and sha256 sums of an export."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def missed(consumers: DataFrame, batches: DataFrame) -> DataFrame:
+    """(consumer, missed): batches (at) beyond each consumer's offset (consumer, at); those that missed none are left out.
+
+    Batches and offsets are put in one order by ranges, and each range starts with the
+    batches of the ranges after it, so neither side is collected and no pairs are made.
+    """
+    from plantflow.session import cut
+
+    rows = consumers.select("at", "consumer", F.lit(0).alias("batch")).unionByName(batches.select("at", F.lit(None).cast(consumers.schema["consumer"].dataType).alias("consumer"), F.lit(1).alias("batch")))
+    dealt = cut(rows.repartitionByRange(F.desc("at")).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.sum("batch").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.sum("batch").over(Window.partitionBy("part").orderBy(F.desc("at"), "batch").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = dealt.withColumn("inside", inside).join(F.broadcast(before), "part")
+    out = counted.where("batch = 0").select("consumer", (F.col("inside") + F.col("before")).alias("missed"))
+    return out.where("missed > 0")
