@@ -1,35 +1,13 @@
-"""Connected components of a link table, by hooking and contraction."""
+"""Connected components of a link table, with every round kept in a table of the shared scratch folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from plantflow.llm.storage import materialize
+from plantflow.operators import components as contraction
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of `links` (a, b); the root is the smallest reachable node.
-
-    Each round every node points to its smallest neighbour or itself, pointers are
-    followed once more, and the edges are contracted along them; the edges that are
-    left fall at least by half, so rounds grow with the logarithm of the longest path. All state
-    is in tables; the driver only learns whether edges are left.
-    """
-    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    labels = None
-    while labels is None or not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
-        near = materialize(near, "near")
-        up = near.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        step = materialize(near.join(up, "p").select("v", F.least("p", "pp").alias("p")), "step")
-        to_a, to_b = step.select(F.col("v").alias("a"), F.col("p").alias("pa")), step.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        moved = edges.join(to_a, "a").join(to_b, "b").where("pa <> pb")
-        edges = materialize(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        if labels is None:
-            labels = step.select(F.col("v").alias("node"), F.col("p").alias("root"))
-        else:
-            then = step.select(F.col("v").alias("root"), F.col("p").alias("next"))
-            labels = labels.join(then, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return labels
+    """(node, root) for every node of `links` (a, b); the root is the smallest reachable node."""
+    return contraction.components(links, lambda rows: materialize(rows, "components"))

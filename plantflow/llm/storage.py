@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: dict[str, list[str]] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name below the checkpoint folder that the cluster names."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +34,17 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what this session has materialized, once the results that read it are written."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name like `stem` that no column of `df` has, whatever the case."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -166,6 +166,18 @@ def test_jaccard_empty(spark, empty):
     assert jaccard_join.drop_near_copies(empty).columns == empty.columns
 
 
+def test_scratch_is_cleared(spark):
+    from pathlib import Path
+
+    from plantflow.llm import storage
+
+    storage.materialize(spark.range(3), "kept")
+    path = Path(storage._written[spark.sparkContext.applicationId][-1].removeprefix("file://"))
+    assert path.exists()
+    storage.clear(spark)
+    assert not path.exists() and not path.parent.exists()
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (102, 100), (7, 200)]
     random.Random(3).shuffle(edges)
