@@ -58,6 +58,68 @@ def schedule_value(at: DataFrame, weekly: DataFrame, exceptions: DataFrame, defa
     return rows.join(ex, "id", "left").join(wk, "id", "left").select("id", "ts", F.coalesce("ev", "wv", F.lit(default)).alias("value"))
 
 
+def schedule_transitions(days: DataFrame, weekly: DataFrame, exceptions: DataFrame, default: float, zone: str | None = None) -> DataFrame:
+    """(ts, value) of every change of the scheduled value over the days (day), the first instant aside.
+
+    Only midnights and the times of entries can change the value; each is valued once, and those that
+    change nothing drop out. `zone` turns local instants into UTC.
+    """
+    from pyspark.sql.window import Window
+
+    at = lambda rows: rows.select((F.unix_micros(F.col("day").cast("timestamp")) + F.col("minute").cast("long") * 60_000_000).alias("t"))
+    dated = days.select("day", F.weekday("day").alias("dow"))
+    times = at(dated.withColumn("minute", F.lit(0))).unionByName(at(dated.join(weekly, "dow"))).unionByName(at(dated.join(exceptions, "day"))).distinct()
+    local = times.select(F.col("t").alias("id"), F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"))
+    valued = schedule_value(local, weekly, exceptions, default)
+    # A site's schedule has a few changes a day: one row each, so one ordered window holds few rows.
+    was = F.lag("value").over(Window.orderBy("ts"))
+    changed = valued.withColumn("was", was).where("was is not null and was <> value")
+    ts = F.col("ts") if zone is None else F.to_utc_timestamp(F.col("ts").cast("timestamp"), zone).cast("timestamp_ntz")
+    return changed.select(ts.alias("ts"), "value")
+
+
+def week_n_day(day: Column, month: int | None = None, week: int | None = None, weekday: int | None = None) -> Column:
+    """Calendar pattern by month (13 odd, 14 even), week of the month (6: its last seven days) and weekday (Monday 0)."""
+    keep = F.lit(True)
+    if month is not None:
+        keep = F.month(day) % 2 == (1 if month == 13 else 0) if month in (13, 14) else F.month(day) == month
+    if weekday is not None:
+        keep = keep & (F.weekday(day) == weekday)
+    if week == 6:
+        keep = keep & (F.dayofmonth(day) > F.dayofmonth(F.last_day(day)) - 7)
+    elif week is not None:
+        keep = keep & (F.dayofmonth(day) > (week - 1) * 7) & (F.dayofmonth(day) <= week * 7)
+    return keep
+
+
+def in_date_range(day: Column, lo: str | None, hi: str | None) -> Column:
+    """Inclusive range of ISO dates; an end that is None is open."""
+    keep = F.lit(True) if lo is None else day >= F.lit(lo).cast("date")
+    return keep if hi is None else keep & (day <= F.lit(hi).cast("date"))
+
+
+def cost_by_risk(deferred: DataFrame) -> DataFrame:
+    """(risk, items, cost) of open deferred work."""
+    return deferred.where("status = 'open'").groupBy("risk").agg(F.count("*").alias("items"), F.sum("cost").alias("cost"))
+
+
+def cell_totals(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Region recall and cell precision, recall and F1 of extracted tables (title, row, head, value).
+
+    Blank cells don't count. A cell is right where the same title, row and head have the same value;
+    a region counts as found when any of its cells was predicted.
+    """
+    clean = lambda d: d.where("trim(coalesce(value, '')) <> ''").select(*(F.lower(F.trim(c)).alias(c) for c in ("title", "row", "head", "value")))
+    t, p = clean(truth), clean(predicted)
+    right = p.join(t, ["title", "row", "head", "value"], "left_semi").agg(F.count("*").alias("tp"))
+    regions = truth.select(F.lower(F.trim("title")).alias("title")).distinct()
+    found = regions.join(predicted.select(F.lower(F.trim("title")).alias("title"), F.lit(1).alias("hit")).distinct(), "title", "left")
+    counts = found.agg(F.count("*").alias("regions"), F.count("hit").alias("found"))
+    one = t.agg(F.count("*").alias("n_true")).join(p.agg(F.count("*").alias("n_pred"))).join(right).join(counts)  # one row each
+    pr, rc = F.try_divide("tp", "n_pred"), F.try_divide("tp", "n_true")
+    return one.select("regions", "found", "n_true", "n_pred", "tp", F.try_divide("found", "regions").alias("region_recall"), pr.alias("precision"), rc.alias("recall"), F.try_divide(2 * pr * rc, pr + rc).alias("f1"))
+
+
 def date_matches(day: Column, month: str = "*", dom: str = "*", dow: str = "*") -> Column:
     """Calendar pattern: numbers, `odd`, `even`, `last`, or `*`."""
     one = lambda x, spec, last=None: (

@@ -343,8 +343,14 @@ def late_samples(spark, sf_dir):
     return faults.split_late(h.where(F.col("ts") >= ntz("2024-01-10")), judged)[1].select("point_uri", "ts")
 
 
-@register("alert_states")
+@register(
+    "alert_states",
+    """WITH o AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_type IN ('error', 'view') AS present FROM events), g AS (SELECT *, CASE WHEN lag(present) OVER w = present THEN 0 ELSE 1 END AS edge FROM o WINDOW w AS (PARTITION BY key ORDER BY ts)),
+    r AS (SELECT *, sum(edge) OVER (PARTITION BY key ORDER BY ts) AS run FROM g), s AS (SELECT *, min(ts) OVER (PARTITION BY key, run) AS start FROM r),
+    e AS (SELECT key, run, present, min(ts) AS "at" FROM s WHERE ts - start >= INTERVAL 1 HOUR GROUP BY 1, 2, 3)
+    SELECT key, CASE WHEN present THEN 'firing' ELSE 'resolved' END AS event, "at" FROM (SELECT *, coalesce(lag(present) OVER (PARTITION BY key ORDER BY "at"), false) AS was FROM e) WHERE present <> was""",
+)
 def alert_states(spark, sf_dir):
-    """Firing and resolved alerts per user; sequential timers, so judged by key in pandas."""
+    """Firing and resolved alerts per user."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_type").isin("error", "view").alias("present"))
     return faults.alert_states(e, 3600, 3600)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantflow.functions import mapping, scalars
-from plantflow.operators import derive, graph, rollup, verify, windows
+from plantflow.operators import derive, graph, lifecycle, rollup, verify, windows
 from plantflow.operators.graph import Tag
 from plantflow.plans.history_queries import H, ntz, r6
 from plantflow.registry import register
 from plantflow.session import table
 from plantflow.sources.adapter import containment, history
+from plantflow.streaming import faults
 
 
 def urn(kind: str, key: str):
@@ -302,3 +303,65 @@ def derivation_chain(spark, sf_dir):
     samples = e.select(point.alias("point_uri"), "ts", "value")
     out = derive.evaluate_chain(samples, chain, {"double": set(), "plus": {"double"}, "lost": {"missing"}}, ntz("2024-01-25"), 5 * 86400)
     return out.select("derivation", "target", r6("value"))
+
+
+@register(
+    "schedule_transitions",
+    """WITH w(dow, minute, value) AS (VALUES (0, 360, 21.0), (0, 1080, 16.0), (1, 360, 21.5), (2, 420, 20.0), (4, 0, 19.0)), x(day, priority, minute, value) AS (VALUES (DATE '2024-01-08', 5, 0, 12.0), (DATE '2024-01-08', 3, 600, 25.0), (DATE '2024-01-10', 16, 300, 11.0)),
+    d AS (SELECT DISTINCT ts::DATE AS day FROM events), t AS (SELECT day, 0 AS minute FROM d UNION SELECT day, minute FROM d JOIN w ON dow = isodow(day) - 1 UNION SELECT day, minute FROM d JOIN x USING (day)),
+    v AS (SELECT day + to_minutes(minute) AS ts, coalesce((SELECT arg_min(value, priority * 10000 - x.minute) FROM x WHERE x.day = t.day AND x.minute <= t.minute), (SELECT arg_max(value, w.minute) FROM w WHERE dow = isodow(t.day) - 1 AND w.minute <= t.minute), 15.0) AS value FROM t)
+    SELECT ts, CAST(value AS DOUBLE) AS value FROM (SELECT *, lag(value) OVER (ORDER BY ts) AS was FROM v) WHERE was <> value""",
+)
+def schedule_transitions(spark, sf_dir):
+    """Every change of a weekly schedule with exceptions over the days that have events."""
+    from datetime import date
+
+    weekly = spark.createDataFrame([(0, 360, 21.0), (0, 1080, 16.0), (1, 360, 21.5), (2, 420, 20.0), (4, 0, 19.0)], "dow int, minute int, value double")
+    special = spark.createDataFrame([(date(2024, 1, 8), 5, 0, 12.0), (date(2024, 1, 8), 3, 600, 25.0), (date(2024, 1, 10), 16, 300, 11.0)], "day date, priority int, minute int, value double")
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
+    return lifecycle.schedule_transitions(days, weekly, special, 15.0)
+
+
+@register("week_n_day", "SELECT o_orderkey FROM orders WHERE (month(o_orderdate) % 2 = 0 AND isodow(o_orderdate) = 2 AND day(o_orderdate) > day(last_day(o_orderdate)) - 7) OR (month(o_orderdate) = 3 AND day(o_orderdate) BETWEEN 8 AND 14) OR o_orderdate::DATE BETWEEN '1997-01-05' AND '1997-01-20'")
+def week_n_day(spark, sf_dir):
+    """The last Tuesday of even months, the second week of March, and a range of dates."""
+    day = F.to_date("o_orderdate")
+    keep = lifecycle.week_n_day(day, 14, 6, 1) | lifecycle.week_n_day(day, 3, 2) | lifecycle.in_date_range(day, "1997-01-05", "1997-01-20")
+    return table(spark, sf_dir, "orders").where(keep).select("o_orderkey")
+
+
+@register("cost_by_risk", "SELECT o_orderpriority AS risk, count(*) AS items, round(sum(o_totalprice), 2) AS cost FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
+def cost_by_risk(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderpriority").alias("risk"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"), F.col("o_totalprice").alias("cost"))
+    return lifecycle.cost_by_risk(rows).select("risk", "items", F.round("cost", 2).alias("cost"))
+
+
+@register(
+    "table_recall",
+    """WITH t AS (SELECT p_brand AS title, CAST(p_partkey AS VARCHAR) AS row, unnest(['name', 'type']) AS head, unnest([p_name, p_type]) AS value FROM part), p AS (SELECT title, row, head, CASE WHEN CAST(row AS BIGINT) % 4 = 0 THEN '?' ELSE upper(value) END AS value FROM t WHERE CAST(row AS BIGINT) % 7 <> 0 AND title <> 'Brand#2'),
+    c AS (SELECT (SELECT count(DISTINCT title) FROM t) AS regions, (SELECT count(DISTINCT title) FROM p) AS found, (SELECT count(*) FROM t) AS n_true, (SELECT count(*) FROM p) AS n_pred, (SELECT count(*) FROM p WHERE value <> '?') AS tp)
+    SELECT *, round(found / regions, 6) AS region_recall, round(tp / n_pred, 6) AS precision, round(tp / n_true, 6) AS recall, round(2 * (tp / n_pred) * (tp / n_true) / (tp / n_pred + tp / n_true), 6) AS f1 FROM c""",
+)
+def table_recall(spark, sf_dir):
+    """Extracted tables against true ones, cell by cell and region by region."""
+    p = table(spark, sf_dir, "part")
+    cells = F.explode(F.array(F.struct(F.lit("name").alias("head"), F.col("p_name").alias("value")), F.struct(F.lit("type").alias("head"), F.col("p_type").alias("value"))))
+    truth = p.select(F.col("p_brand").alias("title"), F.col("p_partkey").cast("string").alias("row"), cells.alias("c"), "p_partkey").select("title", "row", "c.*", "p_partkey")
+    read = truth.where("p_partkey % 7 <> 0 and title <> 'Brand#2'").withColumn("value", F.when(F.col("p_partkey") % 4 == 0, F.lit("?")).otherwise(F.upper("value")))
+    out = lifecycle.cell_totals(truth, read)
+    return out.select("regions", "found", "n_true", "n_pred", "tp", r6("region_recall"), r6("precision"), r6("recall"), r6("f1"))
+
+
+@register(
+    "judge_late",
+    f"""WITH {H}, r AS (SELECT point_uri, ts, value FROM h WHERE value IS NOT NULL), l AS (SELECT point_uri, ts FROM r WHERE epoch_us(ts) % 11 = 0),
+    w AS (SELECT *, list(value) OVER (PARTITION BY point_uri ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) || list(value) OVER (PARTITION BY point_uri ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS n FROM r),
+    m AS (SELECT *, list_median(n) AS m FROM w WHERE len(n) = 10), d AS (SELECT *, list_median(list_transform(n, lambda x: abs(x - m))) AS mad FROM m)
+    SELECT point_uri, ts FROM d JOIN l USING (point_uri, ts) WHERE abs(value - m) > 6.0 * 1.4826 * greatest(mad, greatest(abs(m) * 0.001, 1e-6))""",
+)
+def judge_late(spark, sf_dir):
+    """Late samples judged for spikes among the samples beside them."""
+    h = history(spark, sf_dir).where("value is not null").select("point_uri", "ts", "value")
+    late = h.where(F.unix_micros(F.col("ts").cast("timestamp")) % 11 == 0)
+    return faults.judge_late(h, late, lambda rows: windows.spikes(rows, "point_uri")).select("point_uri", "ts")

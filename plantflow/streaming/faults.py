@@ -61,25 +61,19 @@ def alert_states(observed: DataFrame, for_s: float = 120, clear_s: float = 120)
     resolves after `clear_s` of absence.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out = rows.sort_values("ts"), []
-        state, since, absent = "clear", None, None
-        for at, present in zip(rows["ts"], rows["present"]):
-            if state == "clear" and present:
-                state, since = "pending", at
-            elif state == "pending" and not present:
-                state = "clear"
-            if state == "pending" and (at - since).total_seconds() >= for_s:
-                state, absent = "firing", None
-                out.append((rows["key"].iloc[0], "firing", at))
-            elif state == "firing":
-                absent = None if present else (absent or at)
-                if absent is not None and (at - absent).total_seconds() >= clear_s:
-                    state = "clear"
-                    out.append((rows["key"].iloc[0], "resolved", at))
-        return pd.DataFrame(out, columns=["key", "event", "at"])
-
-    return observed.groupBy("key").applyInPandas(run, "key string, event string, at timestamp_ntz")
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("key").orderBy("ts")
+    edge = F.coalesce((F.lag("present").over(w) != F.col("present")).cast("int"), F.lit(1))
+    runs = observed.withColumn("run", F.sum(edge).over(w))
+    start = F.min("ts").over(Window.partitionBy("key", "run"))
+    held = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    wait = F.when(F.col("present"), int(for_s * 1e6)).otherwise(int(clear_s * 1e6))
+    # The first sample of a run that has lasted long enough may fire or resolve, whatever the state was.
+    ready = runs.withColumn("held", held).where(F.col("held") >= wait).groupBy("key", "run", "present").agg(F.min("ts").alias("at"))
+    was = F.coalesce(F.lag("present").over(Window.partitionBy("key").orderBy("at")), F.lit(False))
+    event = F.when(F.col("present"), "firing").otherwise("resolved")
+    return ready.withColumn("was", was).where("present <> was").select("key", event.alias("event"), "at")
 
 
 def alarm_events(states: DataFrame) -> DataFrame:
@@ -96,6 +90,21 @@ def alarm_events(states: DataFrame) -> DataFrame:
     return rows.withColumn("event", event).where("event is not null").select("key", "ts", "event", "severity")
 
 
+def judge_late(history: DataFrame, late: DataFrame, judge, half: int = 5) -> DataFrame:
+    """Late samples (point_uri, ts) that `judge` marks among their neighbours.
+
+    Each late sample is judged with the `half` stored samples before and after it, so only the
+    neighbourhoods of late samples are read again. `judge` takes and returns samples.
+    """
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("point_uri").orderBy("ts")
+    marked = history.join(late.select("point_uri", "ts", F.lit(True).alias("late")), ["point_uri", "ts"], "left")
+    near = F.max(F.coalesce("late", F.lit(False)).cast("int")).over(w.rowsBetween(-2 * half, 2 * half)) == 1
+    found = judge(marked.withColumn("near", near).where("near").drop("near"))
+    return found.where("late").drop("late")
+
+
 def to_judge(history: DataFrame, judged: DataFrame, overlap_s: float, now) -> DataFrame:
     """Samples in (judged_to - overlap, now] of each point; a point never judged is judged whole."""
     from plantflow.operators.timejoin import micros
