@@ -165,23 +165,27 @@ def bench_tests(steps: DataFrame, measured: DataFrame) -> DataFrame:
 def spec_match(spec: DataFrame, field: DataFrame) -> DataFrame:
     """Best field tag for each spec tag by names: same 1.0, contained 0.9, same number 0.4, same letters 0.2.
 
-    Candidates meet on their number or their letters, never all against all. Rows are (tag).
+    Contained names meet as substrings among those with the same number or letters; of a number or
+    letters alone only the first field tag counts, so groups that share them are folded, not paired. Rows are (tag).
     """
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     parts = lambda df, name: df.select(
-        F.col("tag").alias(name), plain(F.col("tag")).alias(f"{name}_p"), F.regexp_replace(plain(F.col("tag")), "[^0-9]", "").alias(f"{name}_n"), F.regexp_replace(plain(F.col("tag")), "[0-9]", "").alias(f"{name}_l")
+        F.col("tag").alias(name), plain(F.col("tag")).alias(f"{name}_p"), F.regexp_replace(plain(F.col("tag")), "[^0-9]", "").alias("n"), F.regexp_replace(plain(F.col("tag")), "[0-9]", "").alias("l")
+    ).distinct()
+    a, b = parts(spec, "spec"), parts(field, "field")
+    within = lambda text: F.array_distinct(
+        F.flatten(F.transform(F.sequence(F.lit(1), F.length(text)), lambda at: F.transform(F.sequence(F.lit(1), F.length(text) - at + 1), lambda size: F.substring(text, at, size))))
     )
-    a, b = parts(spec, "spec").distinct(), parts(field, "field").distinct()
-    by_number = a.join(b, (F.col("spec_n") == F.col("field_n")) & (F.col("spec_n") != ""))
-    by_letters = a.join(b, (F.col("spec_l") == F.col("field_l")) & (F.col("spec_l") != ""))
-    score = (
-        F.when(F.col("spec_p") == F.col("field_p"), 1.0)
-        .when(F.col("field_p").contains(F.col("spec_p")) | F.col("spec_p").contains(F.col("field_p")), 0.9)
-        .when(F.col("spec_n") == F.col("field_n"), 0.4)
-        .otherwise(0.2)
-    )
-    pairs = by_number.unionByName(by_letters).distinct().withColumn("score", score)
-    return pairs.groupBy("spec").agg(F.max("score").alias("score"), F.min_by("field", F.struct(-F.col("score"), "field")).alias("field"))
+    rows = a.where("false").select("spec", F.lit(0.0).alias("score"), F.lit("").alias("field"))
+    for key in ("n", "l"):
+        x, y = a.where(F.col(key) != ""), b.where(F.col(key) != "")
+        inside = y.withColumn("spec_p", F.explode(within(F.col("field_p")))).join(x.select("spec", "spec_p", key), ["spec_p", key])
+        around = x.withColumn("field_p", F.explode(within(F.col("spec_p")))).join(y.select("field", "field_p", key), ["field_p", key])
+        score = F.when(F.col("spec_p") == F.col("field_p"), 1.0).otherwise(0.9).alias("score")
+        rows = rows.unionByName(inside.select("spec", score, "field")).unionByName(around.select("spec", score, "field"))
+        first = y.groupBy(key).agg(F.min("field").alias("field"))
+        rows = rows.unionByName(x.join(first, key).select("spec", F.lit(0.4 if key == "n" else 0.2).alias("score"), "field"))
+    return rows.groupBy("spec").agg(F.max("score").alias("score"), F.min_by("field", F.struct(-F.col("score"), "field")).alias("field"))
 
 
 # Related pairs of points, how they are judged, and by what tolerance.
