@@ -55,11 +55,20 @@ def fit_quality(rows: DataFrame, model: dict[str, float]) -> DataFrame:
     )
 
 
+def in_range(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Rows whose load and temperature lie within those of the rows that the model was fitted on."""
+    sides = [f(c).alias(f"{f.__name__}_{c}") for c in ("tons", "ecwt") for f in (F.min, F.max)]
+    limits = F.broadcast(fitted.agg(*sides))  # one row
+    known = rows.crossJoin(limits).where("tons BETWEEN min_tons AND max_tons AND ecwt BETWEEN min_ecwt AND max_ecwt")
+    return known.select(*rows.columns)
+
+
 def degradation(rows: DataFrame, model: dict[str, float], unit: str = "month") -> DataFrame:
-    """Mean measured against mean fitted by month or ISO week, in percent."""
+    """Mean measured against mean fitted by month or ISO week, in percent; the row without a bucket is over all."""
     bucket = F.date_trunc(unit, "ts").cast("timestamp_ntz")
     gap = 100 * (F.avg("y") - F.avg("fitted")) / F.avg("fitted")
-    return residuals(rows, model).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), gap.alias("gap_pct"))
+    judged = residuals(rows, model).withColumn("bucket", bucket)
+    return judged.rollup("bucket").agg(F.count("*").alias("n"), gap.alias("gap_pct"))
 
 
 def feeds(upper: DataFrame, lower: DataFrame, least_r: float = 0.8, least_n: int = 24, margin: float = 0.1) -> DataFrame:

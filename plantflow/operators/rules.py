@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plantflow.operators.timejoin import micros
 from plantflow.sources.history import good
@@ -44,40 +45,80 @@ def out_of_range(history: DataFrame, lo: float | None, hi: float | None) -> Data
     return history.where(F.col("value").isNotNull() & (low | high))
 
 
-def turns(values: np.ndarray, deadband: float) -> list[int]:
-    """Positions of the extremes that a reversal beyond the dead band confirms."""
-    out: list[int] = []
-    anchor, best, direction = 0, 0, 0
-    for i, v in enumerate(values):
-        if direction == 0:
-            if abs(v - values[anchor]) > deadband:
-                direction, best = (1 if v > values[anchor] else -1), i
-        elif direction * (v - values[best]) >= 0:
-            best = i
-        elif direction * (values[best] - v) > deadband:
-            out.append(best)
-            direction, best = -direction, i
-    return out
+class Zigzag:
+    """Follows one series and tells each extreme once a reversal beyond the dead band confirms it; its state has a fixed size."""
 
+    def __init__(self, at, value: float, deadband: float):
+        self.deadband, self.direction = deadband, 0
+        self.anchor, self.best = value, (at, value)
 
-def hunting(samples: DataFrame, key: str, deadband: float, max_rate: float, min_samples: int = 10, max_interval_s: float = 60) -> DataFrame:
-    """Reversals per hour, period, amplitude and travel of each series; not judged on sparse data."""
+    def step(self, at, value: float) -> tuple | None:
+        """The extreme (at, value) that this sample confirms, if any."""
+        ahead = self.direction * (value - self.best[1])
+        if self.direction == 0:
+            if abs(value - self.anchor) > self.deadband:
+                self.direction, self.best = (1 if value > self.anchor else -1), (at, value)
+        elif ahead >= 0:
+            self.best = (at, value)
+        elif -ahead > self.deadband:
+            turn, self.best, self.direction = self.best, (at, value), -self.direction
+            return turn
+        return None
+
+
+def turns(samples: DataFrame, key: str, deadband: float) -> DataFrame:
+    """(key, ts, value) of the confirmed extremes of each series.
+
+    Each step depends on the one before, so a series is walked in one pass: Spark deals and sorts
+    the samples (spilling where they are many) and a task holds one batch and one state at a time.
+    """
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, state = None, None
+        for frame in frames:
+            out = []
+            for name, at, value in zip(frame[key], frame["ts"], frame["value"]):
+                if state is None or name != series:
+                    series, state = name, Zigzag(at, value, deadband)
+                elif turn := state.step(at, value):
+                    out.append((name, *turn))
+            yield pd.DataFrame(out, columns=[key, "ts", "value"])
+
+    rows = samples.where(F.col(key).isNotNull() & F.col("value").isNotNull()).select(key, "ts", F.col("value").cast("double").alias("value"))
+    return rows.repartition(key).sortWithinPartitions(key, "ts", "value").mapInPandas(walk, rows.schema)
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=["value"]).sort_values("ts")
-        t, v = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6, rows["value"].to_numpy(float)
-        out = {key: [rows[key].iloc[0] if len(rows) else None], "judged": [False], "rate": [None], "period_s": [None], "amplitude": [None], "travel_h": [None], "fault": [False]}
-        if len(v) >= min_samples and t[-1] > t[0] and np.median(np.diff(t)) <= max_interval_s:
-            hours, at = (t[-1] - t[0]) / 3600, turns(v, deadband)
-            rate = len(at) / hours
-            out |= {"judged": [True], "rate": [rate], "travel_h": [float(np.abs(np.diff(v)).sum() / hours)], "fault": [bool(rate > max_rate)]}
-            if len(at) > 1:
-                out |= {"period_s": [float(2 * np.median(np.diff(t[at])))], "amplitude": [float(np.median(np.abs(np.diff(v[at])) / 2))]}
-        return pd.DataFrame(out)
 
-    kind = dict(samples.dtypes)[key]
-    schema = f"{key} {kind}, judged boolean, rate double, period_s double, amplitude double, travel_h double, fault boolean"
-    return samples.select(key, "ts", "value").groupBy(key).applyInPandas(judge, schema)
+def middle(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, column): exact medians by a sort that can spill, instead of a map of all values."""
+    some = rows.where(F.col(column).isNotNull())
+    place = F.row_number().over(Window.partitionBy(key).orderBy(column))
+    ranked = some.select(key, column, place.alias("place"), F.count("*").over(Window.partitionBy(key)).alias("n"))
+    halves = ranked.where((2 * F.col("place") >= F.col("n")) & (2 * F.col("place") <= F.col("n") + 2))
+    return halves.groupBy(key).agg(F.avg(column).alias(column))
+
+
+def hunting(samples: DataFrame, key: str, deadband: float, max_rate: float, min_samples: int = 10, max_interval_s: float = 60) -> DataFrame:
+    """Reversals per hour, period, amplitude and travel of each series; not judged on sparse data.
+
+    A series without any value is there, not judged.
+    """
+    w = Window.partitionBy(key).orderBy("ts", "value")
+    seconds = lambda column: micros(F.col(column)) / F.lit(1e6)
+    moves = samples.where(F.col(key).isNotNull() & F.col("value").isNotNull()).select(key, "ts", F.col("value").cast("double").alias("value"))
+    moves = moves.withColumns({"gap": seconds("ts") - F.lag(seconds("ts")).over(w), "travel": F.abs(F.col("value") - F.lag("value").over(w))})
+    sums = moves.groupBy(key).agg(F.count("*").alias("n"), ((F.max(seconds("ts")) - F.min(seconds("ts"))) / 3600).alias("hours"), F.sum("travel").alias("travel"))
+    found = turns(samples, key, deadband)
+    swings = found.withColumns({"between": seconds("ts") - F.lag(seconds("ts")).over(w), "swing": F.abs(F.col("value") - F.lag("value").over(w)) / 2})
+    out = samples.where(F.col(key).isNotNull()).select(key).distinct().join(sums, key, "left").join(middle(moves, key, "gap"), key, "left")
+    out = out.join(found.groupBy(key).agg(F.count("*").alias("turns")), key, "left").join(middle(swings, key, "between"), key, "left").join(middle(swings, key, "swing"), key, "left")
+    judged = F.coalesce((F.col("n") >= min_samples) & (F.col("hours") > 0) & (F.col("gap") <= max_interval_s), F.lit(False))
+    rate = F.when(F.col("judged"), F.coalesce("turns", F.lit(0)) / F.col("hours"))
+    out = out.withColumn("judged", judged).withColumn("rate", rate)
+    shown = lambda column, name: F.when(F.col("judged"), column).alias(name)
+    return out.select(
+        key, "judged", "rate", shown(2 * F.col("between"), "period_s"), shown(F.col("swing"), "amplitude"),
+        shown(F.col("travel") / F.col("hours"), "travel_h"), F.coalesce(F.col("rate") > max_rate, F.lit(False)).alias("fault"),
+    )
 
 
 def resolvable(open_faults: DataFrame, registered: DataFrame, faulted: DataFrame, unjudged: DataFrame) -> DataFrame:
@@ -94,10 +135,6 @@ def masked_inputs(inputs: DataFrame, open_faults: DataFrame) -> DataFrame:
 
 def fault_intervals(flags: DataFrame, key: str) -> DataFrame:
     """Open and resolve times from judged readings (key, ts, bad) in time order; the last may be open."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(key).orderBy("ts")
     changed = flags.withColumn("was", F.coalesce(F.lag("bad").over(w), F.lit(False))).where("bad <> was")
     return changed.withColumn("ended_at", F.lead("ts").over(w)).where("bad").select(key, F.col("ts").alias("started_at"), "ended_at")
-
-

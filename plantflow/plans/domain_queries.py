@@ -272,17 +272,44 @@ def regression_sums(spark, sf_dir):
     return sums.select("n", F.round("one_tons", 4).alias("one_tons"), F.round(F.col("tons_tons") / 1e3, 4).alias("tons_tons"), F.round(F.col("tons_ecwt") / 1e3, 4).alias("tons_ecwt"), F.round("one_y", 4).alias("one_y"))
 
 
-@register("regression_quality")
+def solved(rows: str) -> str:
+    """SQL steps that eliminate the 4 x 4 normal equations of `rows`; g4.c04 to c34 are the coefficients."""
+    x = ("1.0", "tons", "tons2", "ecwt")
+    cells = [(i, j) for i in range(4) for j in range(5)]
+    steps = ["g0 AS (SELECT " + ", ".join(f"sum({x[i]} * {(*x, 'y')[j]}) AS c{i}{j}" for i, j in cells) + f" FROM {rows})"]
+    for k in range(4):
+        row = [f"c{i}{j} / c{k}{k} AS c{i}{j}" if i == k else f"c{i}{j} - c{i}{k} * c{k}{j} / c{k}{k} AS c{i}{j}" for i, j in cells]
+        steps.append(f"g{k + 1} AS (SELECT {', '.join(row)} FROM g{k})")
+    return ", ".join(steps)
+
+
+FITTED_SQL = "c04 + c14 * tons + c24 * tons2 + c34 * ecwt AS fitted"
+
+
+@register(
+    "regression_quality",
+    f"""WITH {HOURS_SQL}, {solved("f")}, r AS (SELECT y, {FITTED_SQL} FROM f, g4)
+    SELECT count(*) AS n, round(100 * sqrt(sum((y - fitted) * (y - fitted)) / greatest(count(*) - 4, 1)) / avg(y), 4) AS cvrmse, round(100 * sum(y - fitted) / (greatest(count(*) - 4, 1) * avg(y)), 4) + 0.0 AS nmbe FROM r""",
+)
 def regression_quality(spark, sf_dir):
-    """Fit by normal equations, then CV(RMSE) and NMBE; the fit itself is checked in tests."""
+    """Fit by normal equations, then CV(RMSE) and NMBE."""
     rows = hours(spark, sf_dir)
-    return performance.fit_quality(rows, performance.fit(rows))
+    found = performance.fit_quality(rows, performance.fit(rows))
+    return found.select("n", F.round("cvrmse", 4).alias("cvrmse"), (F.round("nmbe", 4) + F.lit(0.0)).alias("nmbe"))
 
 
-@register("degradation")
+@register(
+    "degradation",
+    f"""WITH {HOURS_SQL}, b AS (SELECT * FROM f WHERE ts < '2024-01-16'), {solved("b")}, l AS (SELECT min(tons) AS t0, max(tons) AS t1, min(ecwt) AS e0, max(ecwt) AS e1 FROM b),
+    r AS (SELECT date_trunc('week', ts) AS bucket, y, {FITTED_SQL} FROM f, g4, l WHERE ts >= '2024-01-16' AND tons BETWEEN t0 AND t1 AND ecwt BETWEEN e0 AND e1)
+    SELECT CAST(bucket AS TIMESTAMP) AS bucket, count(*) AS n, round(100 * (avg(y) - avg(fitted)) / avg(fitted), 4) AS gap_pct FROM r GROUP BY ROLLUP (bucket)""",
+)
 def degradation(spark, sf_dir):
-    rows = hours(spark, sf_dir)
-    return performance.degradation(rows, performance.fit(rows), "week")
+    """Hours of the second half against a model of the first half, where the conditions match."""
+    rows, middle = hours(spark, sf_dir), F.lit("2024-01-16").cast("timestamp_ntz")
+    base, later = rows.where(F.col("ts") < middle), rows.where(F.col("ts") >= middle)
+    found = performance.degradation(performance.in_range(later, base), performance.fit(base), "week")
+    return found.select("bucket", "n", F.round("gap_pct", 4).alias("gap_pct"))
 
 
 @register(

@@ -273,11 +273,29 @@ def rule_range(spark, sf_dir):
     return rules.out_of_range(h, 1, 200).select("point_uri", "ts", "value")
 
 
-@register("rule_hunting")
+TURNED_SQL = "z.d <> 0 AND z.d * (e.value - z.best) < 0 AND z.d * (z.best - e.value) > 5"
+MOVED_SQL = f"CASE WHEN z.d = 0 THEN abs(e.value - z.anchor) > 5 ELSE z.d * (e.value - z.best) >= 0 OR {TURNED_SQL} END"
+
+
+@register(
+    "rule_hunting",
+    f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts, value) AS i FROM (SELECT event_type || '/' || CAST(user_id % 50 AS VARCHAR) AS series, ts, value FROM events)),
+    z AS (SELECT series, i, value AS anchor, 0 AS d, value AS best, ts AS best_ts, CAST(NULL AS DOUBLE) AS turn, CAST(NULL AS TIMESTAMP) AS turn_ts FROM e WHERE i = 1
+    UNION ALL SELECT e.series, e.i, z.anchor, CASE WHEN z.d = 0 AND abs(e.value - z.anchor) > 5 THEN CASE WHEN e.value > z.anchor THEN 1 ELSE -1 END WHEN {TURNED_SQL} THEN -z.d ELSE z.d END,
+      CASE WHEN {MOVED_SQL} THEN e.value ELSE z.best END, CASE WHEN {MOVED_SQL} THEN e.ts ELSE z.best_ts END, CASE WHEN {TURNED_SQL} THEN z.best END, CASE WHEN {TURNED_SQL} THEN z.best_ts END
+      FROM z JOIN e ON e.series = z.series AND e.i = z.i + 1),
+    m AS (SELECT series, ts, abs(value - lag(value) OVER w) AS travel, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS gap FROM e WINDOW w AS (PARTITION BY series ORDER BY i)),
+    s AS (SELECT series, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS hours, sum(travel) AS travel, median(gap) AS gap FROM m GROUP BY 1),
+    t AS (SELECT series, abs(turn - lag(turn) OVER w) / 2 AS swing, (epoch_us(turn_ts) - lag(epoch_us(turn_ts)) OVER w) / 1e6 AS apart FROM z WHERE turn_ts IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY turn_ts)),
+    c AS (SELECT series, count(*) AS turns, median(apart) AS apart, median(swing) AS swing FROM t GROUP BY 1), j AS (SELECT *, n >= 10 AND hours > 0 AS judged FROM s LEFT JOIN c USING (series))
+    SELECT series, judged, round(CASE WHEN judged THEN coalesce(turns, 0) / hours END, 6) AS rate, round(CASE WHEN judged THEN 2 * apart END, 4) AS period_s, round(CASE WHEN judged THEN swing END, 6) AS amplitude,
+    round(CASE WHEN judged THEN travel / hours END, 6) AS travel_h, coalesce(judged AND coalesce(turns, 0) / hours > 0.5, false) AS fault FROM j""",
+)
 def rule_hunting(spark, sf_dir):
-    """Reversals of every event type's series; sequential, so judged by series in pandas."""
+    """Reversals, period, amplitude and travel of every series."""
     e = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("/"), (F.col("user_id") % 50).cast("string")).alias("series"), "ts", "value")
-    return rules.hunting(e, "series", 5.0, 0.5, max_interval_s=1e9)
+    found = rules.hunting(e, "series", 5.0, 0.5, max_interval_s=1e9)
+    return found.select("series", "judged", r6("rate"), F.round("period_s", 4).alias("period_s"), r6("amplitude"), r6("travel_h"), "fault")
 
 
 @register(

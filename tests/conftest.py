@@ -9,6 +9,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONP
 from plantflow.session import build_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
+LARGER_SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -19,16 +20,25 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(scope="session")
-def duck():
+def connect(sf_dir):
     import duckdb
 
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
 
 
+@pytest.fixture(scope="session")
+def duck():
+    return connect(SF)
+
+
+@pytest.fixture(scope="session")
+def larger_duck():
+    return connect(LARGER_SF)
+
+
 def rows_of(table, columns):
     return sorted(zip(*[table[c].to_pylist() for c in columns]), key=lambda r: tuple(str(x) for x in r))

@@ -79,11 +79,28 @@ def test_spikes_step_and_noise(spark):
     assert windows.spikes(series(spark, [1, 2, 50, 2, 1]), "k").count() == 0  # no full window
 
 
-def test_hunting_turns():
+def test_hunting_turns(spark):
     t = np.arange(0, 3600, 30)
     v = 50 + 20 * np.sin(2 * np.pi * t / 240)
-    assert len(rules.turns(v, 2.0)) == pytest.approx(2 * 3600 / 240, abs=2)
-    assert rules.turns(np.array([1.0, 1.1, 1.0, 1.1]), 0.5) == []
+    assert rules.turns(series(spark, v, step=30), "k", 2.0).count() == pytest.approx(2 * 3600 / 240, abs=2)
+    assert rules.turns(series(spark, [1.0, 1.1, 1.0, 1.1]), "k", 0.5).count() == 0
+
+
+def test_hunting_state_crosses_batches(spark):
+    v = [0.0, 5.0, 9.0, 8.0, 3.0, 4.0, 9.0]
+    whole = sorted(rules.turns(series(spark, v), "k", 2.0).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert sorted(rules.turns(series(spark, v), "k", 2.0).collect()) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r.value for r in whole] == [9.0, 3.0]
+
+
+def test_hunting_keeps_series_without_values(spark):
+    empty = series(spark, [1.0]).withColumn("value", F.lit(None).cast("double"))
+    got = rules.hunting(empty, "k", 1.0, 5.0).collect()
+    assert [(r.k, r.judged, r.fault) for r in got] == [("p", False, False)]
 
 
 def test_hunting_refuses_sparse(spark):
