@@ -39,10 +39,13 @@ def tfidf(examples: DataFrame) -> DataFrame:
     return raw.join(norm, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def nearest(queries: DataFrame, examples: DataFrame, k: int, least: float) -> DataFrame:
-    """(q, id, sim): the k most similar examples of each query by shared weighted tokens."""
-    a, b = queries.select(F.col("id").alias("q"), "token", F.col("w").alias("qw")), examples
-    sims = a.join(b, "token").where(F.col("q") != F.col("id")).groupBy("q", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("sim"))
+def nearest(queries: DataFrame, examples: DataFrame, k: int, least: float, on: tuple[str, ...] = ("token",)) -> DataFrame:
+    """(q, id, sim): the k most similar examples of each query by shared weighted tokens.
+
+    More columns in `on`, such as a site, limit the examples to those that share them.
+    """
+    a, b = queries.select(F.col("id").alias("q"), *on, F.col("w").alias("qw")), examples.select("id", *on, "w")
+    sims = a.join(b, list(on)).where(F.col("q") != F.col("id")).groupBy("q", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("sim"))
     w = Window.partitionBy("q").orderBy(F.desc(F.round("sim", 9)), "id")
     return sims.where(F.col("sim") >= least).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
@@ -53,10 +56,23 @@ def vote(near: DataFrame, labels: DataFrame, agree: int = 2) -> DataFrame:
     return seen.where((F.col("n") >= agree) & (F.col("lo") == F.col("hi"))).select("q", F.col("lo").alias("label"))
 
 
+def vote_by_scope(queries: DataFrame, examples: DataFrame, labels: DataFrame, scope: str, k: int = 5, least: float = 0.6) -> DataFrame:
+    """(q, label, scope): the neighbours of the same `scope` vote first, all examples for queries that those don't settle."""
+    near = vote(nearest(queries, examples, k, least, ("token", scope)), labels).withColumn("scope", F.lit(scope))
+    rest = queries.join(near.select(F.col("q").alias("id")), "id", "left_anti")
+    return near.unionByName(vote(nearest(rest, examples, k, least), labels).withColumn("scope", F.lit("all")))
+
+
 def naming_pattern(name: Column) -> Column:
     return F.regexp_replace(name, r"\d+", "{n}")
 
 
+def question_pattern(kind: Column, name: Column, markers: Column, unit: Column) -> Column:
+    """What entities that get one question share: kind, shape of the name, sorted markers and unit."""
+    marked = F.array_join(F.array_sort(F.coalesce(markers, F.array().cast("array<string>"))), ",")
+    return F.concat_ws("|", kind, naming_pattern(F.coalesce(name, F.lit(""))), marked, F.coalesce(unit, F.lit("")))
+
+
 def search(docs: DataFrame, text: str, terms: list[str], excluded: tuple[str, ...] = (), limit: int = 200) -> DataFrame:
     """Documents with all terms and none excluded, by how often the terms occur."""
     low = F.lower(text)
@@ -122,6 +138,27 @@ def scores(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     return both.select("class", "tp", "n_pred", "n_true", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
 
 
+def verdicts(results: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """`results` (predicted, truth) with a verdict: correct, partial if the prediction is an ancestor of the truth, else wrong.
+
+    `ancestors` is the closure (node, ancestor) of the class tree. Classes that are ancestors of each other are the same.
+    """
+    up = ancestors.select(F.col("node").alias("truth"), F.col("ancestor").alias("predicted"), F.lit(True).alias("above")).distinct()
+    down = ancestors.select(F.col("ancestor").alias("truth"), F.col("node").alias("predicted"), F.lit(True).alias("below")).distinct()
+    met = results.join(up, ["truth", "predicted"], "left").join(down, ["truth", "predicted"], "left")
+    same = (F.col("predicted") == F.col("truth")) | (F.col("above") & F.col("below"))
+    return met.withColumn("verdict", F.when(same, "correct").when(F.col("above"), "partial").otherwise("wrong")).drop("above", "below")
+
+
+def step_summary(judged: DataFrame, auto: tuple[str, ...]) -> DataFrame:
+    """Per deciding step (step, verdict): points, share of all, verdicts and, where it accepts by itself, accuracy; the row without a step is over all."""
+    n, counts = F.count("*"), {v: F.count_if(F.col("verdict") == v) for v in ("correct", "partial", "wrong")}
+    sums = judged.rollup("step").agg(n.alias("points"), *[c.alias(v) for v, c in counts.items()], F.grouping("step").alias("whole"))
+    total = F.broadcast(judged.agg(n.alias("total")))  # one row
+    by_itself = F.when(F.col("step").isin(*auto) | (F.col("whole") == 1), F.col("correct") / F.col("points"))
+    return sums.crossJoin(total).select("step", "points", (100 * F.col("points") / F.col("total")).alias("pct"), "correct", "partial", "wrong", by_itself.alias("accuracy"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

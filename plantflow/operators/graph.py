@@ -262,3 +262,19 @@ class Tag:
         names = {id(leaf): f"f{i}" for i, leaf in enumerate(leaves)}
         flags = [F.bool_or(F.coalesce(leaf.test(None), F.lit(False))).alias(names[id(leaf)]) for leaf in leaves]
         return triples.groupBy("s").agg(*flags).where(self._flag(names)).select("s")
+
+
+def described(points: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(point, dis, unit, kind, class, equip) of `points` (point).
+
+    `facts` is (point, field, value) with the fields dis, unit, kind and equip; of several the smallest counts.
+    `classes` is (point, class, source): a class of the brick source goes before one of an extension, that before a
+    project's. Without a dis the last part of the point's name stands in.
+    """
+    fields = {f: F.min(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("dis", "unit", "kind", "equip")}
+    known = facts.groupBy("point").agg(*fields.values())
+    place = F.when(F.col("source") == "brick", 0).when(F.col("source") == "extension", 1).otherwise(2)
+    named = classes.groupBy("point").agg(F.min_by("class", F.struct(place, "class")).alias("class"))
+    rows = points.select("point").distinct().join(known, "point", "left").join(named, "point", "left")
+    tail = F.regexp_extract("point", "([^/:]*)$", 1)
+    return rows.select("point", F.coalesce("dis", tail).alias("dis"), "unit", "kind", "class", "equip")

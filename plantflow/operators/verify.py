@@ -292,3 +292,21 @@ def run_summary(results: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     highest = F.max(F.when(F.col("status") == "pass", F.col("rung"))).alias("highest")
     return results.groupBy("equip").agg(F.count("*").alias("checks"), n("pass"), n("fail"), n("inconclusive"), highest, worst(F.col("status")).alias("worst"))
+
+
+def coverage_by_method(equipment: DataFrame, steps: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    """Sets of equipment per class, counted: sampled, tested, passed, failed, untested, and tested by each method.
+
+    `equipment` is (equip, class, sampled), one row each, `steps` (equip, status, method). A step without a method is passive.
+    One aggregate over steps gives each equipment's flags, so no set of equipment is gathered.
+    """
+    judged, method = F.col("status").isin("pass", "fail"), F.coalesce("method", F.lit("passive"))
+    flags = {"tested": judged, "failed": F.col("status") == "fail", "incomplete": F.col("status") == "inconclusive"}
+    flags |= {f"by_{m}": judged & (method == m) for m in methods}
+    seen = steps.groupBy("equip").agg(*[F.coalesce(F.bool_or(flag), F.lit(False)).alias(name) for name, flag in flags.items()])
+    rows = equipment.join(seen, "equip", "left").na.fill(False, list(flags))
+    passed = F.col("tested") & ~F.col("failed") & ~F.col("incomplete")
+    return rows.groupBy("class").agg(
+        F.count("*").alias("in_class"), F.count_if("sampled").alias("sampled"), F.count_if("tested").alias("tested"), F.count_if(passed).alias("passed"),
+        F.count_if("failed").alias("failed"), F.count_if(F.col("sampled") & ~F.col("tested")).alias("untested"), *[F.count_if(f"by_{m}").alias(f"by_{m}") for m in methods],
+    )
