@@ -103,12 +103,13 @@ def hunting(samples: DataFrame, key: str, deadband: float, max_rate: float, min_
     A series without any value is there, not judged.
     """
     w = Window.partitionBy(key).orderBy("ts", "value")
-    seconds = lambda column: micros(F.col(column)) / F.lit(1e6)
+    since_last = (micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(w)) / F.lit(1e6)
+    span = (F.max(micros(F.col("ts"))) - F.min(micros(F.col("ts")))) / F.lit(3.6e9)
     moves = samples.where(F.col(key).isNotNull() & F.col("value").isNotNull()).select(key, "ts", F.col("value").cast("double").alias("value"))
-    moves = moves.withColumns({"gap": seconds("ts") - F.lag(seconds("ts")).over(w), "travel": F.abs(F.col("value") - F.lag("value").over(w))})
-    sums = moves.groupBy(key).agg(F.count("*").alias("n"), ((F.max(seconds("ts")) - F.min(seconds("ts"))) / 3600).alias("hours"), F.sum("travel").alias("travel"))
+    moves = moves.withColumns({"gap": since_last, "travel": F.abs(F.col("value") - F.lag("value").over(w))})
+    sums = moves.groupBy(key).agg(F.count("*").alias("n"), span.alias("hours"), F.sum("travel").alias("travel"))
     found = turns(samples, key, deadband)
-    swings = found.withColumns({"between": seconds("ts") - F.lag(seconds("ts")).over(w), "swing": F.abs(F.col("value") - F.lag("value").over(w)) / 2})
+    swings = found.withColumns({"between": since_last, "swing": F.abs(F.col("value") - F.lag("value").over(w)) / 2})
     out = samples.where(F.col(key).isNotNull()).select(key).distinct().join(sums, key, "left").join(middle(moves, key, "gap"), key, "left")
     out = out.join(found.groupBy(key).agg(F.count("*").alias("turns")), key, "left").join(middle(swings, key, "between"), key, "left").join(middle(swings, key, "swing"), key, "left")
     judged = F.coalesce((F.col("n") >= min_samples) & (F.col("hours") > 0) & (F.col("gap") <= max_interval_s), F.lit(False))
