@@ -159,6 +159,35 @@ def step_summary(judged: DataFrame, auto: tuple[str, ...]) -> DataFrame:
     return sums.crossJoin(total).select("step", "points", (100 * F.col("points") / F.col("total")).alias("pct"), "correct", "partial", "wrong", by_itself.alias("accuracy"))
 
 
+def class_report(judged: DataFrame) -> DataFrame:
+    """(class, support, predicted, precision, recall) of judged results (predicted, truth, verdict), rounded to three places.
+
+    Recall is over the points of the class, precision over its predictions; a class that lacks one has null there.
+    """
+    n, hit = F.count("*"), F.count_if(F.col("verdict") == "correct")
+    of_truth = judged.where("truth is not null").groupBy(F.col("truth").alias("class")).agg(n.alias("support"), hit.alias("found"))
+    of_guess = judged.where("predicted is not null").groupBy(F.col("predicted").alias("class")).agg(n.alias("predicted"), hit.alias("right"))
+    both = of_truth.join(of_guess, "class", "full_outer").na.fill(0)
+    share = lambda a, b: F.round(F.try_divide(a, b), 3)
+    return both.select("class", "support", "predicted", share("right", "predicted").alias("precision"), share("found", "support").alias("recall"))
+
+
+def review_top(reviewed: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(reviewed, top1, top3): share of rows (id, truth, candidates) whose truth is among the first one and three candidates."""
+    shown = reviewed.where("truth is not null").select("id", "truth", F.posexplode_outer(F.slice("candidates", 1, 3)).alias("at", "predicted"))
+    first = verdicts(shown, ancestors).groupBy("id").agg(F.min(F.when(F.col("verdict") == "correct", F.col("at"))).alias("at"))
+    share = lambda k: F.round(F.try_divide(F.count_if(F.col("at") < k), F.count("*")), 3)
+    return first.agg(F.count("*").alias("reviewed"), share(1).alias("top1"), share(3).alias("top3"))
+
+
+def snippet(text: Column, terms: list[str], size: int) -> Column:
+    """`size` characters around the first place of any term, blanks folded, with marks where the text goes on."""
+    places = [F.nullif(F.instr(F.lower(text), t.lower()), F.lit(0)) for t in terms]
+    start = F.greatest(F.lit(0), F.coalesce(F.array_min(F.array(*places)), F.lit(1)) - 1 - size // 3)
+    body = F.trim(F.regexp_replace(F.substring(text, start + 1, F.lit(size)), r"\s+", " "))
+    return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(start + size < F.length(text), "…").otherwise(""))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

@@ -145,6 +145,13 @@ def manifest(spark, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def check_manifest(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, error) of files (path, sha256) that are missing, not listed, or changed since they were listed."""
+    both = listed.select("path", F.col("sha256").alias("was")).join(found.select("path", F.col("sha256").alias("now")), "path", "full_outer")
+    error = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "not listed").when(F.col("was") != F.col("now"), "sha256 differs")
+    return both.select("path", error.alias("error")).where("error is not null")
+
+
 def missed(consumers: DataFrame, batches: DataFrame) -> DataFrame:
     """(consumer, missed): batches (at) beyond each consumer's offset (consumer, at); those that missed none are left out.
 

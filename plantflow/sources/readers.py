@@ -64,3 +64,27 @@ def record_triples(records: DataFrame, id_col: str = "id") -> DataFrame:
 
 def write_records(records: DataFrame, path: str, kind: str = "json") -> None:
     records.write.option("compression", "gzip").format(kind).save(path)
+
+
+TASK = """UID string, ID string, WBS string, Name string, Start string, Finish string, ActualStart string, ActualFinish string,
+    PercentComplete double, Milestone string, Summary string, IsNull string, PredecessorLink array<struct<PredecessorUID: string>>"""
+
+
+def tasks_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Activities of project files in XML: (file, code, name, wbs, dates, percent, milestone, summary, predecessors).
+
+    Predecessors are given by code. Blank tasks and each project's own summary task, number 0, are left out.
+    """
+    raw = spark.read.format("xml").option("rowTag", "Task").schema(TASK).load(path)
+    tasks = raw.withColumn("file", F.col("_metadata.file_path")).withColumn("code", F.coalesce("WBS", "ID", "UID"))
+    links = tasks.select("file", F.col("UID").alias("uid"), F.posexplode("PredecessorLink").alias("at", "link"))
+    codes = tasks.select("file", F.col("UID").alias("before"), F.col("code").alias("before_code"))
+    found = links.select("file", "uid", "at", F.col("link.PredecessorUID").alias("before")).join(codes, ["file", "before"])
+    before = found.groupBy("file", "uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "before_code"))), lambda x: x["before_code"]).alias("predecessors"))
+    day = lambda c: F.to_date(F.substring(c, 1, 10)).alias(f"{c[0].lower()}{c[1:]}")
+    real = tasks.where("coalesce(IsNull, '0') <> '1' and coalesce(UID, '') <> '0'").withColumn("uid", F.col("UID"))
+    return real.join(before, ["file", "uid"], "left").select(
+        "file", "code", F.trim(F.coalesce("Name", F.lit(""))).alias("name"), F.col("WBS").alias("wbs"), day("Start"), day("Finish"), day("ActualStart"), day("ActualFinish"),
+        F.col("PercentComplete").alias("percent"), (F.coalesce("Milestone", F.lit("0")) == "1").alias("milestone"), (F.coalesce("Summary", F.lit("0")) == "1").alias("summary"),
+        F.coalesce("predecessors", F.array().cast("array<string>")).alias("predecessors"),
+    )

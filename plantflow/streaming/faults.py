@@ -117,3 +117,17 @@ def to_judge(history: DataFrame, judged: DataFrame, overlap_s: float, now) -> Da
 def overlap_for(delay_s: float, interval_s: float, least_s: float = 30.0) -> float:
     """Overlap widened to a quarter more than the usual delay, an interval at most."""
     return max(least_s, min(1.25 * delay_s, interval_s))
+
+
+def poll(watches: DataFrame, ids: DataFrame, records: DataFrame, sent: DataFrame, now) -> DataFrame:
+    """(watch, id, record) that polls return: records of a watch's ids that differ from what it was sent last.
+
+    Watches are (watch, polled, lease_s): one not polled within its lease has expired. `ids` is (watch, id),
+    records (id, record), sent (watch, id, record).
+    """
+    from plantflow.operators.timejoin import micros
+
+    live = watches.where(micros(F.col("polled")) + F.col("lease_s") * 1_000_000 > micros(now))
+    last = sent.select("watch", "id", F.col("record").alias("last"), F.lit(True).alias("known"))
+    rows = ids.join(live, "watch", "left_semi").join(records, "id").join(last, ["watch", "id"], "left")
+    return rows.where(F.col("known").isNull() | ~F.col("record").eqNullSafe(F.col("last"))).select("watch", "id", "record")

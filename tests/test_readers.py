@@ -34,3 +34,42 @@ def test_records_round_trip(spark, tmp_path):
     assert got == [("p1", "dis", "Pump"), ("p2", "size", "3.0")]
     readers.write_records(records, str(tmp_path / "out"))
     assert spark.read.schema(records.schema).json(str(tmp_path / "out")).count() == 2
+
+
+def test_tasks_xml(spark, tmp_path):
+    task = "<Task><UID>{0}</UID><WBS>{1}</WBS><Name> T{0} </Name><Start>2024-01-0{2}T08:00:00</Start>{3}</Task>"
+    link = "<PredecessorLink><PredecessorUID>1</PredecessorUID></PredecessorLink><Milestone>1</Milestone>"
+    tasks = task.format(0, "0", 1, "") + task.format(1, "1.1", 2, "") + task.format(2, "1.2", 3, link) + "<Task><UID>3</UID><IsNull>1</IsNull></Task>"
+    (tmp_path / "p.xml").write_text(f'<Project xmlns="http://schemas.microsoft.com/project"><Tasks>{tasks}</Tasks></Project>')
+    got = readers.tasks_xml(spark, str(tmp_path / "p.xml")).orderBy("code").collect()
+    assert [(r.code, r.name, str(r.start), r.milestone, r.predecessors) for r in got] == [("1.1", "T1", "2024-01-02", False, []), ("1.2", "T2", "2024-01-03", True, ["1.1"])]
+
+
+def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
+    from plantflow.streaming import faults
+
+    (tmp_path / "in").mkdir()
+
+    def run(name, minute, value):
+        (tmp_path / "in" / name).write_text(json.dumps({"point_uri": "p", "ts": f"2024-01-01T00:0{minute}:00Z", "value": value}))
+        rows = spark.readStream.schema("point_uri string, ts timestamp, value double, quality string").json(str(tmp_path / "in"))
+        sink = faults.fault_stream(rows, 0.0, 10.0).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+        sink.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        return [r.action for r in spark.read.parquet(str(tmp_path / "out")).orderBy("at").collect()]
+
+    assert run("a.json", 1, 50.0) == ["open"]
+    assert run("b.json", 2, 60.0) == ["open"]  # the fault is still open after a restart, and the first reading isn't read again
+    assert run("c.json", 3, 5.0) == ["open", "resolve"]
+
+
+def test_manifest_of_changed_export(spark, tmp_path):
+    from plantflow.sources import history as hs
+
+    for name in "abc":
+        (tmp_path / f"{name}.bin").write_bytes(name.encode())
+    listed = spark.createDataFrame(hs.manifest(spark, str(tmp_path)).collect())
+    (tmp_path / "a.bin").write_bytes(b"x")
+    (tmp_path / "b.bin").unlink()
+    (tmp_path / "d.bin").write_bytes(b"d")
+    errors = {r.path.rsplit("/", 1)[1]: r.error for r in hs.check_manifest(listed, hs.manifest(spark, str(tmp_path))).collect()}
+    assert errors == {"a.bin": "sha256 differs", "b.bin": "missing", "d.bin": "not listed"}
