@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plantflow.llm import audio, bpe, context_mixing, exact_dedup, jaccard_join, langid, mixing, passages, token_counts, toxicity
+from plantflow.llm import audio, bpe, context_mixing, exact_dedup, jaccard_join, langid, mixing, passages, spelling, token_counts, toxicity
 
 _MODULES = {
     "op1_language_id": langid,
@@ -16,6 +16,7 @@ _MODULES = {
     "op8_byte_bpe": bpe,
     "op9_token_counts": token_counts,
     "op10_exact_dedup": exact_dedup,
+    "op13_spelling_variants": spelling,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
