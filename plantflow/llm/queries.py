@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plantflow.llm import audio, bpe, collision_search, context_mixing, exact_dedup, jaccard_join, langid, mixing, passages, spelling, token_counts, toxicity
+from plantflow.llm import audio, bpe, collision_search, context_mixing, exact_dedup, filter_audit, jaccard_join, langid, mixing, passages, spelling, token_counts, toxicity
 
 _MODULES = {
     "op1_language_id": langid,
@@ -16,6 +16,7 @@ _MODULES = {
     "op8_byte_bpe": bpe,
     "op9_token_counts": token_counts,
     "op10_exact_dedup": exact_dedup,
+    "op11_filter_audit": filter_audit,
     "op12_collision_search": collision_search,
     "op13_spelling_variants": spelling,
 }
