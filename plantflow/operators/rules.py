@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plantflow.operators.blocks import DAY_S, block_of, median, with_previous
 from plantflow.operators.timejoin import micros
+from plantflow.session import cut
 from plantflow.sources.history import good
 
 
@@ -66,52 +68,146 @@ class Zigzag:
         return None
 
 
-def turns(samples: DataFrame, key: str, deadband: float) -> DataFrame:
-    """(key, ts, value) of the confirmed extremes of each series.
+class BlockWalk:
+    """The walk through one block of a series without what came before it.
 
-    Each step depends on the one before, so a series is walked in one pass: Spark deals and sorts
-    the samples (spilling where they are many) and a task holds one batch and one state at a time.
+    While the block's values span no more than the dead band, the state depends on the state at
+    entry; its lowest and highest sample tell all that matters. The first move beyond the dead band, down from
+    the block's highest value so far or up from its lowest, leads to one state whatever the entry
+    was, (down or up, that sample): from there the walk and its turns are the block's own.
     """
 
+    def __init__(self, deadband: float, anchor: float | None):
+        self.deadband, self.anchor = deadband, anchor
+        self.low = self.high = self.first = None
+        self.walk: Zigzag | None = None
+
+    def step(self, at, value: float) -> tuple | None:
+        if self.walk is not None:
+            return self.walk.step(at, value)
+        if self.anchor is not None:  # the block where the series first leaves its start
+            moved = abs(value - self.anchor) > self.deadband
+            up = value > self.anchor
+        else:
+            if self.low is None:
+                self.low = self.high = (at, value)
+            up = value - self.low[1] > self.deadband
+            moved = up or self.high[1] - value > self.deadband
+        if moved:
+            self.walk = Zigzag(at, value, self.deadband)
+            self.first = self.walk.direction = 1 if up else -1
+        elif self.anchor is None:
+            self.low = (at, value) if value <= self.low[1] else self.low
+            self.high = (at, value) if value >= self.high[1] else self.high
+        return None
+
+    def summary(self) -> tuple:
+        """(first direction, low, high, direction and extreme at the end)."""
+        ends = (self.walk.direction, *self.walk.best) if self.walk else (None, None, None)
+        return (self.first, *(self.low or (None, None)), *(self.high or (None, None)), *ends)
+
+
+def through(state: tuple | None, summary: tuple) -> tuple[tuple, list[tuple]]:
+    """State (direction, at, value) behind a block and the turns (at, value) that only the state at its entry settles."""
+    first, low_at, low, high_at, high, direction, at, value, deadband = summary
+    found = []
+    if state is not None and low is not None:
+        way, best_at, best = state
+        near_at, near, far_at, far = (high_at, high, low_at, low) if way > 0 else (low_at, low, high_at, high)
+        if way * (near - best) >= 0:
+            state = (way, near_at, near)
+        elif way * (best - far) > deadband:
+            found.append((best_at, best))
+            state = (-way, far_at, far)
+    if first is None:
+        return state, found
+    if state is not None and state[0] != first:
+        found.append(state[1:])
+    return (direction, at, value), found
+
+
+SUMMARY = ["first", "low_at", "low", "high_at", "high", "direction", "end_at", "end"]
+
+
+def turns(samples: DataFrame, key: str, deadband: float, block_s: float = DAY_S) -> DataFrame:
+    """(key, ts, value) of the confirmed extremes of each series, which is walked in blocks of time.
+
+    Blocks are walked apart (`BlockWalk`) and leave their own turns and one summary row. A pass
+    over the summaries of a series adds the turns at the blocks' borders. Blocks before the series
+    first leaves the dead band around its first value have no turns and aren't walked.
+    """
+    rows = samples.where(F.col(key).isNotNull() & F.col("value").isNotNull()).select(key, "ts", F.col("value").cast("double").alias("value"))
+    rows = rows.withColumn("block", block_of(F.col("ts"), block_s))
+    spans = rows.groupBy(key, "block").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.min_by("value", F.struct("ts", "value")).alias("start"))
+    w = Window.partitionBy(key).orderBy("block")
+    spans = spans.withColumn("anchor", F.first("start").over(w))
+    spans = spans.withColumn("left", (F.abs(F.col("lo") - F.col("anchor")) > deadband) | (F.abs(F.col("hi") - F.col("anchor")) > deadband))
+    before = F.coalesce(F.max("left").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    spans = spans.withColumn("begun", before).where(F.col("begun") | F.col("left"))
+    spans = spans.select(key, "block", F.when(~F.col("begun"), F.col("anchor")).alias("anchor"))
+    kind, stamp = dict(rows.dtypes)[key], dict(rows.dtypes)["ts"]
+    kinds = {"first": "int", "direction": "int", "low_at": stamp, "high_at": stamp, "end_at": stamp}
+    schema = f"`{key}` {kind}, block bigint, ts {stamp}, value double, " + ", ".join(f"{c} {kinds.get(c, 'double')}" for c in SUMMARY)
+
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_block, state, out = None, None, []
+
+        def close() -> None:
+            out.append((*at_block, None, None, *state.summary()))
+
+        for frame in frames:
+            for name, block, at, value, anchor in zip(frame[key], frame["block"], frame["ts"], frame["value"], frame["anchor"]):
+                if at_block != (name, block):
+                    if state is not None:
+                        close()
+                    at_block, state = (name, block), BlockWalk(deadband, None if pd.isna(anchor) else anchor)
+                if turn := state.step(at, value):
+                    out.append((name, block, *turn, *[None] * len(SUMMARY)))
+            yield _typed(out)
+            out.clear()
+        if state is not None:
+            close()
+            yield _typed(out)
+
+    def _typed(found: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(found, columns=[key, "block", "ts", "value", *SUMMARY])
+        return frame.astype({c: "Int32" for c in ("first", "direction")} | {c: "datetime64[us]" for c in ("ts", "low_at", "high_at", "end_at")} | {c: "float64" for c in ("value", "low", "high", "end")})
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         series, state = None, None
         for frame in frames:
             out = []
-            for name, at, value in zip(frame[key], frame["ts"], frame["value"]):
-                if state is None or name != series:
-                    series, state = name, Zigzag(at, value, deadband)
-                elif turn := state.step(at, value):
-                    out.append((name, *turn))
+            clean = frame[SUMMARY].astype(object).where(frame[SUMMARY].notna(), None)
+            for name, summary in zip(frame[key], clean.itertuples(index=False)):
+                if name != series:
+                    series, state = name, None
+                state, found = through(state, (*summary, deadband))
+                out += [(name, *turn) for turn in found]
             yield pd.DataFrame(out, columns=[key, "ts", "value"])
 
-    rows = samples.where(F.col(key).isNotNull() & F.col("value").isNotNull()).select(key, "ts", F.col("value").cast("double").alias("value"))
-    return rows.repartition(key).sortWithinPartitions(key, "ts", "value").mapInPandas(walk, rows.schema)
-
-
-def middle(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, column): exact medians by a sort that can spill, instead of a map of all values."""
-    some = rows.where(F.col(column).isNotNull())
-    place = F.row_number().over(Window.partitionBy(key).orderBy(column))
-    ranked = some.select(key, column, place.alias("place"), F.count("*").over(Window.partitionBy(key)).alias("n"))
-    halves = ranked.where((2 * F.col("place") >= F.col("n")) & (2 * F.col("place") <= F.col("n") + 2))
-    return halves.groupBy(key).agg(F.avg(column).alias(column))
+    dealt = rows.join(spans, [key, "block"]).repartition(key, "block").sortWithinPartitions(key, "block", "ts", "value")
+    walked = cut(dealt.mapInPandas(walk, schema))
+    own = walked.where("ts is not null").select(key, "ts", "value")
+    borders = walked.where("ts is null").drop("ts", "value").repartition(key).sortWithinPartitions(key, "block")
+    return own.unionByName(borders.mapInPandas(fold, own.schema))
 
 
-def hunting(samples: DataFrame, key: str, deadband: float, max_rate: float, min_samples: int = 10, max_interval_s: float = 60) -> DataFrame:
+def hunting(samples: DataFrame, key: str, deadband: float, max_rate: float, min_samples: int = 10, max_interval_s: float = 60, block_s: float = DAY_S) -> DataFrame:
     """Reversals per hour, period, amplitude and travel of each series; not judged on sparse data.
 
-    A series without any value is there, not judged.
+    A series without any value is there, not judged. A long series is many tasks: turns, gaps and medians all
+    work on blocks of time.
     """
-    w = Window.partitionBy(key).orderBy("ts", "value")
-    since_last = (micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(w)) / F.lit(1e6)
+    since = (micros(F.col("ts")) - micros(F.col("previous.ts"))) / F.lit(1e6)
     span = (F.max(micros(F.col("ts"))) - F.min(micros(F.col("ts")))) / F.lit(3.6e9)
+    step = F.abs(F.col("value") - F.col("previous.value"))
     moves = samples.where(F.col(key).isNotNull() & F.col("value").isNotNull()).select(key, "ts", F.col("value").cast("double").alias("value"))
-    moves = moves.withColumns({"gap": since_last, "travel": F.abs(F.col("value") - F.lag("value").over(w))})
+    moves = with_previous(moves, key, seconds=block_s).withColumns({"gap": since, "travel": step})
     sums = moves.groupBy(key).agg(F.count("*").alias("n"), span.alias("hours"), F.sum("travel").alias("travel"))
-    found = turns(samples, key, deadband)
-    swings = found.withColumns({"between": since_last, "swing": F.abs(F.col("value") - F.lag("value").over(w)) / 2})
-    out = samples.where(F.col(key).isNotNull()).select(key).distinct().join(sums, key, "left").join(middle(moves, key, "gap"), key, "left")
-    out = out.join(found.groupBy(key).agg(F.count("*").alias("turns")), key, "left").join(middle(swings, key, "between"), key, "left").join(middle(swings, key, "swing"), key, "left")
+    found = turns(samples, key, deadband, block_s)
+    swings = with_previous(found, key, seconds=block_s).withColumns({"between": since, "swing": step / 2})
+    out = samples.where(F.col(key).isNotNull()).select(key).distinct().join(sums, key, "left").join(median(moves, key, "gap"), key, "left")
+    out = out.join(found.groupBy(key).agg(F.count("*").alias("turns")), key, "left").join(median(swings, key, "between"), key, "left").join(median(swings, key, "swing"), key, "left")
     judged = F.coalesce((F.col("n") >= min_samples) & (F.col("hours") > 0) & (F.col("gap") <= max_interval_s), F.lit(False))
     rate = F.when(F.col("judged"), F.coalesce("turns", F.lit(0)) / F.col("hours"))
     out = out.withColumn("judged", judged).withColumn("rate", rate)
