@@ -33,16 +33,19 @@ def is_fahrenheit(unit: Column) -> Column:
     return F.replace(F.lower(F.trim(unit)), F.lit(" "), F.lit("")).isin(*FAHRENHEIT)
 
 
-def sequence_number(value: Column, text: Column, boolean: Column, unit: Column | None = None) -> Column:
-    """A number for sequence checks: states as 1 and 0, text that holds a number as that number, Celsius brought to Fahrenheit."""
+def sequence_number(value: Column, text: Column, boolean: Column, unit: Column | None = None, kind: str = "number") -> Column:
+    """A number for sequence checks of a role of `kind`: number, temperature or binary.
+
+    Booleans are 1 and 0. State words count for binary roles only, whose numbers are 1 unless zero.
+    Temperatures in degrees Fahrenheit come out in Celsius. Text that holds no number is null.
+    """
     word = F.lower(F.trim(text))
-    out = F.coalesce(
-        boolean.cast("int").cast("double"), value, F.when(word.isin(*SEQUENCE_ON), 1.0).when(word.isin(*SEQUENCE_OFF), 0.0), word.try_cast("double")
-    )
-    if unit is None:
-        return out
-    warm = F.replace(F.lower(F.trim(unit)), F.lit(" "), F.lit("")).isin("°c", "degc", "c", "celsius", "degreescelsius", "℃")
-    return F.when(F.coalesce(warm, F.lit(False)), out * 1.8 + 32).otherwise(out)
+    number = F.coalesce(value, word.try_cast("double"))
+    if kind == "binary":
+        number = F.coalesce(F.when(word.isin(*SEQUENCE_ON), 1.0).when(word.isin(*SEQUENCE_OFF), 0.0), (number != 0).cast("int").cast("double"))
+    elif kind == "temperature" and unit is not None:
+        number = F.when(F.coalesce(is_fahrenheit(unit), F.lit(False)), (number - 32) * 5 / 9).otherwise(number)
+    return F.coalesce(boolean.cast("int").cast("double"), number)
 
 
 def path_segment(text: Column) -> Column:

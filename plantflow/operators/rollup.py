@@ -110,7 +110,9 @@ def interpolate(samples: DataFrame, times: DataFrame | None = None) -> DataFrame
     seen = F.struct(F.col("ts").alias("t"), F.col("value").alias("v"))
     have = F.when(F.col("value").isNotNull(), seen)
     full = full.withColumn("a", F.last(have, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    full = full.withColumn("b", F.first(have, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # The next sample is the last one seen from the end: a frame that grows, unlike one that shrinks, is linear.
+    back = Window.partitionBy("series").orderBy(F.desc("ts"))
+    full = full.withColumn("b", F.last(have, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     sec = lambda c: F.unix_micros(c.cast("timestamp"))
     share = (sec(F.col("ts")) - sec(F.col("a.t"))) / (sec(F.col("b.t")) - sec(F.col("a.t")))
     value = F.when(F.col("a.t") == F.col("ts"), F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share)

@@ -151,16 +151,17 @@ def path_segments(spark, sf_dir):
 
 @register(
     "sequence_numbers",
-    """WITH t AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN ' Run ' WHEN 1 THEN 'STOPPED' WHEN 2 THEN 'yes' WHEN 3 THEN '12.5' WHEN 4 THEN 'n/a' END AS txt, value, event_id % 2 = 0 AS warm FROM events),
-    n AS (SELECT event_id, warm, CASE WHEN txt IS NULL THEN value WHEN lower(trim(txt)) IN ('run', 'yes') THEN 1 WHEN lower(trim(txt)) = 'stopped' THEN 0 ELSE TRY_CAST(txt AS DOUBLE) END AS v FROM t)
-    SELECT event_id, round(CASE WHEN warm THEN v * 1.8::DOUBLE + 32 ELSE v END, 6) AS v FROM n""",
+    """WITH t AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN ' Run ' WHEN 1 THEN 'STOPPED' WHEN 2 THEN 'yes' WHEN 3 THEN '12.5' WHEN 4 THEN 'n/a' WHEN 5 THEN '0' END AS txt, value, event_id % 2 = 0 AS warm FROM events),
+    n AS (SELECT *, coalesce(CASE WHEN txt IS NULL THEN value END, TRY_CAST(txt AS DOUBLE)) AS v FROM t)
+    SELECT event_id, round(v, 6) AS number, round(CASE WHEN warm THEN (v - 32) * 5 / 9 ELSE v END, 6) AS temperature,
+    CASE WHEN lower(trim(txt)) IN ('run', 'yes') THEN 1 WHEN lower(trim(txt)) = 'stopped' THEN 0 WHEN v <> 0 THEN 1 WHEN v = 0 THEN 0 END::DOUBLE AS state FROM n""",
 )
 def sequence_numbers(spark, sf_dir):
-    words = F.get(F.array(*map(F.lit, (" Run ", "STOPPED", "yes", "12.5", "n/a"))), (F.col("event_id") % 7).cast("int"))
+    words = F.get(F.array(*map(F.lit, (" Run ", "STOPPED", "yes", "12.5", "n/a", "0"))), (F.col("event_id") % 7).cast("int"))
     e = table(spark, sf_dir, "events").withColumn("txt", words)
-    unit = F.when(F.col("event_id") % 2 == 0, "deg C")
-    v = scalars.sequence_number(F.when(F.col("txt").isNull(), F.col("value")), F.col("txt"), F.lit(None).cast("boolean"), unit)
-    return e.select("event_id", F.round(v, 6).alias("v"))
+    given = F.when(F.col("txt").isNull(), F.col("value")), F.col("txt"), F.lit(None).cast("boolean"), F.when(F.col("event_id") % 2 == 0, "deg F")
+    read = lambda kind: scalars.sequence_number(*given, kind)
+    return e.select("event_id", F.round(read("number"), 6).alias("number"), F.round(read("temperature"), 6).alias("temperature"), read("binary").alias("state"))
 
 
 @register("fahrenheit_units", "SELECT p_partkey, p_partkey % 9 IN (0, 1, 2, 3, 4) AS fahrenheit FROM part")

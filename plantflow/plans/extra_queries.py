@@ -162,10 +162,20 @@ def loop_report(spark, sf_dir):
     return out.select("user_id", "rate", "base", F.when(F.col("base").isNotNull(), F.round("ratio", 6)).otherwise(F.col("rate")).alias("ratio"), "hunting")
 
 
-@register("setpoint_deadband", "SELECT l_suppkey, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS bad, CASE WHEN count(*) FILTER (NOT ok) > 0 THEN 'fail' WHEN count(*) FILTER (ok) > 0 THEN 'pass' ELSE 'untested' END AS status FROM (SELECT l_suppkey, CASE WHEN l_linenumber > 2 THEN l_quantity - l_linenumber > 2.27::DOUBLE END AS ok FROM lineitem) GROUP BY 1")
+@register(
+    "setpoint_deadband",
+    """WITH c AS (SELECT l_suppkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN 5.0::DOUBLE / 9 ELSE 1 END AS scale, l_quantity FROM lineitem)
+    SELECT l_suppkey, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS bad, CASE WHEN count(*) FILTER (NOT ok) > 0 THEN 'fail' WHEN count(*) FILTER (ok) > 0 THEN 'pass' ELSE 'untested' END AS status
+    FROM (SELECT l_suppkey, CASE WHEN l_linenumber > 2 THEN (l_quantity - l_linenumber) * scale > 2.27::DOUBLE END AS ok FROM c) GROUP BY 1""",
+)
 def setpoint_deadband(spark, sf_dir):
+    """Setpoints in either unit are judged in Celsius."""
     li = table(spark, sf_dir, "lineitem")
-    return verify.deadband(li.select("l_suppkey", F.col("l_quantity").alias("cool"), F.when(F.col("l_linenumber") > 2, F.col("l_linenumber").cast("double")).alias("heat")), "l_suppkey")
+    unit = F.when(F.col("l_orderkey") % 2 == 0, "°F").otherwise("°C")
+    none = F.lit(None)
+    celsius = lambda value: scalars.sequence_number(value, none.cast("string"), none.cast("boolean"), unit, "temperature")
+    heat = F.when(F.col("l_linenumber") > 2, F.col("l_linenumber").cast("double"))
+    return verify.deadband(li.select("l_suppkey", celsius(F.col("l_quantity")).alias("cool"), celsius(heat).alias("heat")), "l_suppkey")
 
 
 @register("supply_reset", "SELECT user_id, max(value) - min(value) >= (200 - min(value)) * 0.25::DOUBLE * 0.99::DOUBLE AS ok FROM events WHERE event_type = 'view' GROUP BY 1")

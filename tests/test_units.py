@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plantflow.functions import scalars
 from plantflow.operators import derive, lifecycle, performance, quality, rollup, rules, timejoin, windows
 from plantflow.sources import history as hs
 from plantflow.streaming import faults
@@ -170,3 +171,25 @@ def test_export_round_trip(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert hs.reconcile(hs.month_counts(back), hs.month_counts(h)).isEmpty()
     assert hs.manifest(spark, str(tmp_path / "out")).count() >= 4
+
+
+def test_sequence_numbers_by_kind(spark):
+    rows = [(None, "Run", None, None), (None, "5", None, None), (5.0, None, None, None), (0.0, None, None, "°F"), (212.0, None, None, "°F"), (None, " 50 ", None, "deg f"),
+            (20.0, None, None, "°C"), (None, "n/a", None, "°F"), (None, None, True, "°F"), (None, "off", None, None), (None, None, None, None)]
+    frame = spark.createDataFrame(rows, "value double, text string, flag boolean, unit string")
+    read = lambda kind: [r[0] for r in frame.select(scalars.sequence_number(F.col("value"), F.col("text"), F.col("flag"), F.col("unit"), kind)).collect()]
+    assert read("number") == [None, 5, 5, 0, 212, 50, 20, None, 1, None, None]
+    assert [None if x is None else round(x, 4) for x in read("temperature")] == [None, 5, 5, -17.7778, 100, 10, 20, None, 1, None, None]
+    assert read("binary") == [1, 1, 1, 0, 1, 1, 1, None, 1, 0, None]
+
+
+def test_interpolation_is_linear_in_the_series(spark):
+    import time
+
+    n = 80_000
+    at = F.timestamp_micros(F.col("id") * 5_000_000).cast("timestamp_ntz")
+    rows = spark.range(n).select(F.lit("s").alias("series"), at.alias("ts"), F.when(F.col("id") % 7 == 0, F.col("id").cast("double")).alias("value"))
+    began = time.perf_counter()
+    total = rollup.interpolate(rows).agg(F.count("value"), F.sum("value")).first()
+    assert total[0] == 7 * ((n - 1) // 7) + 1 and total[1] == pytest.approx(sum(range(7 * ((n - 1) // 7) + 1)))
+    assert time.perf_counter() - began < 30
