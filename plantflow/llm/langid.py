@@ -10,8 +10,8 @@ texts is marked as rejected.
 Document frequencies are counted over all learning rows. Centroids are fitted on a
 bounded sample: about `fit_rows` learning rows of each language, in order of a hash of
 the id. The model has languages x centroids x 2**BITS numbers, however large the
-corpus, and is broadcast; a column with more than `MAX_LANGUAGES` values is no language
-column and is refused.
+corpus, and is broadcast: 96 KB a language. Centroids are fitted for `LANGUAGES_AT_ONCE` languages
+at a time, so that fitting needs no more memory where a column holds many.
 
 `und` with score 0 goes to null text and text without a letter. Rows with a null language
 teach nothing; without any learning row all are `und`. Repeated and null ids are handled
@@ -36,7 +36,7 @@ DIM = 1 << BITS
 CENTROIDS = 3
 ROUNDS = 4
 QUANTILE = 0.995
-MAX_LANGUAGES = 1_000
+LANGUAGES_AT_ONCE, BROADCAST_LANGUAGES = 512, 20_000
 SLICE_ROWS, TASK_ROWS = 64, 512
 PIECE_CHARS = 1 << 18
 
@@ -145,22 +145,33 @@ def fit(
     spark = documents.sparkSession
     rows = _learning(documents, id_col, text_col, lang_col)
     counted = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    sizes = {r["lang"]: r["n"] for r in counted.limit(MAX_LANGUAGES + 1).collect()}  # one row a language
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}  # one row a language
     empty = {"idf": np.ones(DIM, np.float32), "owner": np.zeros(0, str), "centroids": np.zeros((0, DIM), np.float32), "radius": np.zeros(0)}
     if not sizes:
         return empty
     idf = _frequencies(rows)
     dealt = F.pmod(F.xxhash64(F.lit("fit"), "ident"), F.lit(1 << 20))
     known = [(lang, int(min(1.0, fit_rows / n) * (1 << 20))) for lang, n in sizes.items()]
-    shares = F.broadcast(spark.createDataFrame(known, "lang string, share int"))  # MAX_LANGUAGES rows at most
+    shares = spark.createDataFrame(known, "lang string, share int")
+    shares = F.broadcast(shares) if len(known) <= BROADCAST_LANGUAGES else shares
     seedling = F.pmod(F.xxhash64(F.lit("start"), "ident"), F.lit(CENTROIDS)).cast("int")
     sample = rows.join(shares, "lang").where(dealt < F.col("share")).select("text", "lang", seedling.alias("start"))
     # A shuffle of the bounded sample; merging scan tasks instead would hold all their file readers open at once.
     expected = sum(min(n, fit_rows) for n in sizes.values())
     sample = sample.repartition(max(1, min(spark.sparkContext.defaultParallelism, -(-expected // TASK_ROWS)))).persist()
-    owner = np.array([lang for lang in sorted(sizes) for _ in range(CENTROIDS)])
+    names, parts = sorted(sizes), []
+    for lo in range(0, len(names), LANGUAGES_AT_ONCE):
+        some = names[lo : lo + LANGUAGES_AT_ONCE]
+        parts.append(_cluster(sample if len(some) == len(names) else sample.where(F.col("lang").between(some[0], some[-1])), some, idf, slack))
+    sample.unpersist()
+    owner, centroids, radius = (np.concatenate(x) for x in zip(*parts))
+    return {"idf": idf, "owner": owner, "centroids": centroids, "radius": radius}
+
+
+def _cluster(sample: DataFrame, names: list[str], idf: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language of each centroid, centroids, rejection distances) of the languages `names`, by spherical k-means."""
+    spark = sample.sparkSession
+    owner = np.array([lang for lang in names for _ in range(CENTROIDS)])
     centroids, radius = None, np.zeros(len(owner))
     for round_ in range(ROUNDS + 1):
         state = spark.sparkContext.broadcast((idf, owner, centroids))
@@ -204,8 +215,7 @@ def fit(
         norm = np.sqrt((fresh * fresh).sum(axis=1, keepdims=True))
         kept = centroids if centroids is not None else np.zeros_like(fresh)
         centroids = np.where(norm > 0, fresh / np.maximum(norm, 1e-12), kept).astype(np.float32)
-    sample.unpersist()
-    return {"idf": idf, "owner": owner, "centroids": centroids, "radius": radius}
+    return owner, centroids, radius
 
 
 def identify(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,8 +8,8 @@ makes it safe to broadcast; it travels as its nonzero entries.
 
 The classifier is fitted on a bounded sample of labelled rows: at most about
 `max_positive` and `max_negative` ids, taken in order of a hash of the id, one text of each
-(rows that repeat an id count once), and of each text the `max_features` features of smallest
-number, a sample that is the same for all texts. Features are made where the rows are
+(rows that repeat an id count once), with all features of each text. Where the features of the sample
+take more than `max_bytes`, fewer ids are taken, by another hash. Features are made where the rows are
 read; FTRL itself is sequential, so one task learns from that sample, of a bounded
 number of bytes. Scoring reads every whole text once, with all its features and no shuffle.
 
@@ -51,18 +51,15 @@ def features(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
         yield np.unique(np.concatenate([one[a:b], two[a : max(a, b - 1)], skip[a : max(a, b - 2)], *(x[a:b] for x in stems)]))
 
 
-def _featurize(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            for lo, hi, data, offs in slices(batch.column("text")):
-                rows = [x[:most].tobytes() for x in features(data, offs)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array(rows, pa.binary())],
-                    ["id", "label", "feats"],
-                )
-
-    return run
+def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
+    for batch in batches:
+        for lo, hi, data, offs in slices(batch.column("text")):
+            rows = [x.tobytes() for x in features(data, offs)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array(rows, pa.binary())],
+                ["id", "label", "feats"],
+            )
 
 
 def _learn(table: pa.Table) -> pa.Table:
@@ -94,7 +91,7 @@ def _learn(table: pa.Table) -> pa.Table:
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive: int = 3_000, max_negative: int = 6_000, max_features: int = 16_384
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive: int = 3_000, max_negative: int = 6_000, max_bytes: int = 256 << 20
 ) -> tuple[np.ndarray, np.ndarray]:
     """(feature numbers, weights) that aren't zero, the intercept's number last of all, from rows outside the held-out third."""
     ident = F.col("doc_id").cast("string")
@@ -104,13 +101,18 @@ def fit(
     share = F.when(F.col("label") == 1, min(1.0, max_positive / max(1, sizes.get(1, 0)))).otherwise(
         min(1.0, max_negative / max(1, sizes.get(0, 0)))
     )
-    dealt = F.pmod(F.xxhash64(F.lit("sample"), ident), F.lit(1_000_000))
+    # Places are whole millionths and a finer part, so that a small share of many rows is cut exactly.
+    finer = F.pmod(F.xxhash64(F.lit("finer"), ident), F.lit(1 << 30)) / F.lit(1 << 30)
+    dealt = F.pmod(F.xxhash64(F.lit("sample"), ident), F.lit(1_000_000)) + finer
     sample = known.where(dealt < share * 1_000_000).select(F.col("doc_id").alias("id"), "label")
     # At most about max_positive + max_negative rows, so this side may be broadcast.
     rows = documents.select(F.col(id_col).alias("id"), F.col("text")).join(F.broadcast(sample), "id")
-    feats = rows.select(F.col("id").cast("long").alias("id"), "label", "text").mapInArrow(_featurize(max_features), "id long, label int, feats binary")
-    feats = feats.groupBy("id").agg(F.max("label").alias("label"), F.min("feats").alias("feats"))
-    table = feats.groupBy(F.lit(0).alias("one")).applyInArrow(_learn, "feature int, weight double").toArrow()
+    feats = rows.select(F.col("id").cast("long").alias("id"), "label", "text").mapInArrow(_featurize, "id long, label int, feats binary")
+    feats = feats.groupBy("id").agg(F.max("label").alias("label"), F.min("feats").alias("feats")).persist()
+    held = feats.agg(F.sum(F.length("feats"))).first()[0] or 0
+    fewer = feats.where(F.pmod(F.xxhash64(F.lit("fewer"), "id"), F.lit(1 << 20)) < int(max_bytes / held * (1 << 20))) if held > max_bytes else feats
+    table = fewer.groupBy(F.lit(0).alias("one")).applyInArrow(_learn, "feature int, weight double").toArrow()
+    feats.unpersist()
     return table["feature"].to_numpy(), table["weight"].to_numpy().astype(np.float32)
 
 
