@@ -1,7 +1,6 @@
 """What the classifiers learn from is bounded in rows and bytes, never in a text's features or in languages."""
 
 import numpy as np
-import pytest
 
 from plantflow.llm import langid, toxicity
 
@@ -21,12 +20,12 @@ def test_long_texts_teach_all_their_features(spark):
     assert all(r.predicted == r.doc_id % 2 for r in got)
 
 
-@pytest.mark.parametrize("limit", [1 << 28, 200])
-def test_sample_is_bounded_in_bytes(spark, limit):
-    rows = [(i, ("bad " if i % 2 else "fine ") * 3 + f"text number {i}") for i in range(400)]
+def test_sample_is_bounded_in_bytes(spark):
+    rows = [(i, f"{'bad' if i % 2 else 'fine'} w{i % 40} " * 3) for i in range(800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    at, _ = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"), max_bytes=limit)
-    assert (len(at) > 3) == (limit > 200)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    whole, some, none = (toxicity.fit(docs, labels, max_bytes=n)[0] for n in (1 << 28, 2_000, 0))
+    assert len(whole) > len(some) > len(none) == 0
 
 
 def test_more_than_a_thousand_languages(spark, monkeypatch):
