@@ -8,6 +8,7 @@ from graphlib import CycleError, TopologicalSorter
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plantflow.session import cut
 
@@ -27,16 +28,23 @@ def order(depends: dict[str, set[str]]) -> list[str]:
         alive = {d: needs for d, needs in alive.items() if d not in bad}
 
 
-def evaluate(samples: DataFrame, targets: DataFrame, formula: Formula, now, window_s: float) -> DataFrame:
+def evaluate(samples: DataFrame, targets: DataFrame, formula: Formula, now, window_s: float, keep: int | None = None) -> DataFrame:
     """(target, value, error) of a formula over its inputs in [now - window, now].
 
     `targets` is (target, name, point_uri). A target without samples still runs, with empty
-    lists. None writes nothing; an exception concerns its target only.
+    lists. None writes nothing; an exception concerns its target only. `keep` bounds an input to
+    its newest samples, for formulas that look at no more: a hot point then costs its tasks a
+    few rows, and its series is never gathered.
     """
     from plantflow.operators.timejoin import micros
 
-    inside = samples.where((F.col("ts") <= now) & (micros(F.col("ts")) >= micros(now) - int(window_s * 1e6)))
-    rows = targets.join(inside.select("point_uri", "ts", "value"), "point_uri", "left")
+    inside = samples.where((F.col("ts") <= now) & (micros(F.col("ts")) >= micros(now) - int(window_s * 1e6))).select("point_uri", "ts", "value")
+    if keep == 1:
+        inside = inside.groupBy("point_uri").agg(F.max(F.struct("ts", "value")).alias("s")).select("point_uri", "s.*")
+    elif keep is not None:
+        newest = F.row_number().over(Window.partitionBy("point_uri").orderBy(F.desc("ts"), F.desc("value")))
+        inside = inside.withColumn("newest", newest).where(F.col("newest") <= keep).drop("newest")
+    rows = targets.join(inside, "point_uri", "left")
     series = F.array_sort(F.collect_list(F.when(F.col("ts").isNotNull(), F.struct("ts", "value"))))
     inputs = rows.groupBy("target", "name").agg(series.alias("series"))
     inputs = inputs.groupBy("target").agg(F.collect_list(F.struct("name", "series")).alias("inputs"))
@@ -95,8 +103,6 @@ def last_difference(inputs: dict[str, list[tuple]], target: str) -> float | None
 
 def target_health(runs: DataFrame, threshold: int = 5) -> DataFrame:
     """Targets whose newest `threshold` runs (target, at, failed) all failed are disabled."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("target").orderBy(F.desc("at"))
     newest = runs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= threshold)
     return newest.groupBy("target").agg(((F.count("*") == threshold) & F.bool_and("failed")).alias("disabled"))

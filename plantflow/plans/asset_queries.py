@@ -274,7 +274,7 @@ def derivation_formula(spark, sf_dir):
     users = e.select("user_id").distinct()
     ends = F.explode(F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("view"), F.lit("click")))).alias("name", "event_type")
     targets = users.select("user_id", ends).select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("target"), "name", point.alias("point_uri"))
-    out = derive.evaluate(e.select(point.alias("point_uri"), "ts", "value"), targets, derive.last_difference, ntz("2024-01-25"), 5 * 86400)
+    out = derive.evaluate(e.select(point.alias("point_uri"), "ts", "value"), targets, derive.last_difference, ntz("2024-01-25"), 5 * 86400, keep=1)
     return out.select("target", r6("value"), "error")
 
 

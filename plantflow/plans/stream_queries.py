@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from plantflow.operators import derive
 from plantflow.plans.asset_queries import _drain, _events_stream
+from plantflow.plans.history_queries import r6
 from plantflow.registry import register
-from plantflow.streaming import alerts
+from plantflow.session import table
+from plantflow.sources import upsert
+from plantflow.streaming import alerts, incremental
 
 
 @contextmanager
@@ -51,3 +57,54 @@ def alert_timers(spark, sf_dir):
     with state_store(spark):
         out = _drain(alerts.alert_stream(observed, alerts.Limits(6 * 3600, 8 * 3600, 12 * 3600)), spark)
     return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def _scratch(spark):
+    """A new folder below the checkpoint folder that the cluster names."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-plantflow-")
+    return f"{base}/tables-{uuid.uuid4().hex}"
+
+
+def _in_batches(spark, rows, base, files=4):
+    """`rows` dealt to files, as a stream that takes one file a batch."""
+    rows.repartition(files).write.parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+HISTORY = "point_uri string, ts timestamp_ntz, seq long, value double"
+
+
+@register("upsert_stream", "SELECT event_type AS point_uri, date_trunc('hour', ts) AS ts, max(event_id) AS seq, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY 1, 2")
+def upsert_stream(spark, sf_dir):
+    """Structured Streaming into a transactional table: of the readings of a point and hour the one of largest id stays."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("point_uri"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("seq"), "value")
+    base = _scratch(spark)
+    target = upsert.UpsertTable(spark, f"{base}/history", HISTORY, buckets=4)
+    run = upsert.upsert_stream(_in_batches(spark, rows, base), target, "readings").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return target.snapshot().select("point_uri", "ts", "seq", r6("value"))
+
+
+@register(
+    "derivation_stream",
+    """WITH l AS (SELECT user_id, arg_max(value, (ts, event_id)) FILTER (event_type = 'view') AS a, arg_max(value, (ts, event_id)) FILTER (event_type = 'click') AS b FROM events GROUP BY 1)
+    SELECT 't' || user_id AS target, round(a - b, 6) AS value, CAST(NULL AS VARCHAR) AS error FROM l WHERE a IS NOT NULL AND b IS NOT NULL""",
+)
+def derivation_stream(spark, sf_dir):
+    """Structured Streaming: each batch of readings re-runs the targets that it feeds, last of a minus last of b."""
+    e = table(spark, sf_dir, "events")
+    point = F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type")
+    rows = e.select(point.alias("point_uri"), "ts", F.col("event_id").alias("seq"), "value")
+    ends = F.explode(F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("view"), F.lit("click")))).alias("name", "event_type")
+    targets = e.select("user_id").distinct().select("user_id", ends).select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("target"), "name", point.alias("point_uri"))
+    base = _scratch(spark)
+    history = upsert.UpsertTable(spark, f"{base}/history", HISTORY, buckets=4, ts_col=None)
+    results = upsert.UpsertTable(spark, f"{base}/results", incremental.RESULTS, keys=("target",), ts_col=None, buckets=4)
+    kept = incremental.Incremental(history, results, targets, derive.last_difference, 3650 * 86400, keep=1)
+    run = kept.stream(_in_batches(spark, rows, base), "readings").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return results.snapshot().select("target", r6("value"), "error")
