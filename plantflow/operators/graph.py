@@ -15,19 +15,23 @@ from plantflow.session import cut
 def closure(edges: DataFrame, max_depth: int | None = None, reflexive: bool = True) -> DataFrame:
     """(node, ancestor, depth): smallest number of steps from each node to each ancestor.
 
-    Walks of up to twice the length come from joining the walks found so far with themselves, until
-    nothing is new or shorter, so the rounds grow with the logarithm of the longest way; there is
-    no cap unless `max_depth` names one. Works on cyclic graphs.
+    Each round doubles the length of the walks that are known: only pairs exactly as far apart as
+    the longest known walk are joined with the known walks, since every longer shortest walk begins with such
+    a pair. Each result is met about once, the rounds grow with the logarithm of the longest
+    way, and there is no cap unless `max_depth` names one. Works on cyclic graphs: a node on a cycle is its own ancestor.
     """
-    walks = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    walks, before = cut(walks), None
-    while (now := walks.agg(F.count("*"), F.sum("depth")).first()) != before:
-        before = now
-        on = walks.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        longer = walks.join(on, "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+    known = cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    edge, length = known, 1
+    while not edge.isEmpty() and (max_depth is None or length < max_depth):
+        on = known.select(F.col("node").alias("middle"), "ancestor", "depth")
+        longer = edge.select("node", F.col("ancestor").alias("middle")).join(on, "middle")
+        longer = longer.groupBy("node", "ancestor").agg((F.min("depth") + length).alias("depth"))
         if max_depth is not None:
             longer = longer.where(F.col("depth") <= max_depth)
-        walks = cut(walks.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        fresh = cut(longer.join(known, ["node", "ancestor"], "left_anti"))
+        length *= 2
+        known, edge = known.unionByName(fresh), fresh.where(F.col("depth") == length)
+    walks = known
     if reflexive:
         nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
         walks = walks.unionByName(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
