@@ -354,3 +354,35 @@ def alert_states(spark, sf_dir):
     """Firing and resolved alerts per user."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_type").isin("error", "view").alias("present"))
     return faults.alert_states(e, 3600, 3600)
+
+
+@register(
+    "override_tests",
+    """WITH RECURSIVE c AS (SELECT user_id AS k, ts, floor(value / 20) * 20 AS v FROM events WHERE event_type = 'view'), e AS (SELECT *, lag(v) OVER w AS p, row_number() OVER w AS i FROM c WINDOW w AS (PARTITION BY k ORDER BY ts, v)),
+    z AS (SELECT k, i, ts, NULL::DOUBLE AS hv, NULL::DOUBLE AS hp, NULL::TIMESTAMP AS ha, NULL::BOOLEAN AS hr, NULL::TIMESTAMP AS done_at, NULL::DOUBLE AS dv, NULL::DOUBLE AS dp, NULL::TIMESTAMP AS dt, NULL::BOOLEAN AS dr FROM e WHERE i = 1
+    UNION ALL SELECT e.k, e.i, e.ts, CASE WHEN stays THEN hv WHEN steps THEN e.v END, CASE WHEN stays THEN hp WHEN steps THEN e.p END, CASE WHEN stays THEN ha WHEN steps THEN e.ts END, CASE WHEN stays THEN hr WHEN steps THEN hv IS NOT NULL AND NOT hr AND abs(e.v - hp) < 20 END,
+      CASE WHEN NOT stays AND hv IS NOT NULL THEN ha END, CASE WHEN NOT stays THEN hv END, CASE WHEN NOT stays THEN hp END, CASE WHEN NOT stays AND hv IS NOT NULL THEN e.ts END, CASE WHEN NOT stays THEN hr END
+      FROM (SELECT z.hv, z.hp, z.ha, z.hr, e.*, coalesce(abs(e.v - z.hv) < 20, false) AS stays, abs(e.v - e.p) >= 20 AS steps FROM z JOIN e ON e.k = z.k AND e.i = z.i + 1) e),
+    s AS (SELECT k, done_at AS a, dv AS v, dp AS p, dt AS u, dr AS r FROM z WHERE done_at IS NOT NULL UNION ALL SELECT k, ha, hv, hp, NULL, hr FROM (SELECT *, max(i) OVER (PARTITION BY k) AS n FROM z) WHERE i = n AND hv IS NOT NULL),
+    o AS (SELECT s.*, CASE WHEN r THEN 'release' WHEN coalesce(u, '2024-01-31') - a < INTERVAL 12 HOUR AND u IS NOT NULL THEN 'not_held' WHEN coalesce(u, '2024-01-31') - a < INTERVAL 12 HOUR THEN 'standing'
+      WHEN EXISTS (SELECT 1 FROM events x WHERE x.user_id = s.k AND x.event_type = 'purchase' AND x.ts BETWEEN a - INTERVAL 6 HOUR AND a + INTERVAL 6 HOUR) THEN 'own'
+      WHEN EXISTS (SELECT 1 FROM events x WHERE x.user_id = s.k AND x.event_type = 'signup' AND x.ts BETWEEN a - INTERVAL 6 HOUR AND a + INTERVAL 6 HOUR) THEN 'schedule' ELSE 'override' END AS verdict FROM s),
+    j AS (SELECT k, a, v, u, a + INTERVAL 1 DAY AS dl, least(a + INTERVAL 1 DAY, coalesce(u, a + INTERVAL 1 DAY), TIMESTAMP '2024-01-31') AS fin FROM o WHERE verdict = 'override'),
+    t AS (SELECT j.k, j.a, any_value(v) AS v, any_value(u) AS u, any_value(dl) AS dl, any_value(fin) AS fin, count(x.ts) AS n, count(*) FILTER (abs(x.value - v) <= 30) AS hits FROM j LEFT JOIN events x ON x.user_id = j.k AND x.event_type = 'click' AND x.ts BETWEEN a AND fin GROUP BY 1, 2),
+    w AS (SELECT t.*, coalesce((SELECT arg_max(value > 60, ts) FROM events x WHERE x.user_id = t.k AND x.event_type = 'error' AND x.ts <= a), false) OR EXISTS (SELECT 1 FROM events x WHERE x.user_id = t.k AND x.event_type = 'error' AND x.value > 60 AND x.ts BETWEEN a AND fin) AS unocc FROM t),
+    g AS (SELECT k, a, CASE WHEN hits > 0 THEN 'pass' WHEN NOT (dl <= '2024-01-31' OR coalesce(u <= '2024-01-31', false)) THEN 'pending' WHEN unocc THEN 'not_applicable' WHEN n = 0 THEN 'inconclusive' WHEN coalesce(u < dl, false) THEN 'inconclusive' ELSE 'fail' END AS status FROM w)
+    SELECT k, arg_max(status, a) FILTER (status <> 'pending') AS status, count(*) FILTER (status <> 'pending') AS judged, count(*) FILTER (status = 'pending') AS pending,
+      coalesce((SELECT count(*) FROM o WHERE o.k = g.k AND verdict NOT IN ('override', 'standing')), 0) AS excluded FROM g GROUP BY 1 HAVING count(*) FILTER (status <> 'pending') > 0""",
+)
+def override_tests(spark, sf_dir):
+    """Overrides of a user's views, answered by clicks; purchases are our own writes, signups a schedule, large errors an unoccupied state."""
+    from plantflow.operators import overrides
+
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "k")
+    of = lambda kind: e.where(F.col("event_type") == kind).select("k", "ts", "value")
+    now = ntz("2024-01-31")
+    commands = of("view").withColumn("value", F.floor(F.col("value") / 20) * 20)
+    found = overrides.detect(commands, "k", 20.0, now, min_hold_s=12 * 3600, own=of("purchase"), own_slack_s=6 * 3600, schedule=of("signup"), schedule_slack_s=6 * 3600)
+    unoccupied = of("error").withColumn("value", (F.col("value") > 60).cast("double"))
+    judged = overrides.judge(found.where("verdict = 'override'"), of("click"), "k", 30.0, now, within_s=86_400, unoccupied=unoccupied)
+    return overrides.summary(found, judged, "k")
