@@ -342,7 +342,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     release(spark)
     members = sized.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     known = members.join(roots, members["rep"] == roots["node"], "left")
-    real = F.col("n_shingles") > 0
+    real = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return known.select("doc_id", "n_shingles", F.when(real, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
