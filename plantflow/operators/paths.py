@@ -184,3 +184,25 @@ def tree_check(edges: DataFrame) -> DataFrame:
     out = state.select("node", "at", "depth").join(ends.select(F.col("node").alias("at"), F.lit(True).alias("rooted")), "at", "left")
     ok = F.coalesce("rooted", F.lit(False))
     return out.select("node", F.when(ok, F.col("at")).alias("root"), F.when(ok, F.col("depth")).alias("depth"), (~ok).alias("cyclic"))
+
+
+def tree_fold(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """(node, total, n, low, high): sum, count, smallest and largest of the values (node, value) of each node and all below it.
+
+    Pointers and partial folds double together: what a node knows of the levels down to 2**k, its
+    ancestor 2**k above takes over for the levels beyond its own. So there are as many rounds as the logarithm of the
+    depth, each over one row a node; no row per pair of node and ancestor is made. Nodes on a cycle or below one are left out.
+    """
+    shape = tree_check(edges).where("not cyclic")
+    one = edges.where("child is not null and parent is not null").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("up"))
+    own = values.where("node is not null").groupBy("node").agg(F.sum("value").alias("total"), F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    inside = shape.select("node").join(one, "node", "left").join(own, "node", "left")
+    alone = own.join(one.select("node").unionByName(one.select(F.col("up").alias("node"))), "node", "left_anti")
+    state = cut(inside.withColumn("n", F.coalesce("n", F.lit(0))))
+    while not state.where("up is not null").isEmpty():
+        sent = state.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("total").alias("t"), F.sum("n").alias("m"), F.min("low").alias("l"), F.max("high").alias("h"))
+        beyond = state.where("up is not null").select(F.col("node").alias("up"), F.col("up").alias("next"))
+        both = state.join(sent, "node", "left").join(beyond, "up", "left")
+        total = F.when(F.col("t").isNull(), F.col("total")).otherwise(F.col("t") + F.coalesce("total", F.lit(0)))
+        state = cut(both.select("node", F.col("next").alias("up"), total.alias("total"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high")))
+    return state.drop("up").unionByName(alone)

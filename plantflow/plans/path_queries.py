@@ -73,3 +73,18 @@ def space_tree(spark, sf_dir):
     k = F.col("p_partkey")
     parent = F.when(k % 100 == 98, k + 1).when(k % 100 == 99, k - 1).otherwise(F.floor(k / 2))
     return paths.tree_check(table(spark, sf_dir, "part").where(k > 1).select(k.alias("child"), parent.alias("parent")))
+
+
+@register(
+    "tree_fold",
+    """WITH RECURSIVE e AS (SELECT p_partkey AS child, CASE WHEN p_partkey <= 100 THEN p_partkey - 1 ELSE p_partkey // 3 END AS parent FROM part),
+    v AS (SELECT l_partkey AS node, l_quantity AS value FROM lineitem), up AS (SELECT node, node AS at, value FROM v UNION ALL SELECT up.node, e.parent, up.value FROM up JOIN e ON e.child = up.at)
+    SELECT at AS node, round(sum(value), 4) AS total, count(*) AS n, min(value) AS low, max(value) AS high FROM up GROUP BY 1""".replace("SELECT node, node AS at", "SELECT node, node AS at_node").replace("up.at)", "up.at_node)").replace("SELECT at AS node", "SELECT at_node AS node"),
+)
+def tree_fold(spark, sf_dir):
+    """Quantities of each part with all below it, in a tree with a chain of a hundred at its top."""
+    k = F.col("p_partkey")
+    edges = table(spark, sf_dir, "part").select(k.alias("child"), F.when(k <= 100, k - 1).otherwise(F.floor(k / 3)).alias("parent"))
+    values = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_quantity").alias("value"))
+    found = paths.tree_fold(edges, values).where("n > 0")
+    return found.select("node", F.round("total", 4).alias("total"), "n", "low", "high")

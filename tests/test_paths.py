@@ -83,3 +83,19 @@ def test_empty(spark):
     assert paths.reach(none, paths.MEMBER).count() == 0
     assert paths.reach(none, any_of(step("a")), spark.createDataFrame([("x",)], "start string")).collect() == [("x", "x")]
     assert paths.tree_check(spark.createDataFrame([], "child long, parent long")).count() == 0
+
+
+def test_fold_of_a_deep_tree(spark):
+    r = random.Random(9)
+    parent = {i: i - 1 if i < 300 else r.randrange(i) for i in range(1, 900)}
+    parent |= {2000: 2001, 2001: 2000, 2002: 2000}  # a cycle and a node below it
+    values = [(r.randrange(900), float(r.randint(-9, 9))) for _ in range(700)] + [(5000, 3.0), (2002, 1.0), (4, None), (None, 1.0)]
+    want = {}
+    for node, v in values:
+        while node is not None and node < 2000 and v is not None:
+            want.setdefault(node, []).append(v)
+            node = parent.get(node)
+    got = {x.node: tuple(x)[1:] for x in paths.tree_fold(spark.createDataFrame(list(parent.items()), "child long, parent long"), spark.createDataFrame(values, "node long, value double")).collect()}
+    assert got.pop(5000) == (3.0, 1, 3.0, 3.0)
+    assert {k: v for k, v in got.items() if v[1]} == {k: (sum(v), len(v), min(v), max(v)) for k, v in want.items()}
+    assert set(got) == set(range(900))
