@@ -103,6 +103,65 @@ def classified(triples: DataFrame, family: DataFrame) -> DataFrame:
     return triples.unionByName(shaped)
 
 
+def facts(triples: DataFrame, family: DataFrame, class_words: DataFrame, rules: DataFrame, links: DataFrame) -> DataFrame:
+    """Triples with all that a bare word may mean: classes, words of classes, words that mapping rules turn into classes, structural markers.
+
+    `family` is (class, ancestor) in lower case, `class_words` (class, word), `rules` (class, words) of which any word finds the
+    class and what lies below it, `links` edges (a, edge, b).
+    """
+    typed = classified(triples, family)
+    given = class_words.select(F.lower("class").alias("o"), "word").unionByName(rules.select(F.lower("class").alias("o"), F.explode("words").alias("word"))).distinct()
+    words = typed.where("p = 'is'").select("s", "o").join(given, "o").select("s", F.col("word").alias("o")).distinct()
+    none = F.lit(None)
+    shaped = words.select("s", F.lit("word").alias("p"), F.lit("word").alias("o_kind"), "o", none.cast("double").alias("num"), none.cast("string").alias("unit"))
+    return typed.unionByName(shaped).unionByName(structural(links))
+
+
+def hop(triples: DataFrame, edges: DataFrame, name: str, sites: DataFrame | None = None) -> DataFrame:
+    """(a, b): where the reference tag `name` leads, over all its forms.
+
+    A value like an id is followed, as it is where it begins with urn: and else below urn:equip:haystack:. For equipRef the
+    edge isPointOf (s, p, o) goes before any value; for siteRef the sites (site) that contain the subject count too.
+    """
+    from plantflow.operators import paths
+
+    value = triples.where((F.col("p") == name) & F.col("o").rlike(r"^[A-Za-z0-9_:.~/-]+$"))
+    found = value.select(F.col("s").alias("a"), F.when(F.col("o").startswith("urn:"), F.col("o")).otherwise(F.concat(F.lit("urn:equip:haystack:"), "o")).alias("b"))
+    if name == "equipRef":
+        linked = edges.where("p = 'isPointOf'").select(F.col("s").alias("a"), F.col("o").alias("b"))
+        found = found.join(linked.select("a"), "a", "left_anti").unionByName(linked)
+    if name == "siteRef" and sites is not None:
+        inside = paths.reach(edges, paths.MEMBER, sites.select(F.col("site").alias("start")))
+        found = found.unionByName(inside.select(F.col("end").alias("a"), F.col("start").alias("b")))
+    return found.distinct()
+
+
+def follow(triples: DataFrame, edges: DataFrame, names: tuple[str, ...], leaf: Tag, sites: DataFrame | None = None) -> DataFrame:
+    """Subjects (s) whose path of reference tags leads to one that `leaf` matches; walked back from the end, so each hop keeps only what leads there."""
+    ends = leaf.match(triples).select(F.col("s").alias("b"))
+    for name in reversed(names):
+        ends = hop(triples, edges, name, sites).join(ends, "b", "left_semi").select(F.col("a").alias("b")).distinct()
+    return ends.select(F.col("b").alias("s"))
+
+
+def merge(triples: DataFrame, same: DataFrame, inverse: DataFrame) -> DataFrame:
+    """Triples (s, p, o) with subjects that are the same (a, b) made one, the smallest of them, and every edge in both directions.
+
+    Both ends of all triples are rewritten to the canonical node; what that makes equal is one triple, and an edge
+    from a node to itself by merging goes. `inverse` (p, q) names the predicates of edges and their opposites.
+    """
+    roots = cut(components(same))
+    for end in ("s", "o"):
+        named = roots.select(F.col("node").alias(end), F.col("root").alias("to"))
+        triples = triples.join(named, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    both = inverse.unionByName(inverse.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
+    edges = triples.join(both, "p")
+    back = edges.select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
+    out = triples.select("s", "p", "o").unionByName(back).distinct()
+    loops = out.where(F.col("s") == F.col("o")).join(both.select("p").distinct(), "p", "left_semi")
+    return out.join(loops.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+
+
 def roster(triples: DataFrame, family: DataFrame, name: str) -> DataFrame:
     """Subjects of a class or of one that counts as it."""
     return Tag.of_class(name).match(classified(triples, family))
@@ -192,6 +251,24 @@ class Tag:
     def has(tag: str) -> Tag:
         return Tag(lambda t: F.col("p") == tag)
 
+    @staticmethod
+    def word(name: str) -> Tag:
+        """A bare word over triples that went through `facts`: a tag with or without value, a class, a word of a class, or a structural marker."""
+        return Tag(lambda t: (F.col("p") == name) | ((F.col("p") == "is") & (F.col("o") == name.lower())) | ((F.col("p") == "word") & (F.col("o") == name)))
+
+    @staticmethod
+    def measure(tag: str, op: str, value: float, unit: str) -> Tag:
+        """A number in `unit`: the tag's own, or the subject's (its tag `unit`) where the tag has none."""
+        bare = Tag.number(tag, op, value, None)
+        return Tag.number(tag, op, value, unit) | (bare & Tag.text("unit", unit))
+
+    @staticmethod
+    def instant(tag: str, op: str, epoch_s: float, zone: str | None = None) -> Tag:
+        """A time by its instant (kind datetime: `num` in seconds, `unit` the stored zone); == also wants the zone where one is stored."""
+        compare = {"==": "__eq__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}[op]
+        same = F.col("unit").isNull() | (F.col("unit") == zone) if op == "==" and zone else F.lit(True)
+        return Tag(lambda t: (F.col("p") == tag) & (F.col("o_kind") == "datetime") & getattr(F.col("num"), compare)(epoch_s) & same)
+
     @staticmethod
     def number(tag: str, op: str, value: float, unit: str | None = None) -> Tag:
         """Comparison of numbers with the identical unit; nothing is converted."""
@@ -260,9 +337,31 @@ class Tag:
         flags = [p._flag(names) for p in self.parts]
         return ~flags[0] if self.test == "not" else flags[0] & flags[1] if self.test == "and" else flags[0] | flags[1]
 
+    def _holds(self, leaf: bool) -> bool:
+        """What the filter says where every leaf is `leaf`."""
+        if callable(self.test):
+            return leaf
+        parts = [p._holds(leaf) for p in self.parts]
+        return not parts[0] if self.test == "not" else all(parts) if self.test == "and" else any(parts)
+
+    def _only(self, op: str) -> bool:
+        return callable(self.test) or (self.test == op and all(p._only(op) for p in self.parts))
+
     def match(self, triples: DataFrame) -> DataFrame:
-        """Subjects that satisfy the filter: one aggregate over the triples for all leaves."""
+        """Subjects that satisfy the filter.
+
+        Where a subject without any fact can't match, only triples that some leaf is about are read: the leaves,
+        joined by or, reach the file scan. A filter of nothing but `or` then needs no flags; others take one
+        aggregate over the triples for all leaves. A filter that holds for subjects without facts (a negation) reads all.
+        """
         leaves = self._leaves()
+        if not self._holds(False):
+            about = leaves[0].test(None)
+            for leaf in leaves[1:]:
+                about = about | leaf.test(None)
+            triples = triples.where(about)
+            if self._only("or"):
+                return triples.select("s").distinct()
         names = {id(leaf): f"f{i}" for i, leaf in enumerate(leaves)}
         flags = [F.bool_or(F.coalesce(leaf.test(None), F.lit(False))).alias(names[id(leaf)]) for leaf in leaves]
         return triples.groupBy("s").agg(*flags).where(self._flag(names)).select("s")
