@@ -71,15 +71,22 @@ def degradation(rows: DataFrame, model: dict[str, float], unit: str = "month") -
     return judged.rollup("bucket").agg(F.count("*").alias("n"), gap.alias("gap_pct"))
 
 
-def feeds(upper: DataFrame, lower: DataFrame, least_r: float = 0.8, least_n: int = 24, margin: float = 0.1) -> DataFrame:
-    """Best upper series for each lower one by Pearson r on common buckets (id, b, v), with a margin over the next."""
+def feeds(upper: DataFrame, lower: DataFrame, least_r: float = 0.8, least_n: int = 24, margin: float = 0.1, within: str = "site") -> DataFrame:
+    """Best upper series for each lower one of its site by Pearson r on common buckets (id, site, b, v), with a margin over the next.
+
+    Only series of one `within` meet, and first their buckets are counted without values: pairs that share too few never
+    bring their values together. r comes from sums, which combine in the map tasks.
+    """
     from pyspark.sql.window import Window
 
-    pairs = upper.select(F.col("id").alias("u"), "b", F.col("v").alias("uv")).join(lower.select(F.col("id").alias("l"), "b", F.col("v").alias("lv")), "b")
+    keys = [within, "b"]
+    common = upper.select(F.col("id").alias("u"), *keys).join(lower.select(F.col("id").alias("l"), *keys), keys).groupBy("u", "l").agg(F.count("*").alias("n")).where(F.col("n") >= least_n)
+    pairs = upper.select(F.col("id").alias("u"), *keys, F.col("v").alias("uv")).join(lower.select(F.col("id").alias("l"), *keys, F.col("v").alias("lv")), keys)
+    pairs = pairs.join(common.select("u", "l"), ["u", "l"], "left_semi")
     stats = pairs.groupBy("u", "l").agg(
         F.count("*").alias("n"), F.when((F.stddev_pop("uv") > 0) & (F.stddev_pop("lv") > 0), F.corr("uv", "lv")).alias("r")
     )
-    stats = stats.where((F.col("n") >= least_n) & F.col("r").isNotNull())
+    stats = stats.where(F.col("r").isNotNull())
     w = Window.partitionBy("l").orderBy(F.desc(F.round("r", 9)), "u")
     ranked = stats.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("r").over(w))
     return ranked.where((F.col("rn") == 1) & (F.col("r") >= least_r) & (F.col("r") - F.coalesce("next", F.lit(-1.0)) >= margin)).select("l", "u", "r", "n")

@@ -280,7 +280,7 @@ def applicable(requirements: DataFrame, subjects: DataFrame, family: DataFrame,
     Requirements are (row, verified_by, blanks, phases, space_types, classes), subjects
     (subject, space_type, class). A row without phases holds in all of them; classes count with those under them.
     """
-    active = requirements.where("verified_by is not null and blanks = 0 and (size(phases) = 0 or array_contains(phases, '" + phase + "'))")
+    active = requirements.where("verified_by is not null and blanks = 0").where((F.size("phases") == 0) | F.array_contains("phases", F.lit(phase)))
     spaces = active.select("row", F.explode("space_types").alias("space_type")).join(subjects, "space_type").select("subject", "row")
     known = subjects.where("class is not null").select("subject", F.lower("class").alias("class")).join(family, "class", "left").select("subject", F.coalesce("ancestor", "class").alias("want"))
     kinds = active.select("row", F.explode("classes").alias("want")).select("row", F.lower("want").alias("want")).join(known, "want").select("subject", "row")

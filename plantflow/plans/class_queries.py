@@ -110,11 +110,11 @@ def records_only(spark, sf_dir):
     return graph.records_only(p.select(s.alias("s")), p.where("p_partkey % 7 = 0").select(urn("part", "p_partkey").alias("s")))
 
 
-@register("near_misses", "SELECT n_name AS name, round(1 - levenshtein('jordon', lower(n_name)) / greatest(6, length(n_name)), 6) AS alike FROM nation WHERE 1 - levenshtein('jordon', lower(n_name)) / greatest(6, length(n_name)) >= 0.5 ORDER BY alike DESC, name LIMIT 3")
+@register("near_misses", "SELECT n_name AS name, round(1 - levenshtein('nation_1', lower(n_name)) / greatest(8, length(n_name)), 6) AS alike FROM nation WHERE 1 - levenshtein('nation_1', lower(n_name)) / greatest(8, length(n_name)) >= 0.75 ORDER BY alike DESC, name LIMIT 3")
 def near_misses(spark, sf_dir):
     """What a filter that matched nothing may have meant."""
     names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    return graph.near_misses("Jordon", names, 0.5).select("name", r6("alike"))
+    return graph.near_misses("Nation_1", names).select("name", r6("alike"))
 
 
 @register("read_first", f"WITH {H} SELECT point_uri FROM h WHERE unit = '°F' ORDER BY point_uri LIMIT 1")

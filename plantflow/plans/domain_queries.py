@@ -314,17 +314,25 @@ def degradation(spark, sf_dir):
 
 @register(
     "feeds",
-    """WITH b AS (SELECT event_type, user_id % 4 AS g, epoch_us(ts) // 7200000000 AS b, avg(value) AS v FROM events GROUP BY ALL),
-    p AS (SELECT u.event_type || u.g AS u, l.event_type || l.g AS l, u.v AS uv, l.v AS lv FROM b u JOIN b l USING (b) WHERE u.event_type = 'click' AND l.event_type = 'view'),
-    s AS (SELECT u, l, count(*) AS n, CASE WHEN stddev_pop(uv) > 0 AND stddev_pop(lv) > 0 THEN corr(uv, lv) END AS r FROM p GROUP BY 1, 2 HAVING count(*) >= 24),
+    """WITH b AS (SELECT event_type, user_id % 8 AS g, epoch_us(ts) // 7200000000 AS b, avg(value) AS v FROM events GROUP BY ALL),
+    u AS (SELECT 'ahu' || g AS u, g % 2 AS site, b, v FROM b WHERE event_type = 'click'),
+    l AS (SELECT 'vav' || x.g || '-' || k AS l, x.g % 2 AS site, b, x.v + k * 0.3::DOUBLE * coalesce(y.v, 0) AS v FROM b x LEFT JOIN (SELECT g, b, v FROM b WHERE event_type = 'view') y USING (g, b), (SELECT unnest([0, 1, 4]) AS k) WHERE x.event_type = 'click'),
+    s AS (SELECT u, l, count(*) AS n, CASE WHEN stddev_pop(u.v) > 0 AND stddev_pop(l.v) > 0 THEN corr(u.v, l.v) END AS r FROM u JOIN l USING (site, b) GROUP BY 1, 2 HAVING count(*) >= 24),
     k AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY round(r, 9) DESC, u) AS rn, lead(r) OVER (PARTITION BY l ORDER BY round(r, 9) DESC, u) AS nx FROM s WHERE r IS NOT NULL)
-    SELECT l, u, round(r, 6) AS r, n FROM k WHERE rn = 1 AND r >= -1 AND r - coalesce(nx, -1) >= 0.001""",
+    SELECT l, u, round(r, 6) AS r, n FROM k WHERE rn = 1 AND r >= 0.8::DOUBLE AND r - coalesce(nx, -1) >= 0.1::DOUBLE""",
 )
 def feeds(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    """Terminal units that follow their air handler more or less closely; the least close don't pass."""
+    e = table(spark, sf_dir, "events").withColumn("g", F.col("user_id") % 8)
     b = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(7200000000))
-    series = lambda kind: e.where(F.col("event_type") == kind).groupBy(F.concat("event_type", (F.col("user_id") % 4).cast("string")).alias("id"), b.alias("b")).agg(F.avg("value").alias("v"))
-    return performance.feeds(series("click"), series("view"), -1.0, 24, 0.001).select("l", "u", r6("r"), "n")
+    mean = lambda kind: e.where(F.col("event_type") == kind).groupBy("g", b.alias("b")).agg(F.avg("value").alias("v"))
+    site = (F.col("g") % 2).alias("site")
+    upper = mean("click").select(F.concat(F.lit("ahu"), F.col("g").cast("string")).alias("id"), site, "b", "v")
+    own = mean("view").withColumnRenamed("v", "own")
+    follow = mean("click").join(own, ["g", "b"], "left").withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 4)))))
+    name = F.concat(F.lit("vav"), F.col("g").cast("string"), F.lit("-"), F.col("k").cast("string"))
+    lower = follow.select(name.alias("id"), site, "b", (F.col("v") + F.col("k") * 0.3 * F.coalesce("own", F.lit(0.0))).alias("v"))
+    return performance.feeds(upper, lower).select("l", "u", r6("r"), "n")
 
 
 @register(
