@@ -15,6 +15,33 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(spaced), F.lit(r"([a-z]+)"), 1), lambda w: F.length(w) > 0)
 
 
+def evidence_tokens(label: Column, markers: Column, unit: Column, boolean: Column) -> Column:
+    """Features of a point's evidence: words of the label's last part and their first three letters (so that TEM meets Temp), words of the
+    part before, markers, the unit and the kind of value. Parts are split at slashes, words at case changes; digits and single letters are dropped."""
+    words = lambda text: F.transform(
+        F.filter(F.regexp_extract_all(text, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+)"), 1), lambda w: F.length(w) > 1), F.lower
+    )
+    parts = F.split(F.rtrim(label, F.lit("/")), "/")
+    equip = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
+    tag = lambda kind, list_: F.transform(list_, lambda w: F.concat(F.lit(kind), w))
+    leaf = words(F.element_at(parts, -1))
+    heads = F.transform(leaf, lambda w: F.substring(w, 1, 3))
+    single = lambda kind, value: F.when(value.isNotNull(), F.array(F.concat(F.lit(kind), value))).otherwise(F.array().cast("array<string>"))
+    kind = F.when(boolean.isNotNull(), F.when(boolean, "bool").otherwise("analog"))
+    return F.concat(tag("w:", leaf), tag("p:", heads), tag("e:", words(equip)), tag("m:", F.coalesce(markers, F.array().cast("array<string>"))), single("u:", unit), single("v:", kind))
+
+
+def ranked_groups(rows: DataFrame, needed: DataFrame, under: DataFrame) -> DataFrame:
+    """(pattern, tier, count, escalated) of held proposals (pattern, entity, status): tier 1 where some entity of the group is needed by a check, 2 where one is under commissioning, else 3.
+
+    `needed` and `under` are (entity). Ranked by tier, then size, then pattern.
+    """
+    marks = rows.join(needed.select("entity", F.lit(True).alias("need")).distinct(), "entity", "left").join(under.select("entity", F.lit(True).alias("cx")).distinct(), "entity", "left")
+    tier = F.min(F.when(F.col("need"), 1).when(F.col("cx"), 2).otherwise(3))
+    groups = marks.groupBy("pattern").agg(tier.alias("tier"), F.count("*").alias("count"), F.count_if(F.col("status") == "escalated").alias("escalated"))
+    return groups.orderBy("tier", F.desc("count"), "pattern")
+
+
 def best_rule(entities: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, class, direct) of entities (id, tags): most specific rule (ord, class, tags) whose tags all occur, else the largest overlap.
 

@@ -367,6 +367,19 @@ class Tag:
         return triples.groupBy("s").agg(*flags).where(self._flag(names)).select("s")
 
 
+def nested_inventory(equips: DataFrame, points: DataFrame) -> DataFrame:
+    """(equip, dis, classes, tags, points) of every piece of equipment: its facts folded, its points nested in order of their ids.
+
+    `equips` is (equip, field, value) with the fields dis, class and tag; `points` (equip, point, class, tags).
+    """
+    of = lambda field: F.when(F.col("field") == field, F.col("value"))
+    own = equips.groupBy("equip").agg(F.min(of("dis")).alias("dis"), F.array_sort(F.collect_set(of("class"))).alias("classes"), F.array_sort(F.collect_set(of("tag"))).alias("tags"))
+    below = points.groupBy("equip").agg(F.array_sort(F.collect_set(F.struct("point", "class", F.array_sort("tags").alias("tags")))).alias("points"))
+    rows = own.join(below, "equip", "left")
+    none = F.array().cast(dict(below.dtypes)["points"])
+    return rows.select("equip", F.coalesce("dis", F.replace(F.col("equip"), F.lit("urn:equip:"), F.lit(""))).alias("dis"), "classes", "tags", F.coalesce("points", none).alias("points"))
+
+
 def described(points: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame:
     """(point, dis, unit, kind, class, equip) of `points` (point).
 

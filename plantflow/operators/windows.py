@@ -49,6 +49,24 @@ def availability(samples: DataFrame, key: str, start: str, end: str, gap_s: floa
     return sums.select(key, F.round(100 * F.least("c", total) / total, 2).alias("pct"))
 
 
+def acceptance(samples: DataFrame, points: DataFrame, key: str, start: str, end: str, settle_s: int, gap_s: float, least_pct: float) -> DataFrame:
+    """(key, samples, expected, pct, passed) of every point over an acceptance run, judged from `settle_s` after its start.
+
+    Expected is what a point reporting every `gap_s` sends in that time; a point without samples has none and 0 %.
+    """
+    from datetime import datetime, timedelta
+
+    first = datetime.fromisoformat(start) + timedelta(seconds=settle_s)
+    span = max((datetime.fromisoformat(end) - first).total_seconds(), 0.0)
+    inside = samples.where((F.col("ts") >= F.lit(first)) & (F.col("ts") < F.lit(datetime.fromisoformat(end))))
+    counts = inside.groupBy(key).agg(F.count("*").alias("samples"))
+    rows = points.select(key).distinct().join(counts, key, "left")
+    rows = rows.join(availability(samples, key, first.isoformat(" "), end, gap_s), key, "left") if span else rows.withColumn("pct", F.lit(0.0))
+    pct = F.coalesce("pct", F.lit(0.0))
+    expected = -(-span // gap_s) if gap_s > 0 else 0
+    return rows.select(key, F.coalesce("samples", F.lit(0)).alias("samples"), F.lit(int(expected)).cast("long").alias("expected"), pct.alias("pct"), (pct + 1e-9 >= least_pct).alias("passed"))
+
+
 def is_running(number: str = "value", text: str = "value_text", boolean: str = "value_bool") -> Column:
     return F.coalesce(F.col(boolean), F.col(number) > 0.5, F.lower(F.col(text)).isin(*RUN_WORDS), F.lit(False))
 

@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the query modules, which register themselves."""
-    from plantflow.plans import asset_queries, class_queries, domain_queries, evidence_queries, extra_queries, filter_queries, history_queries, loop_queries, more_queries, path_queries, procedure_queries, role_queries, series_queries, stream_queries  # noqa: F401
+    from plantflow.plans import asset_queries, class_queries, detail_queries, domain_queries, evidence_queries, extra_queries, filter_queries, history_queries, loop_queries, more_queries, path_queries, procedure_queries, role_queries, series_queries, stream_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,33 @@ def expand_batch(messages: DataFrame) -> DataFrame:
     return rows.where(valid).select(F.concat(F.lit("urn:point:"), "prefix", F.lit("/"), "label").alias("point_uri"), "ts", "value")
 
 
+def expand_list(messages: DataFrame) -> DataFrame:
+    """Readings of batched envelopes whose points are a list: (prefix, ts, points array of (point, value, ts, quality)).
+
+    A point's own time goes before the envelope's; items without a valid label are dropped, tags don't ride a batch.
+    """
+    rows = messages.select("prefix", F.col("ts").alias("sent"), F.inline("points"))
+    valid = F.col("point").rlike(r"^[^/\s]+$") & ~F.col("point").endswith("/tags")
+    named = F.concat(F.lit("urn:point:"), "prefix", F.lit("/"), "point")
+    return rows.where(valid).select(named.alias("point_uri"), F.coalesce("ts", "sent").alias("ts"), "value", "quality")
+
+
+def overlay(described: DataFrame, labels: DataFrame) -> DataFrame:
+    """Descriptions (point_uri, dis, dis_from_tag, unit) with the unit and label of the history (point_uri, unit, label) where the graph lacks them."""
+    known = labels.select("point_uri", F.col("unit").alias("__unit"), F.nullif(F.col("label"), F.lit("")).alias("__label"))
+    rows = described.join(known, "point_uri", "left")
+    dis = F.when(F.col("dis_from_tag") | F.col("__label").isNull(), F.col("dis")).otherwise(F.col("__label"))
+    return rows.select("point_uri", dis.alias("dis"), F.coalesce(F.nullif(F.col("unit"), F.lit("")), "__unit").alias("unit"))
+
+
+def read_one(matched: DataFrame, column: str = "point_uri") -> DataFrame:
+    """The first of what a filter matched, in the order of ids; an error where it matched nothing."""
+    first = matched.orderBy(column).limit(1)
+    if first.isEmpty():
+        raise LookupError("the filter matches nothing")
+    return first
+
+
 def export_history(history: DataFrame, path: str) -> None:
     """Parquet by point and UTC month, sorted by time inside each file."""
     rows = history.withColumn("point", F.col("point_uri")).withColumn("month", F.date_format("ts", "yyyy-MM"))
