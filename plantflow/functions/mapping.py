@@ -67,12 +67,17 @@ def tfidf(examples: DataFrame) -> DataFrame:
 
 
 def nearest(queries: DataFrame, examples: DataFrame, k: int, least: float, on: tuple[str, ...] = ("token",)) -> DataFrame:
-    """(q, id, sim): the k most similar examples of each query by shared weighted tokens.
+    """(q, id, sim): the k most similar examples of each query by shared weighted tokens, at least `least` similar.
 
-    More columns in `on`, such as a site, limit the examples to those that share them.
+    Weights are of length one by id, so tokens of a query whose weights are together below `least` can't make an
+    example similar enough: only the heavier ones look for candidates. Common tokens are light and so pair nobody;
+    candidates are then compared over all tokens. More columns in `on`, such as a site, limit the examples to those that share them.
     """
     a, b = queries.select(F.col("id").alias("q"), *on, F.col("w").alias("qw")), examples.select("id", *on, "w")
-    sims = a.join(b, list(on)).where(F.col("q") != F.col("id")).groupBy("q", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("sim"))
+    rest = F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("q").orderBy("qw", "token").rowsBetween(Window.unboundedPreceding, 0))
+    probes = a.withColumn("rest", rest).where(F.sqrt("rest") >= least - 1e-9).drop("rest")
+    pairs = probes.join(b.select("id", *on), list(on)).where(F.col("q") != F.col("id")).select("q", "id").distinct()
+    sims = pairs.join(a, "q").join(b, ["id", *on]).groupBy("q", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("sim"))
     w = Window.partitionBy("q").orderBy(F.desc(F.round("sim", 9)), "id")
     return sims.where(F.col("sim") >= least).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plantflow.functions import scalars
+from plantflow.functions import mapping, scalars
 from plantflow.operators import derive, lifecycle, performance, quality, rollup, rules, timejoin, windows
 from plantflow.sources import history as hs
 from plantflow.streaming import faults
@@ -193,3 +193,22 @@ def test_interpolation_is_linear_in_the_series(spark):
     total = rollup.interpolate(rows).agg(F.count("value"), F.sum("value")).first()
     assert total[0] == 7 * ((n - 1) // 7) + 1 and total[1] == pytest.approx(sum(range(7 * ((n - 1) // 7) + 1)))
     assert time.perf_counter() - began < 30
+
+
+def test_neighbours_by_heavy_tokens_lose_none(spark):
+    """Against all pairs, over tokens from very common to unique."""
+    r = np.random.default_rng(8)
+    vectors = {}
+    for i in range(120):
+        tokens = {f"c{x}" for x in range(4)} | {f"m{x}" for x in r.integers(0, 12, 3)} | ({f"r{x}" for x in r.integers(0, 60, 2)} if i % 3 else set())
+        raw = {t: {"c": 0.3, "m": 1.0, "r": 2.5}[t[0]] * (1 + r.random() * 0.1) for t in tokens}
+        norm = sum(v * v for v in raw.values()) ** 0.5
+        vectors[i] = {t: v / norm for t, v in raw.items()}
+    weights = spark.createDataFrame([(i, t, float(w)) for i, v in vectors.items() for t, w in v.items()], "id long, token string, w double")
+    for least in (0.3, 0.6, 0.95):
+        dot = {(q, i): sum(w * vectors[i].get(t, 0) for t, w in vectors[q].items()) for q in range(0, 120, 10) for i in vectors if i != q}
+        want = {q: [i for _, i in sorted((-round(s, 9), i) for (p, i), s in dot.items() if p == q and s >= least)[:5]] for q in range(0, 120, 10)}
+        got = {}
+        for x in sorted(mapping.nearest(weights.where("id % 10 = 0"), weights, 5, least).collect(), key=lambda x: (x.q, -round(x.sim, 9), x.id)):
+            got.setdefault(x.q, []).append(x.id)
+        assert got == {q: ids for q, ids in want.items() if ids}, least
