@@ -160,3 +160,39 @@ def pull_resumed(spark, sf_dir):
     pulls.pull(target, "events", read, datetime(2024, 1, 12), backfill_s=7 * 86_400, window_s=5 * 86_400)
     pulls.pull(target, "events", read, datetime(2024, 1, 25), window_s=14 * 86_400)
     return target.snapshot().select("point_uri", "ts", "value")
+
+
+@register(
+    "live_tags",
+    f"""WITH {H}, v AS (SELECT DISTINCT ON (point_uri) point_uri, value FROM h WHERE value IS NOT NULL OR value_text IS NOT NULL OR value_bool IS NOT NULL ORDER BY point_uri, ts DESC),
+    l AS (SELECT DISTINCT ON (point_uri) point_uri, unit FROM h WHERE unit IS NOT NULL OR label IS NOT NULL ORDER BY point_uri, ts DESC)
+    SELECT point_uri AS s FROM v LEFT JOIN l USING (point_uri) WHERE (point_uri LIKE '%view' AND value > 50 AND unit = '°F') OR (point_uri LIKE '%signup' AND NOT coalesce(value > 20 AND unit IS NULL, false))""",
+)
+def live_tags(spark, sf_dir):
+    """(view and curVal > 50°F and curStatus == "ok") or (signup and his and not curVal > 20): live and graph tags in one filter."""
+    h = history(spark, sf_dir)
+    kind = F.regexp_extract("point_uri", "([^/]*)$", 1)
+    none = F.lit(None)
+    graph_tags = h.select("point_uri").distinct().select(F.col("point_uri").alias("s"), kind.alias("p"), F.lit("marker").alias("o_kind"), none.cast("string").alias("o"), none.cast("double").alias("num"), none.cast("string").alias("unit"))
+    tag = graph.Tag
+    wanted = (tag.has("view") & tag.number("curVal", ">", 50, "°F") & tag.text("curStatus", "ok")) | (tag.has("signup") & tag.has("his") & ~tag.number("curVal", ">", 20))
+    return wanted.match(graph_tags.unionByName(hs.live_facts(h)))
+
+
+@register(
+    "export_check",
+    """WITH c AS (SELECT event_type AS p, strftime(ts, '%Y-%m') AS m, count(*) AS n FROM (SELECT DISTINCT ON (event_type, ts) event_type, ts FROM events) GROUP BY 1, 2)
+    SELECT p AS point_uri, m AS month, CASE p WHEN 'click' THEN 'rows differ' WHEN 'error' THEN 'not listed' END AS error FROM c WHERE p IN ('click', 'error')
+    UNION ALL SELECT 'gone', '2024-01', 'missing' UNION ALL SELECT DISTINCT p, NULL, 'totals differ' FROM c WHERE p IN ('click', 'error') UNION ALL SELECT 'gone', NULL, 'totals differ'""",
+)
+def export_check(spark, sf_dir):
+    """An export against lists that were tampered with: rows of one point, one left out, one that isn't there."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("point_uri"), "ts").agg(F.max("value").alias("value"))
+    path = f"{_scratch(spark)}/export"
+    hs.export_history(e, path)
+    counts = e.groupBy("point_uri", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("rows"))
+    wrong = F.when(F.col("point_uri") == "click", F.col("rows") + 1).otherwise(F.col("rows"))
+    gone = spark.createDataFrame([("gone", "2024-01", 1)], "point_uri string, month string, rows long")
+    listed = counts.where("point_uri <> 'error'").withColumn("rows", wrong).unionByName(gone)
+    totals = counts.groupBy("point_uri").agg(F.sum("rows").alias("rows"), F.count("*").alias("files"))
+    return hs.check_export(hs.export_files(spark, path), listed, totals, "point_uri string,ts timestamp[us],value double")

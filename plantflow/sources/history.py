@@ -155,6 +155,59 @@ def export_history(history: DataFrame, path: str) -> None:
     dealt.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).partitionBy("point", "month").parquet(path)
 
 
+def export_files(spark, path: str) -> DataFrame:
+    """(point_uri, month, path, rows, fields) of every file of an export; fields are its schema as names and types.
+
+    Rows are counted by Spark. Schemas are read from the files themselves, since a scan would bring all to one.
+    """
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def footers(batches):
+        for batch in batches:
+            fields = [",".join(f"{f.name} {f.type}" for f in pq.read_schema(pa.BufferReader(x.as_py()))) for x in batch["content"]]
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(fields, pa.string())], ["path", "fields"])
+
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    schemas = stored.select("path", "content").mapInArrow(footers, "path string, fields string")
+    rows = spark.read.parquet(path).select(F.col("point").alias("point_uri"), F.col("month").cast("string").alias("month"), F.col("_metadata.file_path").alias("path"))
+    counts = rows.groupBy("point_uri", "month", "path").agg(F.count("*").alias("rows"))
+    # The two sources write a path with more or less percent-encoding.
+    plain = F.regexp_replace(F.coalesce(F.try_url_decode(F.coalesce(F.try_url_decode("path"), "path")), "path"), "^file:/+", "file:/")
+    both = counts.withColumn("plain", plain).join(schemas.select(plain.alias("plain"), "fields"), "plain")
+    return both.select("point_uri", "month", "path", "rows", "fields")
+
+
+def check_export(files: DataFrame, listed: DataFrame, totals: DataFrame, fields: str) -> DataFrame:
+    """(point_uri, month, error) of an export whose files (`export_files`) don't agree with its lists or the schema `fields`.
+
+    `listed` is (point_uri, month, rows), `totals` (point_uri, rows, files). Errors of a point's total have no month.
+    """
+    found = files.groupBy("point_uri", "month").agg(F.count("*").alias("files"), F.sum("rows").alias("n"), F.bool_and(F.col("fields") == fields).alias("same"))
+    both = found.join(listed.select("point_uri", "month", F.col("rows").alias("want")), ["point_uri", "month"], "full_outer")
+    error = (
+        F.when(F.col("n").isNull(), "missing").when(F.col("want").isNull(), "not listed").when(F.col("files") > 1, "more than one file")
+        .when(~F.col("same"), "schema differs").when(F.col("n") != F.col("want"), "rows differ")
+    )
+    months = both.select("point_uri", "month", error.alias("error")).where("error is not null")
+    sums = listed.groupBy("point_uri").agg(F.sum("rows").alias("n"), F.count("*").alias("f")).join(totals, "point_uri", "full_outer")
+    wrong = sums.where(~(F.col("n").eqNullSafe(F.col("rows")) & F.col("f").eqNullSafe(F.col("files"))))
+    return months.unionByName(wrong.select("point_uri", F.lit(None).cast("string").alias("month"), F.lit("totals differ").alias("error")))
+
+
+def live_facts(history: DataFrame) -> DataFrame:
+    """Live tags of every point with history, as triples (s, p, o_kind, o, num, unit): his, curStatus and curVal in the unit that the history named last."""
+    newest = latest(history, with_value=True).select("point_uri", *VALUES).join(point_labels(history).select("point_uri", "unit"), "point_uri", "left")
+    none = F.lit(None)
+    fact = lambda p, kind, o=none, num=none, unit=none: F.struct(F.lit(p).alias("p"), kind.alias("o_kind"), o.cast("string").alias("o"), num.cast("double").alias("num"), unit.cast("string").alias("unit"))
+    boolean, number = F.col("value_bool").isNotNull(), F.col("value").isNotNull()
+    kind = F.when(boolean, "bool").when(number, "num").otherwise("str")
+    text = F.when(boolean, F.col("value_bool").cast("string")).when(~number, F.col("value_text"))
+    value = fact("curVal", kind, text, F.when(~boolean, F.col("value")), F.when(~boolean & number, F.col("unit")))
+    facts = F.array(fact("his", F.lit("marker")), fact("curStatus", F.lit("str"), F.lit("ok")), value)
+    return newest.select(F.col("point_uri").alias("s"), F.inline(facts))
+
+
 def month_counts(history: DataFrame) -> DataFrame:
     return history.groupBy("point_uri", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
 

@@ -2,7 +2,7 @@
 
 import json
 
-from plantflow.sources import readers
+from plantflow.sources import history, readers
 
 
 def test_readings_json_types(spark, tmp_path):
@@ -73,3 +73,21 @@ def test_manifest_of_changed_export(spark, tmp_path):
     (tmp_path / "d.bin").write_bytes(b"d")
     errors = {r.path.rsplit("/", 1)[1]: r.error for r in hs.check_manifest(listed, hs.manifest(spark, str(tmp_path))).collect()}
     assert errors == {"a.bin": "sha256 differs", "b.bin": "missing", "d.bin": "not listed"}
+
+
+def test_export_is_one_file_a_point_and_month_and_is_checked(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(p, datetime(2024, m, d), float(d)) for p in ("urn:point:a/x", "b") for m in (1, 2) for d in range(1, 9)]
+    path = str(tmp_path / "out")
+    history.export_history(spark.createDataFrame(rows, "point_uri string, ts timestamp_ntz, value double"), path)
+    files = history.export_files(spark, path)
+    counts = files.select("point_uri", "month", "rows")
+    assert sorted(map(tuple, counts.collect())) == [(p, m, 8) for p in ("b", "urn:point:a/x") for m in ("2024-01", "2024-02")]
+    totals = spark.createDataFrame([("b", 16, 2), ("urn:point:a/x", 16, 2)], "point_uri string, rows long, files long")
+    fields = files.first().fields
+    assert fields.startswith("point_uri string,ts timestamp") and history.check_export(files, counts, totals, fields).count() == 0
+    assert {r.error for r in history.check_export(files, counts, totals, "other").collect()} == {"schema differs"}
+    spark.createDataFrame([("b", datetime(2024, 1, 20), 1.0)], "point_uri string, ts timestamp_ntz, value double").write.mode("append").parquet(f"{path}/point=b/month=2024-01")
+    got = [tuple(r) for r in history.check_export(history.export_files(spark, path), counts, totals, fields).collect()]
+    assert got == [("b", "2024-01", "more than one file")]
