@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plantflow.operators.timejoin import micros
 from plantflow.sources.history import HAS_VALUE
@@ -106,6 +107,50 @@ def compliance(samples: DataFrame, key: str, lo: float, hi: float, coverage: Dat
     return stats.join(coverage, key, "left").select(key, "n_bad", "worst", status.alias("status"))
 
 
+def space_compliance(requirements: DataFrame, spaces: DataFrame, points: DataFrame, family: DataFrame, samples: DataFrame, now: Column, gap_s: float = 900) -> tuple[DataFrame, DataFrame]:
+    """(per space and requirement, per point) judgements of the requirements that apply to each space.
+
+    `requirements` is (row, space_type, point_class, op, lo, hi, hours, coverage): the operator of `scalars.meets` with its limit in `lo` (both
+    for between), over the last `hours`, reported for at least the share `coverage`; without an operator or a class nothing can be judged.
+    `spaces` is (space, space_type), `points` (space, point, class), `family` (class, ancestor), `samples` (point, ts, value).
+
+    A point fails on any sample that breaks the criterion, else it is inconclusive when covered too little; its worst sample is the one
+    farthest from the limit, or from the middle of two. A space fails with any of its points, and is inconclusive without one.
+    """
+    from plantflow.functions.scalars import meets
+
+    work = requirements.join(spaces, "space_type").drop("space_type")
+    kinds = points.join(family, "class").select("space", "point", F.col("ancestor").alias("point_class")).unionByName(points.select("space", "point", F.col("class").alias("point_class"))).distinct()
+    judged = work.where("op is not null and point_class is not null").join(kinds, ["space", "point_class"])
+    keys = ["space", "row", "point"]
+    end = micros(now)
+    start = end - (F.col("hours") * 3_600_000_000).cast("long")
+    rows = judged.join(samples.where("value is not null"), "point").withColumns({"t": micros(F.col("ts")), "start": start}).where((F.col("t") >= F.col("start")) & (F.col("t") <= end))
+    gap = F.lit(int(gap_s * 1e6))
+    following = F.lead("t").over(Window.partitionBy(*keys).orderBy("t"))
+    ok = None
+    for op in ("between", ">=", "<=", ">", "<", "=="):
+        one = F.when(F.col("op") == op, meets(F.col("value"), op, F.col("lo"), F.col("hi")))
+        ok = one if ok is None else F.coalesce(ok, one)
+    target = F.when(F.col("op") == "between", (F.col("lo") + F.col("hi")) / 2).otherwise(F.col("lo"))
+    rows = rows.withColumns({"cover": F.least(F.coalesce(following, end) - F.col("t"), gap), "bad": ~ok, "far": F.abs(F.col("value") - target)})
+    bad = lambda column: F.when(F.col("bad"), column)
+    stats = rows.groupBy(*keys).agg(
+        F.count("*").alias("samples"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_if("bad").alias("exceedances"), F.min(bad(F.col("ts"))).alias("first"), F.max(bad(F.col("ts"))).alias("last"),
+        F.min_by("value", bad(F.struct(-F.col("far"), F.col("ts")))).alias("worst"), (F.sum("cover") + F.least(F.min("t") - F.min("start"), gap)).alias("covered"),
+    )
+    each = judged.select(*keys, "hours", "coverage").join(stats, keys, "left")
+    total = (F.col("hours") * 3_600_000_000).cast("long")
+    pct = F.round(100 * F.least(F.coalesce("covered", F.lit(0)), total) / total, 2)
+    status = F.when(F.col("exceedances") > 0, "fail").when(pct < 100.0 * F.col("coverage"), "inconclusive").otherwise("pass")
+    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("samples", "exceedances")]
+    each = each.select(*keys, *counted, pct.alias("coverage_pct"), "low", "high", "first", "last", "worst", status.alias("status"))
+    worst_of = F.when(F.bool_or(F.col("status") == "fail"), "fail").when(F.bool_or(F.col("status") == "inconclusive"), "inconclusive").otherwise("pass")
+    folded = each.groupBy("space", "row").agg(worst_of.alias("status"), F.count("*").alias("points"))
+    whole = work.select("space", "row").join(folded, ["space", "row"], "left")
+    return whole.select("space", "row", F.coalesce("status", F.lit("inconclusive")).alias("status"), F.coalesce("points", F.lit(0)).alias("points")), each
+
+
 def gate(results: DataFrame, waivers: DataFrame, phase: str = "phase") -> DataFrame:
     """A phase passes when every failed item is waived."""
     failed = results.where("status = 'fail'").join(waivers, "item", "left_anti").groupBy(phase).agg(F.count("*").alias("open"))

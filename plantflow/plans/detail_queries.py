@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantflow.functions import mapping
-from plantflow.operators import derive, graph, windows
+from plantflow.operators import derive, graph, verify, windows
 from plantflow.plans.asset_queries import _drain, _events_stream
 from plantflow.plans.history_queries import H, ntz, r6
 from plantflow.plans.stream_queries import HISTORY, _scratch
@@ -196,3 +196,40 @@ def export_check(spark, sf_dir):
     listed = counts.where("point_uri <> 'error'").withColumn("rows", wrong).unionByName(gone)
     totals = counts.groupBy("point_uri").agg(F.sum("rows").alias("rows"), F.count("*").alias("files"))
     return hs.check_export(hs.export_files(spark, path), listed, totals, "point_uri string,ts timestamp[us],value double")
+
+
+def spaces(spark, sf_dir):
+    """Users as spaces of two types with their event types as points, and five requirement rows."""
+    e = table(spark, sf_dir, "events")
+    point = F.concat_ws("/", F.col("user_id").cast("string"), "event_type")
+    rooms = e.select(F.col("user_id").alias("space"), F.when(F.col("user_id") % 2 == 0, "lab").otherwise("ward").alias("space_type")).distinct()
+    points = e.select(F.col("user_id").alias("space"), point.alias("point"), F.col("event_type").alias("class")).distinct()
+    rows = [("r1", "lab", "view", "between", 1.0, 200.0, 480.0, 0.1), ("r2", "lab", "reading", "<=", 250.0, None, 240.0, 0.05), ("r3", "ward", "click", ">", 0.5, None, 480.0, 0.9),
+            ("r4", "ward", "reading", "<", 150.0, None, 100.0, 0.0), ("r5", "ward", None, ">", 1.0, None, 100.0, 0.0), ("r6", "lab", "nothing", ">", 1.0, None, 100.0, 0.0)]
+    wanted = spark.createDataFrame(rows, "row string, space_type string, point_class string, op string, lo double, hi double, hours double, coverage double")
+    family = spark.createDataFrame([("view", "reading"), ("click", "reading"), ("signup", "reading")], "class string, ancestor string")
+    return wanted, rooms, points, family, e.select(point.alias("point"), "ts", "value"), ntz("2024-01-28")
+
+
+SPACES = """q(r, space_type, cls, op, lo, hi, hours, cov) AS (VALUES ('r1', 'lab', 'view', 'between', 1, 200, 480, 10), ('r2', 'lab', 'reading', '<=', 250, NULL, 240, 5), ('r3', 'ward', 'click', '>', 0.5, NULL, 480, 90), ('r4', 'ward', 'reading', '<', 150, NULL, 100, 0), ('r5', 'ward', NULL, '>', 1, NULL, 100, 0), ('r6', 'lab', 'nothing', '>', 1, NULL, 100, 0)),
+    w AS (SELECT user_id AS space, q.* FROM (SELECT DISTINCT user_id FROM events) JOIN q ON space_type = CASE WHEN user_id % 2 = 0 THEN 'lab' ELSE 'ward' END),
+    p AS (SELECT DISTINCT user_id AS space, event_type AS k, event_type AS cls FROM events UNION SELECT DISTINCT user_id, event_type, 'reading' FROM events WHERE event_type IN ('view', 'click', 'signup')),
+    j AS (SELECT w.*, p.k FROM w JOIN p ON p.space = w.space AND p.cls = w.cls),
+    s AS (SELECT j.space, j.r, j.k, op, lo, hi, value, ts, epoch_us(ts) AS t, epoch_us(TIMESTAMP '2024-01-28') - hours * 3600000000 AS st, least(coalesce(lead(epoch_us(ts)) OVER (PARTITION BY j.space, r, k ORDER BY ts), epoch_us(TIMESTAMP '2024-01-28')) - epoch_us(ts), 21600000000) AS c,
+      NOT CASE op WHEN 'between' THEN value BETWEEN lo AND hi WHEN '<=' THEN value <= lo WHEN '>' THEN value > lo WHEN '<' THEN value < lo END AS bad, abs(value - CASE op WHEN 'between' THEN (lo + hi) / 2 ELSE lo END::DOUBLE) AS far
+      FROM j JOIN events e ON e.user_id = j.space AND e.event_type = j.k AND ts <= '2024-01-28' AND epoch_us(ts) >= epoch_us(TIMESTAMP '2024-01-28') - hours * 3600000000),
+    a AS (SELECT space, r, k, count(*) AS samples, count(*) FILTER (bad) AS exceedances, min(value) AS low, max(value) AS high, min(ts) FILTER (bad) AS first, max(ts) FILTER (bad) AS last, arg_min(value, (-far, ts)) FILTER (bad) AS worst, sum(c) + least(min(t) - min(st), 21600000000) AS covered FROM s GROUP BY 1, 2, 3),
+    e AS (SELECT j.space, j.r AS row, j.space || '/' || j.k AS point, coalesce(samples, 0) AS samples, coalesce(exceedances, 0) AS exceedances, round(100 * least(coalesce(covered, 0), hours * 3600000000) / (hours * 3600000000.0), 2)::DOUBLE AS coverage_pct, low, high, first, last, worst, cov FROM j LEFT JOIN a ON a.space = j.space AND a.r = j.r AND a.k = j.k),
+    g AS (SELECT *, CASE WHEN exceedances > 0 THEN 'fail' WHEN coverage_pct < cov THEN 'inconclusive' ELSE 'pass' END AS status FROM e)"""
+
+
+@register("space_compliance", f"WITH {SPACES} SELECT w.space, w.r AS row, CASE WHEN bool_or(g.status = 'fail') THEN 'fail' WHEN coalesce(bool_or(g.status = 'inconclusive'), true) THEN 'inconclusive' ELSE 'pass' END AS status, count(g.point) AS points FROM w LEFT JOIN g ON g.space = w.space AND g.row = w.r GROUP BY 1, 2")
+def space_compliance(spark, sf_dir):
+    """Each requirement that applies to each space, by all of the space's points of its class."""
+    return verify.space_compliance(*spaces(spark, sf_dir), gap_s=21600)[0]
+
+
+@register("compliance_points", f"WITH {SPACES} SELECT space, row, point, samples, exceedances, coverage_pct, low, high, first, last, worst, status FROM g")
+def compliance_points(spark, sf_dir):
+    """Evidence of each judged point: samples, exceedances with first, last and worst, coverage."""
+    return verify.space_compliance(*spaces(spark, sf_dir), gap_s=21600)[1]
