@@ -48,7 +48,7 @@ FLUSH_WORDS = 400_000
 
 def runs_of(text: bytes) -> Counter:
     """Runs of letters with their counts; a very long text is walked without a list of its runs."""
-    low = text.lower().decode()  # of bytes: only A-Z change
+    low = text.lower().decode(errors="replace")  # of bytes: only A-Z change; what is no UTF-8 is no letter
     if len(low) < LONG_TEXT:
         return Counter(RUN.findall(low))
     return Counter(m.group() for m in RUN.finditer(low))
