@@ -15,11 +15,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(spaced), F.lit(r"([a-z]+)"), 1), lambda w: F.length(w) > 0)
 
 
+# Fixed value: what counts as a word of a label.
+LABEL_WORD = r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+)"
+
+
 def evidence_tokens(label: Column, markers: Column, unit: Column, boolean: Column) -> Column:
     """Features of a point's evidence: words of the label's last part and their first three letters (so that TEM meets Temp), words of the
     part before, markers, the unit and the kind of value. Parts are split at slashes, words at case changes; digits and single letters are dropped."""
     words = lambda text: F.transform(
-        F.filter(F.regexp_extract_all(text, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+)"), 1), lambda w: F.length(w) > 1), F.lower
+        F.filter(F.regexp_extract_all(text, F.lit(LABEL_WORD), 1), lambda w: F.length(w) > 1), F.lower
     )
     parts = F.split(F.rtrim(label, F.lit("/")), "/")
     equip = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))

@@ -117,6 +117,10 @@ def facts(triples: DataFrame, family: DataFrame, class_words: DataFrame, rules:
     return typed.unionByName(shaped).unionByName(structural(links))
 
 
+# Fixed value: what a reference's text looks like.
+REFERENCE = r"^[A-Za-z0-9_:.~/-]+$"
+
+
 def hop(triples: DataFrame, edges: DataFrame, name: str, sites: DataFrame | None = None) -> DataFrame:
     """(a, b): where the reference tag `name` leads, over all its forms.
 
@@ -125,7 +129,7 @@ def hop(triples: DataFrame, edges: DataFrame, name: str, sites: DataFrame | None
     """
     from plantflow.operators import paths
 
-    value = triples.where((F.col("p") == name) & F.col("o").rlike(r"^[A-Za-z0-9_:.~/-]+$"))
+    value = triples.where((F.col("p") == name) & F.col("o").rlike(REFERENCE))
     found = value.select(F.col("s").alias("a"), F.when(F.col("o").startswith("urn:"), F.col("o")).otherwise(F.concat(F.lit("urn:equip:haystack:"), "o")).alias("b"))
     if name == "equipRef":
         linked = edges.where("p = 'isPointOf'").select(F.col("s").alias("a"), F.col("o").alias("b"))
