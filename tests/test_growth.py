@@ -47,3 +47,9 @@ def test_many_equal_texts_are_not_paired(spark):
     near = mapping.nearest(weights.where("id % 50 = 0"), weights, 5, 0.6)
     assert near.agg(F.count("*"), F.max("id")).first()[:] == (8_000, 5)
     assert time.perf_counter() - began < 60
+
+
+def test_equal_texts_by_site(spark):
+    vectors, weights = copies(spark)
+    near = mapping.nearest(weights.where("id % 15 = 0"), weights, 5, 0.6, ("token", "site"))
+    assert found(near) == {q: brute(vectors, q, 5, lambda i, q=q: i % 2 == q % 2) for q in range(0, 120, 15)}
