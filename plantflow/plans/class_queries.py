@@ -213,7 +213,7 @@ def family_completeness(spark, sf_dir):
 @register(
     "responsiveness",
     """WITH b AS (SELECT user_id AS equip, epoch_us(ts) // 86400000000 AS d, avg(value) FILTER (event_type = 'view') AS a, avg(value) FILTER (event_type = 'click') AS m FROM events GROUP BY 1, 2),
-    p AS (SELECT equip, a, m, unnest(['air_flow', 'fan_cmd_status', 'zone_air_temperature']) AS pair FROM b WHERE a IS NOT NULL AND m IS NOT NULL),
+    p AS (SELECT * FROM (SELECT equip, a, m, unnest(['air_flow', 'fan_cmd_status', 'zone_air_temperature']) AS pair FROM b WHERE a IS NOT NULL AND m IS NOT NULL) WHERE pair <> 'air_flow' OR m > 0),
     u AS (SELECT DISTINCT user_id AS equip, unnest(['air_flow', 'fan_cmd_status', 'zone_air_temperature']) AS pair FROM events),
     s AS (SELECT equip, pair, count(a) AS n, avg(CASE pair WHEN 'fan_cmd_status' THEN CAST((a > 0.5) = (m > 0.5) AS INTEGER) WHEN 'air_flow' THEN abs(a - m) / m ELSE abs(a - m) END) AS score FROM u LEFT JOIN p USING (equip, pair) WHERE pair <> 'air_flow' OR equip % 2 = 1 OR TRUE GROUP BY 1, 2)
     SELECT equip, pair, CASE WHEN pair = 'air_flow' AND equip % 2 = 0 THEN 0 ELSE n END AS n, CASE WHEN (pair = 'air_flow' AND equip % 2 = 0) OR n < 3 THEN 'inconclusive' WHEN pair = 'fan_cmd_status' THEN CASE WHEN score >= 0.9 THEN 'pass' ELSE 'fail' END WHEN pair = 'air_flow' THEN CASE WHEN score <= 0.2 THEN 'pass' ELSE 'fail' END WHEN score <= 3 THEN 'pass' ELSE 'fail' END AS status FROM s""",

@@ -53,3 +53,22 @@ def test_equal_texts_by_site(spark):
     vectors, weights = copies(spark)
     near = mapping.nearest(weights.where("id % 15 = 0"), weights, 5, 0.6, ("token", "site"))
     assert found(near) == {q: brute(vectors, q, 5, lambda i, q=q: i % 2 == q % 2) for q in range(0, 120, 15)}
+
+
+def on_events(spark, path, name, rows):
+    """The query and its SQL over these events."""
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{path}/events.parquet")
+    got = registry.queries()[name](spark, str(path)).toArrow()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+    want = con.execute(registry.oracles()[name]).to_arrow_table()
+    columns = sorted(got.column_names)
+    assert rows_of(got, columns) == rows_of(want, columns)
+    return got.to_pylist()
+
+
+def test_zero_setpoints_do_not_count(spark, tmp_path):
+    """A relative distance needs a setpoint above zero, in the query and in its SQL."""
+    rows = [(10 * d + i, T0 + timedelta(days=d), 1, kind, v, "") for d in range(5) for i, (kind, v) in enumerate([("view", 10.0), ("click", 10.0 if d else 0.0)])]
+    got = on_events(spark, tmp_path, "responsiveness", rows)
+    assert [(r["n"], r["status"]) for r in got if r["pair"] == "air_flow"] == [(4, "pass")]
