@@ -286,7 +286,7 @@ MOVED_SQL = f"CASE WHEN z.d = 0 THEN abs(e.value - z.anchor) > 5 ELSE z.d * (e.v
       FROM z JOIN e ON e.series = z.series AND e.i = z.i + 1),
     m AS (SELECT series, ts, abs(value - lag(value) OVER w) AS travel, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS gap FROM e WINDOW w AS (PARTITION BY series ORDER BY i)),
     s AS (SELECT series, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS hours, sum(travel) AS travel, median(gap) AS gap FROM m GROUP BY 1),
-    t AS (SELECT series, abs(turn - lag(turn) OVER w) / 2 AS swing, (epoch_us(turn_ts) - lag(epoch_us(turn_ts)) OVER w) / 1e6 AS apart FROM z WHERE turn_ts IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY turn_ts)),
+    t AS (SELECT series, abs(turn - lag(turn) OVER w) / 2 AS swing, (epoch_us(turn_ts) - lag(epoch_us(turn_ts)) OVER w) / 1e6 AS apart FROM z WHERE turn_ts IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY turn_ts, turn)),
     c AS (SELECT series, count(*) AS turns, median(apart) AS apart, median(swing) AS swing FROM t GROUP BY 1), j AS (SELECT *, n >= 10 AND hours > 0 AS judged FROM s LEFT JOIN c USING (series))
     SELECT series, judged, round(CASE WHEN judged THEN coalesce(turns, 0) / hours END, 6) AS rate, round(CASE WHEN judged THEN 2 * apart END, 6) AS period_s, round(CASE WHEN judged THEN swing END, 6) AS amplitude,
     round(CASE WHEN judged THEN travel / hours END, 6) AS travel_h, coalesce(judged AND coalesce(turns, 0) / hours > 0.5, false) AS fault FROM j""",

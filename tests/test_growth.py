@@ -72,3 +72,11 @@ def test_zero_setpoints_do_not_count(spark, tmp_path):
     rows = [(10 * d + i, T0 + timedelta(days=d), 1, kind, v, "") for d in range(5) for i, (kind, v) in enumerate([("view", 10.0), ("click", 10.0 if d else 0.0)])]
     got = on_events(spark, tmp_path, "responsiveness", rows)
     assert [(r["n"], r["status"]) for r in got if r["pair"] == "air_flow"] == [(4, "pass")]
+
+
+def test_reversals_at_one_time(spark, tmp_path):
+    """Extremes of one time are in order of value, in the query and in its SQL."""
+    rows = [(2 * i + j, T0 + timedelta(minutes=i), 1, "view", (v * (i % 7 + 1)) % 90.0, "") for i in range(400) for j, v in enumerate((20.0, 70.0))]
+    got = on_events(spark, tmp_path, "rule_hunting", rows)
+    assert got[0]["judged"] and got[0]["rate"] > 60
+    assert "ORDER BY turn_ts, turn)" in registry.oracles()["rule_hunting"]  # a total order
