@@ -92,28 +92,32 @@ def raw_budget(rows: DataFrame, n_points: int, limit: int, max_samples: int, lea
     return rows.withColumn("place", place).where(F.col("place") <= each).drop("place")
 
 
-def interpolate(samples: DataFrame, times: DataFrame | None = None) -> DataFrame:
+def interpolate(samples: DataFrame, times: DataFrame | None = None, block_s: float = 600, spread: int = 8) -> DataFrame:
     """Each series at every time any series has, inside its own first and last sample.
 
     Linear between two numbers, else the previous value. `samples` is (series, ts, value).
+
+    What a time needs is settled at the sample before it, so windows see samples only. These spans then meet
+    the times of each short block, an array; spans of a block are dealt to `spread` keys, so no
+    task gathers a block's series and the grid is never sorted.
     """
-    times = samples.select("ts").distinct() if times is None else times
-    ends = samples.groupBy("series").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    # Times meet series by the day, so that no task compares all times with all series.
-    day = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(86_400_000_000))
-    days = ends.select("series", "lo", "hi", F.explode(F.sequence(day(F.col("lo")), day(F.col("hi")))).alias("day"))
-    grid = times.withColumn("day", day(F.col("ts"))).join(days, "day").where(F.col("ts").between(F.col("lo"), F.col("hi"))).select("series", "ts")
-    full = grid.join(samples, ["series", "ts"], "left")
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("series").orderBy("ts")
-    seen = F.struct(F.col("ts").alias("t"), F.col("value").alias("v"))
-    have = F.when(F.col("value").isNotNull(), seen)
-    full = full.withColumn("a", F.last(have, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    times = samples.select("ts").distinct() if times is None else times.select("ts").distinct()
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    block = lambda t: F.floor(t / F.lit(int(block_s * 1_000_000)))
+    one = samples.where("ts is not null").groupBy("series", "ts").agg(F.max("value").alias("value")).withColumn("t", us(F.col("ts")))
+    have = F.when(F.col("value").isNotNull(), F.struct("t", F.col("value").alias("v")))
+    ahead = Window.partitionBy("series").orderBy("t")
+    back = Window.partitionBy("series").orderBy(F.desc("t"))
+    spans = one.withColumns({"a": F.last(have, ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)), "end": F.coalesce(F.lead("t").over(ahead) - 1, "t")})
     # The next sample is the last one seen from the end: a frame that grows, unlike one that shrinks, is linear.
-    back = Window.partitionBy("series").orderBy(F.desc("ts"))
-    full = full.withColumn("b", F.last(have, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    sec = lambda c: F.unix_micros(c.cast("timestamp"))
-    share = (sec(F.col("ts")) - sec(F.col("a.t"))) / (sec(F.col("b.t")) - sec(F.col("a.t")))
-    value = F.when(F.col("a.t") == F.col("ts"), F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share)
-    return full.select("series", "ts", value.alias("value"))
+    spans = spans.withColumn("b", F.last(have, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumns({"block": F.explode(F.sequence(block(F.col("t")), block(F.col("end")))), "part": F.pmod(F.xxhash64("series"), F.lit(spread))})
+    listed = times.where("ts is not null").groupBy(block(us(F.col("ts"))).alias("block")).agg(F.collect_list("ts").alias("times"))
+    listed = listed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    met = spans.join(listed, ["block", "part"]).withColumn("at", F.explode("times"))
+    at = us(F.col("at"))
+    share = (at - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
+    value = F.when(F.col("a.t") == at, F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share)
+    return met.where(at.between(F.col("t"), F.col("end"))).select("series", F.col("at").alias("ts"), value.alias("value"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from plantflow import registry
 from plantflow.functions import mapping
+from plantflow.operators import rollup
 
 T0 = datetime(2024, 1, 1)
 
@@ -80,3 +81,20 @@ def test_reversals_at_one_time(spark, tmp_path):
     got = on_events(spark, tmp_path, "rule_hunting", rows)
     assert got[0]["judged"] and got[0]["rate"] > 60
     assert "ORDER BY turn_ts, turn)" in registry.oracles()["rule_hunting"]  # a total order
+
+
+def test_interpolation_of_one_day_is_many_tasks(spark):
+    """Spans with gaps of numbers; the plan keys the grid by short blocks, not by the day."""
+    rows = [(s, T0 + timedelta(seconds=97 * i + s), None if i % 5 == s else float(i * s)) for s in range(4) for i in range(60) if (i + s) % 3]
+    frame = spark.createDataFrame(rows, "series long, ts timestamp_ntz, value double")
+    got = {(r.series, r.ts): r.value for r in rollup.interpolate(frame).collect()}
+    want, seen = {}, sorted({t for _, t, _ in rows})
+    for s in range(4):
+        own = [t for x, t, _ in rows if x == s]
+        known = sorted((t, v) for x, t, v in rows if x == s and v is not None)
+        for t in (t for t in seen if min(own) <= t <= max(own)):
+            a, b = max((k for k in known if k[0] <= t), default=None), min((k for k in known if k[0] >= t), default=None)
+            want[s, t] = None if a is None else a[1] if a[0] == t else None if b is None else a[1] + (b[1] - a[1]) * ((t - a[0]) / (b[0] - a[0]))
+    assert got.keys() == want.keys()
+    assert all((v is None) == (want[k] is None) and (v is None or abs(v - want[k]) < 1e-9) for k, v in got.items())
+    assert "day#" not in rollup.interpolate(frame)._jdf.queryExecution().optimizedPlan().toString()
