@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from plantflow import registry
 from plantflow.functions import mapping
-from plantflow.operators import rollup
+from plantflow.operators import rollup, verify
 
 T0 = datetime(2024, 1, 1)
 
@@ -98,3 +98,25 @@ def test_interpolation_of_one_day_is_many_tasks(spark):
     assert got.keys() == want.keys()
     assert all((v is None) == (want[k] is None) and (v is None or abs(v - want[k]) < 1e-9) for k, v in got.items())
     assert "day#" not in rollup.interpolate(frame)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spec_match_by_the_substrings_that_count(spark):
+    specs, fields = ["AHU-12-sat", "12", "VAV 7", "vav7a", "pump", "fan3x4", "zz9", "--"], ["ahu12", "xAHU-12", "vav-7", "bvav7a", "7", "pump-1", "3x4", "q9", "fan"]
+    plain = lambda t: "".join(c for c in t.lower() if c.isascii() and c.isalnum())
+    digits, letters = lambda t: "".join(c for c in plain(t) if c.isdigit()), lambda t: "".join(c for c in plain(t) if c.isalpha())
+
+    def score(a, b):
+        n, w = digits(a) and digits(a) == digits(b), letters(a) and letters(a) == letters(b)
+        if not (n or w):
+            return 0
+        return 1.0 if plain(a) == plain(b) else 0.9 if plain(a) in plain(b) or plain(b) in plain(a) else 0.4 if n else 0.2
+
+    want = {a: min((-score(a, b), b) for b in fields) for a in specs}
+    tags = lambda names: spark.createDataFrame([(x,) for x in names], "tag string")
+    match = verify.spec_match(tags(specs), tags(fields))
+    assert {r.spec: (-r.score, r.field) for r in match.collect()} == {a: x for a, x in want.items() if x[0] < 0}
+    # A name of one word and one number has few substrings with all of either.
+    many = spark.range(40_000).select(F.format_string("Customer#%09d", "id").alias("tag"))
+    began = time.perf_counter()
+    assert verify.spec_match(many, many).where("score = 1").count() == 40_000
+    assert time.perf_counter() - began < 30
