@@ -120,3 +120,25 @@ def test_spec_match_by_the_substrings_that_count(spark):
     began = time.perf_counter()
     assert verify.spec_match(many, many).where("score = 1").count() == 40_000
     assert time.perf_counter() - began < 30
+
+
+def test_observations_wait_in_one_list():
+    """State of a key is read and written a call each, whatever the number of rows."""
+    import pandas as pd
+
+    from plantflow.streaming import alerts
+
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or ([] if name == "get" and self.many else None)
+
+    one = alerts.Alerts(alerts.Limits())
+    one.alert, one.waiting, one.awake, one.handle = State(), State(), State(), State()
+    one.alert.many = one.awake.many = one.handle.many = False
+    one.waiting.many = True
+    times = type("T", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    frame = pd.DataFrame({"ts": pd.to_datetime([T0 + timedelta(seconds=i) for i in range(500)]), "present": [True] * 500})
+    assert sum(map(len, one.handleInputRows(("k",), iter([frame]), times))) == 0
+    assert len(calls) < 12
