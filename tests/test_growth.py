@@ -142,3 +142,12 @@ def test_observations_wait_in_one_list():
     frame = pd.DataFrame({"ts": pd.to_datetime([T0 + timedelta(seconds=i) for i in range(500)]), "present": [True] * 500})
     assert sum(map(len, one.handleInputRows(("k",), iter([frame]), times))) == 0
     assert len(calls) < 12
+
+
+def test_cosine_of_vectors_that_lack_something(spark):
+    """Slices lose no pair; null vectors, nulls inside and other lengths have no cosine."""
+    vectors = {0: [1.0, 0.0], 1: [1.0, 1.0], 2: None, 3: [1.0, None], 4: [1.0, 2.0, 3.0], 5: [-2.0, 0.0]}
+    e = spark.createDataFrame([(i, i // 9, v) for i, v in vectors.items()], "id long, label int, v array<float>")
+    a, b = e.where("id in (0, 2, 4)").selectExpr("id AS q", "label", "v AS x"), e.selectExpr("id", "label", "v AS y")
+    got = {(r.q, r.id): None if r.sim is None else round(r.sim, 6) for r in mapping.cosine_pairs(a, b, 3).collect()}
+    assert got == {(q, i): {(0, 1): 0.707107, (0, 5): -1.0}.get((q, i)) for q in (0, 2, 4) for i in vectors if i != q}
