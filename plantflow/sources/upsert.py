@@ -11,7 +11,7 @@ against what is stored, so late and repeated batches converge; equal orders are
 largest row. A commit counts the distinct keys it wrote.
 
 At scale: a batch reads and writes the parts it touches, never the table; parts are dealt to
-tasks by hour as well, so a hot day is many files. The driver handles part names only. Parts that
+tasks by hour as well, so a hot day is many files; without days, by a hash of the key. The driver handles part names only. Parts that
 later commits replaced are removed by `vacuum`.
 """
 
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART = ["day", "bucket"]
+#: A part of a table without days is dealt to so many tasks at most.
+SHARES = 32
 
 
 @dataclass(frozen=True)
@@ -95,8 +97,8 @@ class UpsertTable:
                 parts = self.spark.createDataFrame([(r.day, r.bucket) for r in touched], "day string, bucket int")
                 stored = self._parted(self._read(self._live().join(parts, PART, "left_semi").collect()))
                 merged = self._parted(self._newest(stored.unionByName(fresh).drop(*PART)))
-                hour = F.hour(self.ts_col) if self.ts_col else F.lit(0)
-                dealt = merged.repartition(*map(F.col, PART), hour).sortWithinPartitions(*PART, *self.keys)
+                share = F.hour(self.ts_col) if self.ts_col else F.pmod(F.xxhash64(*self.keys, F.lit(1)), F.lit(SHARES))
+                dealt = merged.repartition(*map(F.col, PART), share).sortWithinPartitions(*PART, *self.keys)
                 dealt.write.mode("overwrite").partitionBy(*PART).parquet(f"{self.path}/data/version={version}")
             if then is not None:
                 then(fresh.drop(*PART), version)

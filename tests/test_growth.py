@@ -10,6 +10,7 @@ from conftest import rows_of
 from plantflow import registry
 from plantflow.functions import mapping
 from plantflow.operators import rollup, verify
+from plantflow.sources import upsert
 
 T0 = datetime(2024, 1, 1)
 
@@ -151,3 +152,13 @@ def test_cosine_of_vectors_that_lack_something(spark):
     a, b = e.where("id in (0, 2, 4)").selectExpr("id AS q", "label", "v AS x"), e.selectExpr("id", "label", "v AS y")
     got = {(r.q, r.id): None if r.sim is None else round(r.sim, 6) for r in mapping.cosine_pairs(a, b, 3).collect()}
     assert got == {(q, i): {(0, 1): 0.707107, (0, 5): -1.0}.get((q, i)) for q in (0, 2, 4) for i in vectors if i != q}
+
+
+def test_parts_without_days_are_many_tasks(spark, tmp_path):
+    table = upsert.UpsertTable(spark, str(tmp_path / "t"), "k long, seq long, v double", keys=("k",), ts_col=None, buckets=1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table.merge(spark.range(1_000).selectExpr("id AS k", "id AS seq", "1.0D AS v"), "one")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert table.snapshot().count() == 1_000 and len(table.snapshot().inputFiles()) > 1
