@@ -131,12 +131,13 @@ def reach(triples: DataFrame, path: Path, starts: DataFrame | None = None) -> Da
             found = found.unionByName(every.select("start", F.col("start").alias("end")))
         return found.distinct()
     frontier = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("state")).where("start is not null").distinct())
-    seen = frontier
+    seen, going = frontier, sorted({state for state, _, _ in machine.moves})
     while not frontier.isEmpty():
         ahead = frontier.select("start", F.col("node").alias("a"), "state").join(edges, ["a", "state"])
         ahead = ahead.select("start", F.col("b").alias("node"), F.col("next").alias("state")).distinct()
-        frontier = cut(ahead.join(seen, ["start", "node", "state"], "left_anti"))
-        seen = seen.unionByName(frontier)
+        fresh = cut(ahead.join(seen, ["start", "node", "state"], "left_anti"))
+        seen = seen.unionByName(fresh)
+        frontier = fresh.where(F.col("state").isin(going))  # a path that has ended needs no round more
     return seen.where(F.col("state").isin(list(machine.ends))).select("start", F.col("node").alias("end")).distinct()
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from plantflow import registry
 from plantflow.functions import mapping
-from plantflow.operators import rollup, verify
+from plantflow.operators import paths, rollup, verify
 from plantflow.sources import upsert
 
 T0 = datetime(2024, 1, 1)
@@ -162,3 +162,13 @@ def test_parts_without_days_are_many_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert table.snapshot().count() == 1_000 and len(table.snapshot().inputFiles()) > 1
+
+
+def test_ended_paths_need_no_round(spark, monkeypatch):
+    """A path of one step is one round of joins, not a second that finds nothing."""
+    cuts = []
+    monkeypatch.setattr(paths, "cut", lambda df: cuts.append(1) or df)
+    triples = spark.createDataFrame([("a", "p", "b"), ("b", "p", "c")], "s string, p string, o string")
+    got = paths.reach(triples, paths.step("p"), spark.createDataFrame([("a",), ("b",)], "start string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "b"), ("b", "c")]
+    assert len(cuts) == 3  # edges, starts, one round
