@@ -57,6 +57,25 @@ def test_equal_texts_by_site(spark):
     assert found(near) == {q: brute(vectors, q, 5, lambda i, q=q: i % 2 == q % 2) for q in range(0, 120, 15)}
 
 
+def test_votes_by_scope_compare_texts_once(spark, monkeypatch):
+    """Ids of one site differ in label, so that some votes need all sites; both votes share one comparison."""
+    made, vectors_of = [], mapping._vectors
+    monkeypatch.setattr(mapping, "_vectors", lambda *a: made.append(a) or vectors_of(*a))
+    vectors, weights = copies(spark)
+    label = lambda i: "same" if i < 15 or i % 2 == 0 else f"l{i}"
+    labels = spark.createDataFrame([(i, label(i)) for i in vectors], "id long, label string")
+    got = mapping.vote_by_scope(weights.where("id % 15 = 0"), weights, labels, "site")
+    want = {}
+    for q in range(0, 120, 15):
+        for scope, allowed in (("site", lambda i, q=q: i % 2 == q % 2), ("all", lambda i: True)):
+            seen = [label(i) for i in brute(vectors, q, 5, allowed)]
+            if q not in want and len(seen) > 1 and len(set(seen)) == 1:
+                want[q] = (seen[0], scope)
+    assert {r.q: (r.label, r.scope) for r in got.collect()} == want
+    assert {scope for _, scope in want.values()} == {"site", "all"}
+    assert len(made) == 2
+
+
 def on_events(spark, path, name, rows):
     """The query and its SQL over these events."""
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{path}/events.parquet")
