@@ -191,3 +191,24 @@ def test_ended_paths_need_no_round(spark, monkeypatch):
     got = paths.reach(triples, paths.step("p"), spark.createDataFrame([("a",), ("b",)], "start string"))
     assert sorted(map(tuple, got.collect())) == [("a", "b"), ("b", "c")]
     assert len(cuts) == 3  # edges, starts, one round
+
+
+def test_applicable_rows_are_not_gathered(spark):
+    """Rows and subjects that meet by several keys are one pair, without a pass over all pairs to find the repeated ones."""
+    rows = [(1, "x", 0, [], ["a", "b"], ["Pump"]), (1, "x", 0, [], ["c"], []), (2, "x", 0, ["late"], ["a"], []), (3, "x", 0, ["now"], [], ["fan", "PUMP", None]), (4, None, 0, [], ["a"], []),
+            (5, "x", 1, [], ["a"], []), (6, "x", 0, [], [None, "d"], None), (7, "x", 0, [], ["a", "a"], ["Fan"]), (8, "x", 0, [], ["zz"], ["none"])]
+    subjects = [(10, "a", "small pump"), (10, "b", "Fan"), (11, None, "Small Pump"), (12, "d", None), (13, "c", "FAN"), (14, "q", "other"), (15, "a", None)]
+    above = {"small pump": ["small pump", "pump", "fan"]}
+    requirements = spark.createDataFrame(rows, "row long, verified_by string, blanks int, phases array<string>, space_types array<string>, classes array<string>")
+    family = spark.createDataFrame([(c, a) for c, up in above.items() for a in up], "class string, ancestor string")
+    got = verify.applicable(requirements, spark.createDataFrame(subjects, "subject long, space_type string, class string"), family, "now")
+    want = set()
+    for row, verified, blanks, phases, types, classes in rows:
+        for subject, kind, name in subjects:
+            wants = above.get(name.lower(), [name.lower()]) if name else []
+            fits = (kind and kind in types) or any(c and c.lower() in wants for c in classes or [])
+            if verified and not blanks and (not phases or "now" in phases) and fits:
+                want.add((subject, row))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 10
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < (plan + "Aggregate").index("Aggregate")  # nothing is grouped after the pairs
