@@ -193,10 +193,9 @@ def _values(bound: DataFrame, samples: DataFrame, fahrenheit: bool) -> DataFrame
 
 def _complete(steps: DataFrame, bound: DataFrame) -> DataFrame:
     """One row per equipment, item and step at which every bound role has a value, in the map `at`."""
-    n = bound.where("point is not null").groupBy("equip", "item").agg(F.count("*").alias("n"))
-    lacking = bound.where("needed and point is null").select("equip", "item").distinct()
+    roles = bound.groupBy("equip", "item").agg(F.count("point").alias("n"), F.count_if(F.col("needed") & F.col("point").isNull()).alias("lacking"))
     rows = steps.groupBy("equip", "item", "ts").agg(F.map_from_entries(F.collect_list(F.struct("role", "value"))).alias("at"))
-    return rows.join(n, ["equip", "item"]).where(F.size("at") == F.col("n")).drop("n").join(lacking, ["equip", "item"], "left_anti")
+    return rows.join(roles.where("lacking = 0"), ["equip", "item"]).where(F.size("at") == F.col("n")).drop("n", "lacking")
 
 
 def resampled(bound: DataFrame, samples: DataFrame, step_s: int = 300, hold: int = 3) -> DataFrame:
@@ -204,6 +203,7 @@ def resampled(bound: DataFrame, samples: DataFrame, step_s: int = 300, hold: int
     keys = ["equip", "item", "role"]
     b = F.floor(micros(F.col("ts")) / F.lit(step_s * 1_000_000))
     last = _values(bound, samples, False).groupBy(*keys, b.alias("b")).agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
+    last = last.repartition("equip", "item")  # what follows is done where an item's steps are
     # A value holds until the next one or for `hold` steps more, whichever comes first; the last one doesn't.
     following = F.lead("b").over(Window.partitionBy(*keys).orderBy("b"))
     until = F.when(following.isNull(), F.col("b")).otherwise(F.least(following - 1, F.col("b") + hold))
@@ -253,11 +253,10 @@ def step_test(item: Item) -> Column:
 def check_items(bound: DataFrame, steps: DataFrame, items: tuple[Item, ...], allowed: float = 0.0) -> DataFrame:
     """(equip, item, ok, bad, missing, status): any failed step fails beyond the allowed share; nothing tested or a role unfilled is inconclusive."""
     at = F.col("at")
-    whole = steps.groupBy("equip", "item").agg(F.min(at["setpoint"]).alias("low"), F.max(at["setpoint"]).alias("high"), F.bool_and(at["cooling"].isin(0.0, 1.0)).alias("states"))
-    steps, tested = steps.join(whole, ["equip", "item"]), None
-    for item in items:  # an item at a time, each over its own steps
-        rows = steps.where(F.col("item") == item.name).withColumn("ok", step_test(item)).select("equip", "item", "ok")
-        tested = rows if tested is None else tested.unionByName(rows)
+    whole = Window.partitionBy("equip", "item")
+    steps = steps.withColumns({"low": F.min(at["setpoint"]).over(whole), "high": F.max(at["setpoint"]).over(whole), "states": F.bool_and(at["cooling"].isin(0.0, 1.0)).over(whole)})
+    ok = F.coalesce(*[F.when(F.col("item") == item.name, step_test(item)) for item in items])  # one pass over the steps of all items
+    tested = steps.select("equip", "item", ok.alias("ok"))
     counts = tested.groupBy("equip", "item").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("bad"))
     unfilled = F.array_sort(F.collect_list(F.when(F.col("needed") & F.col("point").isNull(), F.col("role"))))
     out = bound.groupBy("equip", "item").agg(F.array_join(unfilled, ",").alias("missing")).join(counts, ["equip", "item"], "left")

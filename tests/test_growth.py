@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from plantflow import registry
 from plantflow.functions import mapping
-from plantflow.operators import paths, rollup, verify
+from plantflow.operators import paths, roles, rollup, verify
 from plantflow.sources import upsert
 
 T0 = datetime(2024, 1, 1)
@@ -212,3 +212,20 @@ def test_applicable_rows_are_not_gathered(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 10
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < (plan + "Aggregate").index("Aggregate")  # nothing is grouped after the pairs
+
+
+def test_sequence_items_read_the_samples_once(spark):
+    """Items are tested in one pass over their common steps, not by a read and a resampling each."""
+    bound = spark.createDataFrame(
+        [(e, i, r, True, f"{e}{r}" if (e, r) != ("f", "heat") else None, "", "number") for e in "ef" for i, rs in (("zone_deadband", ("cool", "heat")), ("sat_reset", ("setpoint",))) for r in rs],
+        "equip string, item string, role string, needed boolean, point string, how string, kind string",
+    )
+    values = {"ecool": [24.0, 21.0, 24.0], "eheat": [20.0, 20.0, 20.0], "esetpoint": [12.0, 18.0, 12.0], "fcool": [24.0], "fsetpoint": [15.0, 15.0]}
+    rows = [(p, T0 + timedelta(minutes=5 * i), v, None, None, None) for p, vs in values.items() for i, v in enumerate(vs)]
+    samples = spark.createDataFrame(rows, "point string, ts timestamp_ntz, value double, text string, flag boolean, unit string")
+    items = (roles.deadband_item(), roles.supply_item(30.0))
+    got = roles.check_items(bound, roles.resampled(bound, samples), items, 0.3)
+    assert {(r.equip, r.item): tuple(r)[2:] for r in got.collect()} == {
+        ("e", "zone_deadband"): (2, 1, "", "fail"), ("e", "sat_reset"): (3, 0, "", "pass"), ("f", "zone_deadband"): (0, 0, "heat", "inconclusive"), ("f", "sat_reset"): (0, 2, "", "fail")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [point#") == 1
