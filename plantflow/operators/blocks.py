@@ -22,11 +22,11 @@ def block_of(ts: Column, seconds: float = DAY_S) -> Column:
 def with_previous(rows: DataFrame, key: str, column: str = "previous", seconds: float = DAY_S) -> DataFrame:
     """`rows` (key, ts, value) with a struct (ts, value) of the row before in the series, by time and value."""
     seen = F.struct("ts", "value")
-    blocked = rows.withColumn("__block", block_of(F.col("ts"), seconds)).repartition(key, "__block")
+    blocked = rows.withColumn("__block", block_of(F.col("ts"), seconds)).where(F.col(key).isNotNull() & F.col("__block").isNotNull()).repartition(key, "__block")
     ends = blocked.groupBy(key, "__block").agg(F.max(seen).alias("__last"))
     ends = ends.select(key, "__block", F.lag("__last").over(Window.partitionBy(key).orderBy("__block")).alias("__carried"))
     inside = F.lag(seen).over(Window.partitionBy(key, "__block").orderBy("ts", "value"))
-    out = blocked.withColumn("__inside", inside).join(ends, [key, "__block"])
+    out = blocked.withColumn("__inside", inside).join(ends, [key, "__block"], "left")  # all have ends; a left join never builds on the samples, so equal rows stay in order
     return out.withColumn(column, F.coalesce("__inside", "__carried")).drop("__block", "__inside", "__carried")
 
 

@@ -156,8 +156,8 @@ def turns(samples: DataFrame, key: str, deadband: float, block_s: float = DAY_S)
             out.append((*at_block, None, None, *state.summary()))
 
         for frame in frames:
-            for name, block, at, value, anchor in zip(frame[key], frame["block"], frame["ts"], frame["value"], frame["anchor"]):
-                if at_block != (name, block):
+            for name, block, at, value, anchor, place in zip(frame[key], frame["block"], frame["ts"], frame["value"], frame["anchor"], frame["place"]):
+                if place == 1:
                     if state is not None:
                         close()
                     at_block, state = (name, block), BlockWalk(deadband, None if pd.isna(anchor) else anchor)
@@ -185,7 +185,9 @@ def turns(samples: DataFrame, key: str, deadband: float, block_s: float = DAY_S)
                 out += [(name, *turn) for turn in found]
             yield pd.DataFrame(out, columns=[key, "ts", "value"])
 
-    dealt = rows.join(spans, [key, "block"]).repartition(key, "block").sortWithinPartitions(key, "block", "ts", "value")
+    # Places by a window keep each block in one task: a repartition by the join's own keys is dropped, and a join that becomes a broadcast reads its shuffle in parts.
+    place = F.row_number().over(Window.partitionBy(key, "block").orderBy("ts", "value"))
+    dealt = rows.join(spans, [key, "block"]).withColumn("place", place).sortWithinPartitions(key, "block", "ts", "value")
     walked = cut(dealt.mapInPandas(walk, schema))
     own = walked.where("ts is not null").select(key, "ts", "value")
     borders = walked.where("ts is null").drop("ts", "value").repartition(key).sortWithinPartitions(key, "block")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from plantflow import registry
 from plantflow.functions import mapping
-from plantflow.operators import paths, roles, rollup, verify
+from plantflow.operators import paths, roles, rollup, rules, verify
 from plantflow.sources import upsert
 
 T0 = datetime(2024, 1, 1)
@@ -103,6 +103,27 @@ def test_reversals_at_one_time(spark, tmp_path):
     assert "ORDER BY turn_ts, turn)" in registry.oracles()["rule_hunting"]  # a total order
 
 
+def test_blocks_stay_whole_in_a_join_that_becomes_a_broadcast(spark):
+    """The join of samples and spans is planned by sorting, as on large tables, and then becomes a broadcast."""
+    rows = [(f"s{k}", T0 + timedelta(minutes=i), float((i * (k + 3)) % 23)) for i in range(3000) for k in range(4)]
+    frame = spark.createDataFrame(rows, "k string, ts timestamp_ntz, value double").repartition(8)
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # 64k: below the samples, above the spans
+    for name, value in confs.items():
+        spark.conf.set(name, value)
+    try:
+        got = {}
+        for r in rules.turns(frame, "k", 5.0).collect():
+            got.setdefault(r.k, []).append((r.ts, r.value))
+    finally:
+        for name in confs:
+            spark.conf.unset(name)
+    for key, found in got.items():
+        own = [(at, value) for k, at, value in rows if k == key]
+        walk = rules.Zigzag(*own[0], 5.0)
+        assert sorted(found) == [turn for at, value in own[1:] if (turn := walk.step(at, value))]
+    assert len(got) == 4
+
+
 def test_interpolation_of_one_day_is_many_tasks(spark):
     """Spans with gaps of numbers; the plan keys the grid by short blocks, not by the day."""
     rows = [(s, T0 + timedelta(seconds=97 * i + s), None if i % 5 == s else float(i * s)) for s in range(4) for i in range(60) if (i + s) % 3]
