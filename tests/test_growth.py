@@ -1,5 +1,6 @@
 """What large copies of the tables bring out: many equal texts, zero setpoints, reversals at one time, long series."""
 
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -163,6 +164,27 @@ def test_spec_match_by_the_substrings_that_count(spark):
     assert time.perf_counter() - began < 30
 
 
+def test_spec_match_finds_names_contained_with_another_number(spark):
+    """A contained name needs neither the whole number nor all letters of the longer one."""
+    r, plain = random.Random(3), lambda t: "".join(c for c in t.lower() if c.isascii() and c.isalnum())
+    word = lambda: "".join(r.choice(("AHU", "vav", "-", "1", "2", "x", " ", "7a")) for _ in range(r.randint(1, 6)))
+    specs, fields = sorted({"AHU-1", "7", "zone", *(word() for _ in range(60))}), sorted({"Bldg 3 AHU-1", "z", *(word() for _ in range(60))})
+
+    def score(a, b):
+        a, b = plain(a), plain(b)
+        digits, letters = ([tuple(c for c in t if c.isdigit() == want) for t in (a, b)] for want in (True, False))
+        if not a or not b:
+            return 0
+        return 1.0 if a == b else 0.9 if a in b or b in a else 0.4 if digits[0] and digits[0] == digits[1] else 0.2 if letters[0] and letters[0] == letters[1] else 0
+
+    tags = lambda names: spark.createDataFrame([(x,) for x in names], "tag string")
+    for spec, field in ((["AHU-1"], ["Bldg 3 AHU-1", "q1"]), (["Bldg 3 AHU-1"], ["AHU-1"]), (specs, fields)):
+        want = {a: min((-score(a, b), b) for b in field) for a in spec}
+        got = {x.spec: (-x.score, x.field) for x in verify.spec_match(tags(spec), tags(field)).collect()}
+        assert got == {a: x for a, x in want.items() if x[0] < 0}
+    assert {-x[0] for x in want.values()} >= {0.9, 1.0}
+
+
 def test_observations_wait_in_one_list():
     """State of a key is read and written a call each, whatever the number of rows."""
     import pandas as pd
