@@ -216,6 +216,22 @@ def test_cosine_of_vectors_that_lack_something(spark):
     assert got == {(q, i): {(0, 1): 0.707107, (0, 5): -1.0}.get((q, i)) for q in (0, 2, 4) for i in vectors if i != q}
 
 
+def test_cosine_of_all_vectors(spark, tmp_path):
+    """Every vector asks, whatever its id; labels of several slices a side lose no pair, and no task holds a whole label."""
+    vectors = [(i, [float(i % 7 + 1), float(i % 11), 1.0], i % 3 if i % 20 else None) for i in range(1, 301)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["vector_cosine"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.oracles()["vector_cosine"]).fetchall())
+    want = {(q, i) for q, _, a in vectors for i, _, b in vectors if q != i and a == b and a is not None}
+    assert {(r.q, r.id) for r in got} == want and len(got) == len(want)
+    e = spark.createDataFrame(vectors, "id long, v array<float>, label int")
+    sliced = mapping.cosine_pairs(e.selectExpr("id AS q", "label", "v AS x"), e.selectExpr("id", "label", "v AS y"), block=16)
+    assert sorted((r.q, r.id, round(r.sim, 5)) for r in sliced.collect()) == sorted((r.q, r.id, round(r.sim, 5)) for r in got)
+    assert sliced.rdd.getNumPartitions() > 100
+
+
 def test_parts_without_days_are_many_tasks(spark, tmp_path):
     table = upsert.UpsertTable(spark, str(tmp_path / "t"), "k long, seq long, v double", keys=("k",), ts_col=None, buckets=1)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
