@@ -52,6 +52,18 @@ def test_many_equal_texts_are_not_paired(spark):
     assert time.perf_counter() - began < 60
 
 
+def test_every_part_asks_its_neighbours(spark, tmp_path):
+    """Parts get a vote whatever their key, from neighbours with any key."""
+    names, types = ("red thing", "blue ring", "steel widget small", "odd gear", "red thing small"), ("ECONOMY", "PROMO", "SMALL")
+    rows = [(i, names[i % 5], types[i % 3] if i % 7 else "LARGE") for i in range(1, 120)] + [(500, "lone word", "ONE")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.queries()["vote_by_neighbours"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.oracles()["vote_by_neighbours"]).fetchall())
+    assert {r.q for r in got} > {100} and 500 not in {r.q for r in got} and len(got) > 60
+
+
 def test_equal_texts_by_site(spark):
     vectors, weights = copies(spark)
     near = mapping.nearest(weights.where("id % 15 = 0"), weights, 5, 0.6, ("token", "site"))
